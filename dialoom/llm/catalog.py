@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from dialoom.llm import canonical, neardup
+from dialoom.llm import balanced, canonical, neardup, packing, tokens
 from dialoom.session import table
 
 
@@ -28,5 +28,33 @@ def p2_report(spark: SparkSession, sf_dir: str) -> DataFrame:
     return p2_found(spark, sf_dir).groupBy("field_name", "canonical_value").agg(F.count("*").alias("n_rows"))
 
 
-QUERIES = {f.__name__: f for f in (p1_found, p1_groups, p2_found, p2_report)}
+def _plan_tables(spark: SparkSession, sf_dir: str) -> list[DataFrame]:
+    return [table(spark, sf_dir, t) for t in ("qa", "canonical_values", "sample_targets")]
+
+
+def p4_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return balanced.shortages(spark, *_plan_tables(spark, sf_dir))
+
+
+def p4_sample(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return balanced.balanced_sample(spark, *_plan_tables(spark, sf_dir))[0]
+
+
+def p4_report(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return balanced.balance_report(*balanced.balanced_sample(spark, *_plan_tables(spark, sf_dir)))
+
+
+def p7_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return tokens.encoded(table(spark, sf_dir, "documents"))
+
+
+def p8_containers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.containers_filled(table(spark, sf_dir, "documents"), table(spark, sf_dir, "containers"))
+
+
+def p8_report(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.fill_report(p8_containers(spark, sf_dir))
+
+
+QUERIES = {f.__name__: f for f in (p1_found, p1_groups, p2_found, p2_report, p4_found, p4_sample, p4_report, p7_ids, p8_containers, p8_report)}
 ORACLE_SQL: dict[str, str] = {}
