@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from dialoom.llm import balanced, canonical, neardup, packing, tokens
+from dialoom.llm import balanced, canonical, defects, neardup, packing, tokens
 from dialoom.session import table
 
 
@@ -44,6 +44,17 @@ def p4_report(spark: SparkSession, sf_dir: str) -> DataFrame:
     return balanced.balance_report(*balanced.balanced_sample(spark, *_plan_tables(spark, sf_dir)))
 
 
+def p6_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return defects.defective_answers(table(spark, sf_dir, "qa"))
+
+
+def p6_report(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Defects by question type as entered."""
+    types = table(spark, sf_dir, "qa").select("qa_key", F.coalesce("question_type", F.lit("unknown")).alias("question_type"))
+    found = p6_found(spark, sf_dir).join(types, "qa_key")
+    return found.groupBy("question_type", "defect").agg(F.count("*").alias("n_rows"))
+
+
 def p7_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tokens.encoded(table(spark, sf_dir, "documents"))
 
@@ -56,5 +67,5 @@ def p8_report(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.fill_report(p8_containers(spark, sf_dir))
 
 
-QUERIES = {f.__name__: f for f in (p1_found, p1_groups, p2_found, p2_report, p4_found, p4_sample, p4_report, p7_ids, p8_containers, p8_report)}
+QUERIES = {f.__name__: f for f in (p1_found, p1_groups, p2_found, p2_report, p4_found, p4_sample, p4_report, p6_found, p6_report, p7_ids, p8_containers, p8_report)}
 ORACLE_SQL: dict[str, str] = {}
