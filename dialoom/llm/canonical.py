@@ -54,22 +54,29 @@ INVISIBLE = r"[\\s\\p{Z}\\p{Cc}\\p{Cf}]"
 ALLOWED = "CASE WHEN {L} <= 2 THEN 0 WHEN {L} <= 3 THEN 1 WHEN {L} <= 7 THEN 2 WHEN {L} <= 9 THEN 3 WHEN {L} <= 24 THEN 4 ELSE 6 END"
 
 
-def plain(x: str, group: str = "$1") -> str:
-    """SQL of the plain form: lower case, look-alikes folded, marks and remarks of annotators removed.
-
-    ``group`` is how the engine writes the first group in a replacement.
-    """
-    rx = "regexp_replace" if group == "$1" else "regexp_replace_all"
-    rules = [
-        (r"\\p{Cf}", ""),
-        (r"^[^a-z0-9]*(type|prob|probably|maybe|perhaps|likely|class|category|label|value)[ ]*[.:=]+[ ]*", ""),
-        (r"[ ]*[(\\[]?(checked|verified|reviewed|confirmed|v[0-9]+)[)\\]]?[^a-z0-9]*$", ""),
-        (r"([a-z])0", f"{group}o"),
-        (r"0([a-z]{2})", f"o{group}"),
-    ]
+#: What the plain form leaves out, in order: (pattern, replacement with $1 for its group).
+PLAIN_RULES = [
+    (r"\p{Cf}", ""),
+    (r"^[^a-z0-9]*(type|prob|probably|maybe|perhaps|likely|class|category|label|value)[ ]*[.:=]+[ ]*", ""),
+    (r"[ ]*[(\[]?(checked|verified|reviewed|confirmed|v[0-9]+)[)\]]?[^a-z0-9]*$", ""),
+    (r"([a-z])0", "$1o"),
+    (r"0([a-z]{2})", "o$1"),
+]
+
+
+def plain(x: str) -> str:
+    """SQL of the plain form: lower case, look-alikes folded, marks and remarks of annotators removed."""
     out = f"translate(lower({x}), '{LOOKALIKES[0]}', '{LOOKALIKES[1]}')"
-    for pattern, to in rules:
-        out = f"{rx}({out}, '{pattern}', '{to}')"
+    for pattern, to in PLAIN_RULES:
+        out = "regexp_replace({}, '{}', '{}')".format(out, pattern.replace("\\", "\\\\"), to)
+    return out
+
+
+def plain_duckdb(x: str) -> str:
+    """The same for the engine that checks the results."""
+    out = f"translate(lower({x}), '{LOOKALIKES[0]}', '{LOOKALIKES[1]}')"
+    for pattern, to in PLAIN_RULES:
+        out = "regexp_replace({}, '{}', '{}', 'g')".format(out, pattern, to.replace("$1", "\\1"))
     return out
 
 

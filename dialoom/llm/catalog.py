@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from dialoom.llm import balanced, canonical, defects, neardup, packing, tokens
+from dialoom.llm import abuse, balanced, canonical, defects, neardup, packing, tokens
 from dialoom.session import table
 
 
@@ -67,5 +67,80 @@ def p8_report(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.fill_report(p8_containers(spark, sf_dir))
 
 
-QUERIES = {f.__name__: f for f in (p1_found, p1_groups, p2_found, p2_report, p4_found, p4_sample, p4_report, p6_found, p6_report, p7_ids, p8_containers, p8_report)}
-ORACLE_SQL: dict[str, str] = {}
+def _scored(spark: SparkSession, sf_dir: str) -> DataFrame:
+    documents = table(spark, sf_dir, "documents")
+    model = abuse.fitted(abuse.reviewed_sample(documents, table(spark, sf_dir, "review_labels")))
+    return abuse.scored_documents(documents, model)
+
+
+def p9_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _scored(spark, sf_dir).where(F.col("score") >= abuse.THRESHOLD).select("doc_id")
+
+
+def p9_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _scored(spark, sf_dir).select("doc_id", F.round("score", 6).alias("score"))
+
+
+def p9_rates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return abuse.source_rates(_scored(spark, sf_dir))
+
+
+QUERIES = {f.__name__: f for f in (p1_found, p1_groups, p2_found, p2_report, p4_found, p4_sample, p4_report, p6_found, p6_report, p7_ids, p8_containers, p8_report, p9_found, p9_scores, p9_rates)}
+_PAIRS = r"""
+WITH w AS (
+  SELECT qa_key, list_distinct(regexp_extract_all(lower(concat_ws(' ', question_text, gold_answer)), '[\p{L}\p{N}]+')) AS words FROM qa
+), x AS (SELECT qa_key, words, len(words) AS n FROM w WHERE len(words) > 0),
+t AS (SELECT qa_key, n, unnest(words) AS word FROM x),
+common AS (SELECT a.qa_key AS qa_key_a, b.qa_key AS qa_key_b, any_value(a.n) AS na, any_value(b.n) AS nb, count(*) AS k
+           FROM t a JOIN t b ON a.word = b.word AND a.qa_key < b.qa_key WHERE 5 * least(a.n, b.n) >= 3 * greatest(a.n, b.n) GROUP BY ALL)
+SELECT qa_key_a, qa_key_b FROM common WHERE 5 * k >= 3 * (na + nb - k)
+"""
+
+_ENTRIES = f"""
+WITH entries AS (
+  SELECT qa_key, f.field_name, CASE f.field_name WHEN 'reasoning_structure' THEN reasoning_structure WHEN 'question_type' THEN question_type ELSE content_type END AS entry
+  FROM qa, (SELECT DISTINCT field_name FROM canonical_values WHERE field_name IN ('reasoning_structure', 'question_type', 'content_type')) f
+), strange AS (
+  SELECT DISTINCT field_name, entry FROM entries e
+  WHERE entry IS NOT NULL AND regexp_replace(entry, '[\\s\\p{{Z}}\\p{{Cc}}\\p{{Cf}}]', '', 'g') <> ''
+    AND NOT EXISTS (SELECT 1 FROM canonical_values c WHERE c.field_name = e.field_name AND c.canonical_value = e.entry)
+), plain AS (SELECT field_name, entry, {canonical.plain_duckdb("entry")} AS plain FROM strange
+), forms AS (SELECT field_name, entry, plain, regexp_replace(plain, '[^a-z0-9]+', '', 'g') AS form FROM plain
+), spellings AS (
+  SELECT field_name, canonical_value, lower(canonical_value) AS spelling, 0 AS other FROM canonical_values
+  UNION ALL SELECT * , 1 FROM (VALUES {canonical.spellings_sql()}) v(f, c, s)
+), accepted AS (
+  SELECT *, min(other) OVER (PARTITION BY field_name, spelling) AS first_other, regexp_replace(spelling, '[^a-z0-9]+', '', 'g') AS form,
+         [t FOR t IN regexp_split_to_array(spelling, '[^a-z0-9]+') IF t <> ''] AS parts FROM spellings
+), near AS (
+  SELECT f.field_name, f.entry, a.canonical_value, levenshtein(f.form, a.form) AS distance, a.first_other AS other
+  FROM forms f JOIN accepted a ON f.field_name = a.field_name
+  WHERE f.form <> '' AND levenshtein(f.form, a.form) <= {canonical.ALLOWED.format(L="length(a.form)")}
+  UNION ALL
+  SELECT f.field_name, f.entry, a.canonical_value, 1, a.first_other
+  FROM (SELECT *, [t FOR t IN regexp_split_to_array(plain, '[^a-z0-9]+') IF t <> ''] AS parts FROM forms WHERE plain LIKE '%.%' AND form <> '') f
+  JOIN accepted a ON f.field_name = a.field_name AND len(f.parts) = len(a.parts) AND left(f.parts[1], 2) = left(a.parts[1], 2)
+  WHERE list_bool_and([starts_with(a.parts[i], f.parts[i]) FOR i IN range(1, len(f.parts) + 1)])
+), best AS (
+  SELECT field_name, entry, first(canonical_value ORDER BY distance, other, canonical_value) AS canonical_value FROM near GROUP BY ALL
+), resolved AS (
+  SELECT f.field_name, f.entry, coalesce(b.canonical_value, 'unmatched') AS canonical_value FROM forms f LEFT JOIN best b USING (field_name, entry)
+)
+"""
+
+_SHORT = """
+, categories AS (
+  SELECT e.field_name, coalesce(r.canonical_value, e.entry) AS category FROM entries e LEFT JOIN resolved r ON e.field_name = r.field_name AND e.entry = r.entry
+  UNION ALL SELECT 'memory_level', memory_level FROM qa
+), counts AS (SELECT field_name, category, count(*) AS n FROM categories GROUP BY ALL)
+SELECT t.plan_id, t.category FROM sample_targets t LEFT JOIN counts c ON t.field_name = c.field_name AND t.category = c.category
+WHERE coalesce(c.n, 0) < greatest(coalesce(t.min_rows, 0), (coalesce(t.target_pct, 0) * t.sample_size + 99) // 100)
+"""
+
+ORACLE_SQL: dict[str, str] = {
+    "p1_found": _PAIRS,
+    "p2_found": _ENTRIES + "SELECT e.qa_key, e.field_name, r.canonical_value FROM entries e JOIN resolved r ON e.field_name = r.field_name AND e.entry = r.entry",
+    "p2_report": _ENTRIES
+    + "SELECT e.field_name, r.canonical_value, count(*) AS n_rows FROM entries e JOIN resolved r ON e.field_name = r.field_name AND e.entry = r.entry GROUP BY ALL",
+    "p4_found": _ENTRIES + _SHORT,
+}
