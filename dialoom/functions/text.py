@@ -8,6 +8,7 @@ from collections.abc import Iterable
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType
 
 from dialoom.functions import rules
 
@@ -76,7 +77,7 @@ def unmangled(x: Column) -> Column:
     return x
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(StringType())
 def nfkc(batch: pd.Series) -> pd.Series:
     """Unicode compatibility normalisation, which the engine lacks."""
     return batch.map(lambda t: t if t is None or t.isascii() else unicodedata.normalize("NFKC", t))

@@ -141,9 +141,9 @@ def scored(f: DataFrame) -> DataFrame:
 
 def one_per_anchor(s: DataFrame) -> DataFrame:
     """The best question of each anchor (first on ties); questions without an anchor stay."""
-    best = Window.partitionBy("conversation_id", "anchor_dia_id").orderBy(F.desc("anchor_score"), "qa_key")
-    free = is_blank(F.col("anchor_dia_id"))
-    return s.where(~free).withColumn("__r", F.row_number().over(best)).where("__r = 1").drop("__r").unionByName(s.where(free))
+    anchor = F.when(is_blank(F.col("anchor_dia_id")), F.concat(F.lit("~"), F.col("qa_key"))).otherwise(F.col("anchor_dia_id"))
+    best = Window.partitionBy("conversation_id", anchor).orderBy(F.desc("anchor_score"), "qa_key")
+    return s.withColumn("__r", F.row_number().over(best)).where("__r = 1").drop("__r")
 
 
 def without_easy(s: DataFrame, least: int = 4) -> DataFrame:
@@ -152,12 +152,13 @@ def without_easy(s: DataFrame, least: int = 4) -> DataFrame:
 
 def late_results_capped(s: DataFrame, most: int = 3, least: int = 4) -> DataFrame:
     """Of the late questions about outcomes at most ``most`` per conversation, and only good ones."""
-    late = F.col("is_last") & F.col("outcome")
+    late = F.coalesce(F.col("is_last") & F.col("outcome"), F.lit(False))
     low = F.lower(F.coalesce("question_text", F.lit("")))
     generic = _points((F.contains(low, F.lit("overall demeanor")), 2), (F.contains(low, F.lit("relationship with")), 1), (F.contains(low, F.lit("how has")) & F.contains(low, F.lit("evolved")), 1))
-    rank = Window.partitionBy("conversation_id").orderBy(F.desc("late_score"), generic, "qa_key")
-    kept = s.where(late & (F.col("late_score") >= least)).withColumn("__r", F.row_number().over(rank)).where(F.col("__r") <= most).drop("__r")
-    return s.where(~late).unionByName(kept)
+    own = F.when(late, F.lit("late")).otherwise(F.col("qa_key").cast("string"))  # other rows are groups of their own
+    rank = Window.partitionBy("conversation_id", own).orderBy(F.desc("late_score"), generic, "qa_key")
+    kept = s.where(~late | (F.col("late_score") >= least))
+    return kept.withColumn("__r", F.row_number().over(rank)).where(F.col("__r") <= most).drop("__r")
 
 
 def filled_to(s: DataFrame, target: int) -> DataFrame:
