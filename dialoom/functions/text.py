@@ -145,17 +145,6 @@ def tokens(x: Column) -> Column:
     return F.regexp_extract_all(F.lower(F.coalesce(x, F.lit(""))), F.lit("[a-z0-9]+"), F.lit(0))
 
 
-def trigrams(x: Column) -> Column:
-    """All letter groups of three of the squashed lower-case text; a shorter text is its only group."""
-    flat = F.lower(squashed(F.coalesce(x, F.lit(""))))
-    n = F.length(flat)
-    return (
-        F.when(n == 0, F.array().cast("array<string>"))
-        .when(n < 3, F.array(flat))
-        .otherwise(F.transform(F.sequence(F.lit(1), F.greatest(n - 2, F.lit(1))), lambda i: F.substring(flat, i, F.lit(3))))
-    )
-
-
 def judge_scores(x: Column) -> Column:
     """The judge's partial scores as struct; what cannot be read counts as zero with verdict parse_error."""
     bare = F.trim(F.regexp_replace(F.trim(F.regexp_replace(strip(x), r"(?i)^```(?:json)?", "")), r"```$", ""))

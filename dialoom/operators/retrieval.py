@@ -11,7 +11,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from dialoom.functions.text import tokens, trigrams
+from dialoom.functions.text import squashed, tokens
 from dialoom.session import checkpoint
 
 K1, B = 1.2, 0.75
@@ -21,6 +21,14 @@ def _postings(rows: DataFrame, keys: list[str], terms: Column, name: str) -> Dat
     return rows.select(*keys, F.explode(terms).alias("term")).groupBy(*keys, "term").agg(F.count("*").alias(name))
 
 
+def _grams(rows: DataFrame, keys: list[str], name: str) -> DataFrame:
+    """Counts of the letter groups of three; a shorter text is its only group, an empty one has none."""
+    flat = rows.select(*keys, F.lower(squashed(F.coalesce("text", F.lit("")))).alias("__flat")).where("__flat <> ''")
+    # the places are exploded first, so that the flattened text is computed once a row
+    places = flat.select(*keys, "__flat", F.explode(F.sequence(F.lit(1), F.greatest(F.length("__flat") - 2, F.lit(1)))).alias("__i"))
+    return places.select(*keys, F.substring("__flat", F.col("__i"), F.lit(3)).alias("term")).groupBy(*keys, "term").agg(F.count("*").alias(name))
+
+
 def bm25(queries: DataFrame, documents: DataFrame) -> DataFrame:
     """(query_id, corpus, doc, bm25): queries(query_id, corpus, text) against documents(corpus, doc, text).
 
@@ -42,8 +50,8 @@ def bm25(queries: DataFrame, documents: DataFrame) -> DataFrame:
 
 def trigram_cosine(queries: DataFrame, documents: DataFrame) -> DataFrame:
     """(query_id, corpus, doc, cosine) of letter-group counts; 0 where either is empty or nothing is shared."""
-    d = _postings(documents, ["corpus", "doc"], trigrams(F.col("text")), "d")
-    q = _postings(queries, ["query_id", "corpus"], trigrams(F.col("text")), "q")
+    d = _grams(documents, ["corpus", "doc"], "d")
+    q = _grams(queries, ["query_id", "corpus"], "q")
     dn = d.groupBy("corpus", "doc").agg(F.sqrt(F.sum(F.col("d") * F.col("d"))).alias("dn"))
     qn = q.groupBy("query_id", "corpus").agg(F.sqrt(F.sum(F.col("q") * F.col("q"))).alias("qn"))
     dots = q.join(d, ["corpus", "term"]).groupBy("query_id", "corpus", "doc").agg(F.sum(F.col("q") * F.col("d")).alias("dot"))

@@ -501,7 +501,7 @@ def trigram_cosine(spark: SparkSession, d: str) -> DataFrame:
     return retrieval.trigram_cosine(*_local_corpora(spark, d)).select(F.col("query_id").alias("qa_key"), F.col("doc").alias("turn"), F.round("cosine", 6).alias("cosine"))
 
 
-@query(_LOCAL + "SELECT qa_key, doc AS turn, rank, round(score, 6) AS score FROM (SELECT *, row_number() OVER (PARTITION BY qa_key ORDER BY round(score, 9) DESC, doc) AS rank FROM hyb) WHERE rank <= 4")
+@query(_LOCAL + "SELECT qa_key, doc AS turn, rank, round(round(score, 9), 6) AS score FROM (SELECT *, row_number() OVER (PARTITION BY qa_key ORDER BY round(score, 9) DESC, doc) AS rank FROM hyb) WHERE rank <= 4")
 def hybrid_top(spark: SparkSession, d: str) -> DataFrame:
     ranked = retrieval.hybrid(*_local_corpora(spark, d)).withColumn("score", F.round("score", 9))
     return retrieval.top(ranked, 4, "doc").select(F.col("query_id").alias("qa_key"), F.col("doc").alias("turn"), "rank", F.round("score", 6).alias("score"))
