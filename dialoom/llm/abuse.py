@@ -37,6 +37,10 @@ LABELLED_DOCUMENTS = 2000
 DIMENSIONS = 1 << 18
 THRESHOLD = 0.5
 COUNTERFACTUAL_WEIGHT = 2.0
+#: Sentences of more blanks are also read in overlapping windows of so many words.
+LONG_SENTENCE, WINDOW = 16, 12
+#: Not trained: a sentence of which the model knows nothing is harmless.
+BIAS = -2.0
 
 _LOOKALIKE = str.maketrans("аеорсхуіѕјкмтвнοαειρυκντ", "aeopcxyisjkmtbhoaeipukvt")
 _HIDDEN = re.compile("[­​-‏‪-‮⁠-⁤﻿︎️]")
@@ -76,11 +80,16 @@ def undisguised(text: str) -> str:
 
 
 def sentences(text: str) -> list[str]:
-    """Undisguised sentences, speaker marks left out."""
+    """Undisguised sentences and windows of long ones, speaker marks left out."""
     out: list[str] = []
     for line in re.split(r"[\n\r]+", text):
         line = undisguised(_SPEAKER.sub("", line))
-        out.extend(p for s in _SENTENCE.split(line) if (p := _SAID.sub("", s).strip()))
+        for s in _SENTENCE.split(line):
+            if part := _SAID.sub("", s).strip():
+                out.append(part)
+                if part.count(" ") > LONG_SENTENCE:  # a passage may lack the marks that would set it apart
+                    words = part.split()
+                    out.extend(" ".join(words[i : i + WINDOW]) for i in range(0, len(words) - WINDOW // 2, WINDOW // 2))
     return out
 
 
@@ -172,8 +181,8 @@ def train(rows: list[tuple[str, int]], pairs: list[tuple[str, str]], weights: li
         w[y == label] *= len(rows) / 2 / max(w[y == label].sum(), 1e-9)
     ra, ca, na = _matrix([a for a, _ in pairs])
     rb, cb, nb = _matrix([b for _, b in pairs])
-    theta, bias = np.zeros(DIMENSIONS), 0.0
-    square, square_bias = np.full(DIMENSIONS, 1e-8), 1e-8
+    theta, bias = np.zeros(DIMENSIONS), BIAS
+    square = np.full(DIMENSIONS, 1e-8)
 
     def z(rr: np.ndarray, cc: np.ndarray, nn: np.ndarray, n: int) -> np.ndarray:
         return np.bincount(rr, theta[cc], n) * nn + bias
@@ -187,9 +196,6 @@ def train(rows: list[tuple[str, int]], pairs: list[tuple[str, str]], weights: li
             grad += np.bincount(ca, (gap * na)[ra], DIMENSIONS) - np.bincount(cb, (gap * nb)[rb], DIMENSIONS)
         square += grad**2
         theta -= 0.5 * grad / np.sqrt(square)
-        step = error.sum()
-        square_bias += step**2
-        bias -= 0.2 * step / np.sqrt(square_bias)
     return Model(theta, bias)
 
 
