@@ -469,7 +469,7 @@ def _local_corpora(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
     spoken = F.concat_ws(" ", "question_text", "anchor_text", F.array_join("answer_options", " "))
     asked = base.select(F.col("qa_key").alias("query_id"), F.col("qa_key").alias("corpus"), spoken.alias("text"))
     docs = units.session_views(questions_of(spark, d), placed).select(F.col("qa_key").alias("corpus"), F.col("turn").alias("doc"), F.concat_ws(" ", "speaker", "text", "voice_style").alias("text"))
-    return asked, docs
+    return checkpoint(asked), checkpoint(docs)  # both scores read them several times
 
 
 _LOCAL = W_Q + r""", asked AS (SELECT qa_key, lower(concat_ws(' ', question_text, anchor_text, array_to_string(answer_options, ' '))) AS text FROM anchored WHERE anchor_id IS NOT NULL),
