@@ -19,6 +19,7 @@ labelled sentences alone train the model.
 
 from __future__ import annotations
 
+import math
 import re
 import unicodedata
 import zlib
@@ -49,6 +50,7 @@ _LATIN = re.compile("[a-z ]")
 _SPACED = re.compile(r"(?<![^\W_])(?:[^\W\d_][ \-._*]){2,}[^\W\d_](?![^\W_])")
 _STRETCHED = re.compile(r"([^\W\d_])\1{2,}")
 _STARRED = re.compile(r"[^\W\d_]+[*#%]+[^\W\d_]+|[^\W\d_][*#]{2,}")
+_MAYBE_LEET = re.compile(r"[a-z][0-9@$+]|[0-9@$+][a-z@$+]")
 _WORD = re.compile(r"[^\W_]+(?:'[^\W_]+)?")
 _SENTENCE = re.compile(r"(?<=[.!?])[\"'”»)]*\s+|[\n\r]+")
 _SPEAKER = re.compile(r"^\s*(?:D\d+:\d+\s+\w+\s+-\s+|\[\w+\]\s*|[A-Z]\w+:\s+)")
@@ -74,25 +76,30 @@ def undisguised(text: str) -> str:
             text = _FOREIGN.sub("", text)
         text = text.translate(_LOOKALIKE)
     text = _SPACED.sub(lambda m: re.sub(r"[ \-._*]", "", m[0]), text)
-    text = _STARRED.sub(lambda m: _unstar(m[0]), text)
-    text = _LEETED.sub(lambda m: m[0].translate(_LEET), text)
+    if "*" in text or "#" in text or "%" in text:
+        text = _STARRED.sub(lambda m: _unstar(m[0]), text)
+    if _MAYBE_LEET.search(text):
+        text = _LEETED.sub(lambda m: m[0].translate(_LEET), text)
     return _STRETCHED.sub(r"\1", text)
 
 
 def sentences(text: str) -> list[str]:
-    """Undisguised sentences and windows of long ones, speaker marks left out."""
+    """Undisguised sentences, speaker marks left out."""
     out: list[str] = []
     for line in re.split(r"[\n\r]+", text):
         line = undisguised(_SPEAKER.sub("", line))
-        for s in _SENTENCE.split(line):
-            if part := _SAID.sub("", s).strip():
-                out.append(part)
-                if part.count(" ") > LONG_SENTENCE:  # a passage may lack the marks that would set it apart
-                    words = part.split()
-                    out.extend(" ".join(words[i : i + WINDOW]) for i in range(0, len(words) - WINDOW // 2, WINDOW // 2))
+        out.extend(p for s in _SENTENCE.split(line) if (p := _SAID.sub("", s).strip()))
     return out
 
 
+def windows(sentence: str) -> list[str]:
+    """Overlapping windows of a long sentence: a passage may lack the marks that would set it apart."""
+    if sentence.count(" ") <= LONG_SENTENCE:
+        return []
+    words = sentence.split()
+    return [" ".join(words[i : i + WINDOW]) for i in range(0, len(words) - WINDOW // 2, WINDOW // 2)]
+
+
 def _hash(s: str) -> int:
     return zlib.crc32(s.encode("utf-8", "surrogatepass")) & (DIMENSIONS - 1)
 
@@ -103,6 +110,16 @@ def _word_features(word: str) -> tuple[int, ...]:
     return (_hash("w" + word), *groups)
 
 
+@lru_cache(maxsize=200_000)
+def _pair(a: str, b: str) -> int:
+    return _hash(f"b{a} {b}")
+
+
+@lru_cache(maxsize=200_000)
+def _gapped(a: str, b: str) -> int:
+    return _hash(f"g{a} {b}")
+
+
 def features(sentence: str) -> list[int]:
     """Hashed words, pairs, gapped pairs and letter groups; group names are one symbol."""
     words = ["<group>" if w in _IDENTITY or w.rstrip("s") in _IDENTITY else "<num>" if w.isdigit() else w for w in _WORD.findall(sentence)]
@@ -112,11 +129,11 @@ def features(sentence: str) -> list[int]:
     for w in words:
         out.update(_word_features(w))
     marked = ["<s>", *words, "</s>"]
-    out.update([_hash(f"b{a} {b}") for a, b in zip(marked, marked[1:])])
-    out.update([_hash(f"g{a} {b}") for a, b in zip(words, words[2:])])
+    out.update(map(_pair, marked, marked[1:]))
+    out.update(map(_gapped, words, words[2:]))
     if "*" in sentence and _STARRED.search(sentence):
         out.add(_hash("<starred>"))
-    return sorted(out)
+    return list(out)
 
 
 @dataclass
@@ -124,10 +141,35 @@ class Model:
     weights: np.ndarray
     bias: float
 
-    def score(self, sentence: str) -> float:
+    def __post_init__(self) -> None:
+        self.known = self.weights.tolist()
+        self.edge = 2 * max(0.0, float(self.weights.max(initial=0.0)))
+
+    def read(self, sentence: str) -> tuple[float, bool]:
+        """Score of a sentence, and whether a window of it could reach the threshold.
+
+        A window has no other features than its sentence but two at its ends, and at least as many
+        as the root below; if even their positive weights alone stay under the threshold, none can.
+        """
         f = features(sentence)
-        z = self.bias + self.weights[f].sum() / np.sqrt(max(len(f), 1)) if f else self.bias - 5
-        return float(1 / (1 + np.exp(-np.clip(z, -30, 30))))
+        if not f:
+            return 0.0, False
+        known = self.known
+        total = positive = 0.0
+        for i in f:
+            w = known[i]
+            total += w
+            if w > 0:
+                positive += w
+        z = self.bias + total / math.sqrt(len(f))
+        return 1 / (1 + math.exp(-max(-30.0, min(30.0, z)))), self.bias + (positive + self.edge) / math.sqrt(WINDOW // 2) >= 0
+
+    def score(self, sentence: str) -> float:
+        """Score of a sentence, or of its worst window."""
+        score, promising = self.read(sentence)
+        if promising:
+            score = max([score, *(self.read(w)[0] for w in windows(sentence))])
+        return score
 
     def document(self, text: str | None) -> float:
         if not text or not text.strip():
@@ -217,7 +259,8 @@ def fitted(reviewed: list[tuple[str, int]], rounds: int = 2) -> Model:
     for _ in range(rounds if reviewed else 0):
         rows, weights = list(base), [1.0] * len(base)
         for text, verdict in reviewed:
-            scored = sorted(((model.score(s), s) for s in set(sentences(text))), reverse=True)
+            parts = {w for s in sentences(text) for w in [s, *windows(s)]}
+            scored = sorted(((model.read(s)[0], s) for s in parts), reverse=True)
             if verdict == 0:
                 for score, s in scored[:40]:
                     if score < 0.9:  # a missed verdict must not unteach what the labelled sentences say
