@@ -57,7 +57,7 @@ _SPEAKER = re.compile(r"^\s*(?:D\d+:\d+\s+\w+\s+-\s+|\[\w+\]\s*|[A-Z]\w+:\s+)")
 _SAID = re.compile(r"^\s*(?:d\d+:\d+\s+\w+\s+-\s+|\[\w+\]\s*|\w+:\s+)")
 _LEET = str.maketrans("013457@$+!", "oieastasti")
 _LEETED = re.compile(r"(?<![\w@$+])(?=[\w@$+!]*[a-z@$+])(?=[\w@$+!]*[0134579@$+!])[a-z0-9@$+!]+[a-z0-9@$+]")
-_IDENTITY = frozenset(w for t in seed.IDENTITY_TERMS if " " not in (w := t))
+_IDENTITY = frozenset(x for t in seed.IDENTITY_TERMS if " " not in t for x in (t, t + "s", t.rstrip("s")))
 _LEXICON = sorted({*seed.INSULTS, *seed.ADJECTIVES, "fuck", "fucking", "shit", "mouth", "trash", "sex", "naked", "nudes", "horny", "tits", "animals", "vermin",
                    "filthy", "scum", "kill", "breed", "disease", "gueule", "fresse", "puta", "mierda", "salope", "connard", "arschloch", "idiota", "cock", "body", "blood", "cage"})
 
@@ -110,30 +110,26 @@ def _word_features(word: str) -> tuple[int, ...]:
     return (_hash("w" + word), *groups)
 
 
-@lru_cache(maxsize=200_000)
-def _pair(a: str, b: str) -> int:
-    return _hash(f"b{a} {b}")
+def _words(sentence: str) -> list[str]:
+    """Words of an undisguised sentence; group names and numbers are one symbol each."""
+    return ["<group>" if w in _IDENTITY else "<num>" if w.isdigit() else w for w in _WORD.findall(sentence)]
 
 
-@lru_cache(maxsize=200_000)
-def _gapped(a: str, b: str) -> int:
-    return _hash(f"g{a} {b}")
+def _pair(a: str, b: str) -> int:
+    return _hash(f"b{a} {b}")
 
 
 def features(sentence: str) -> list[int]:
-    """Hashed words, pairs, gapped pairs and letter groups; group names are one symbol."""
-    words = ["<group>" if w in _IDENTITY or w.rstrip("s") in _IDENTITY else "<num>" if w.isdigit() else w for w in _WORD.findall(sentence)]
+    """Hashed words with their letter groups, and pairs of words, each as often as it occurs."""
+    words = _words(sentence)
     if not words:
         return []
-    out: set[int] = set()
-    for w in words:
-        out.update(_word_features(w))
     marked = ["<s>", *words, "</s>"]
-    out.update(map(_pair, marked, marked[1:]))
-    out.update(map(_gapped, words, words[2:]))
+    out = [f for w in words for f in _word_features(w)]
+    out += map(_pair, marked, marked[1:])
     if "*" in sentence and _STARRED.search(sentence):
-        out.add(_hash("<starred>"))
-    return list(out)
+        out.append(_hash("<starred>"))
+    return out
 
 
 @dataclass
@@ -144,24 +140,52 @@ class Model:
     def __post_init__(self) -> None:
         self.known = self.weights.tolist()
         self.edge = 2 * max(0.0, float(self.weights.max(initial=0.0)))
+        self.words: dict[str, tuple[float, float, int]] = {}
+        self.pairs: dict[tuple[str, str], float] = {}
+
+    def _word(self, word: str) -> tuple[float, float, int]:
+        values = [self.known[i] for i in _word_features(word)]
+        if len(self.words) > 100_000:
+            self.words.clear()
+        got = self.words[word] = (sum(values), sum(v for v in values if v > 0), len(values))
+        return got
+
+    def _joined(self, pair: tuple[str, str]) -> float:
+        if len(self.pairs) > 200_000:
+            self.pairs.clear()
+        got = self.pairs[pair] = self.known[_pair(*pair)]
+        return got
 
     def read(self, sentence: str) -> tuple[float, bool]:
         """Score of a sentence, and whether a window of it could reach the threshold.
 
-        A window has no other features than its sentence but two at its ends, and at least as many
-        as the root below; if even their positive weights alone stay under the threshold, none can.
+        The sums over the features come from caches per word and pair. A window has no other
+        features than its sentence but two at its ends, and at least as many as the root below; if
+        even their positive weights alone stay under the threshold, none can reach it.
         """
-        f = features(sentence)
-        if not f:
+        words = _words(sentence)
+        if not words:
             return 0.0, False
-        known = self.known
         total = positive = 0.0
-        for i in f:
-            w = known[i]
-            total += w
-            if w > 0:
-                positive += w
-        z = self.bias + total / math.sqrt(len(f))
+        n = 0
+        known, pairs = self.words, self.pairs
+        for w in words:
+            got = known.get(w) or self._word(w)
+            total += got[0]
+            positive += got[1]
+            n += got[2]
+        for pair in zip(["<s>", *words], [*words, "</s>"]):
+            v = pairs.get(pair)
+            if v is None:
+                v = self._joined(pair)
+            total += v
+            if v > 0:
+                positive += v
+        n += len(words) + 1
+        if "*" in sentence and _STARRED.search(sentence):
+            v = self.known[_hash("<starred>")]
+            total, positive, n = total + v, positive + max(v, 0.0), n + 1
+        z = self.bias + total / math.sqrt(n)
         return 1 / (1 + math.exp(-max(-30.0, min(30.0, z)))), self.bias + (positive + self.edge) / math.sqrt(WINDOW // 2) >= 0
 
     def score(self, sentence: str) -> float:
