@@ -135,7 +135,7 @@ def options_block(options: Column) -> Column:
 
 def answer_key(x: Column) -> Column:
     """Comparable form of an answer: fences and option letters off, JSON answers unpacked, squashed."""
-    bare = F.trim(F.regexp_replace(F.trim(F.regexp_replace(strip(x), r"(?i)^```(?:json)?", "")), r"```$", ""))
+    bare = strip(F.regexp_replace(strip(F.regexp_replace(strip(x), r"(?i)^```(?:json)?", "")), r"```$", ""))
     inner = F.when(F.startswith(bare, F.lit("{")), F.coalesce(F.get_json_object(bare, "$.answer"), bare)).otherwise(bare)
     return F.lower(squashed(F.regexp_replace(inner, r"^[A-Z][).:\-]\s*", "")))
 
@@ -147,7 +147,7 @@ def tokens(x: Column) -> Column:
 
 def judge_scores(x: Column) -> Column:
     """The judge's partial scores as struct; what cannot be read counts as zero with verdict parse_error."""
-    bare = F.trim(F.regexp_replace(F.trim(F.regexp_replace(strip(x), r"(?i)^```(?:json)?", "")), r"```$", ""))
+    bare = strip(F.regexp_replace(strip(F.regexp_replace(strip(x), r"(?i)^```(?:json)?", "")), r"```$", ""))
     names = [*rules.JUDGE_WEIGHTS, "final_score"]
     readable = F.startswith(bare, F.lit("{")) & F.try_parse_json(bare).isNotNull()
     fields = [F.when(readable, F.coalesce(F.get_json_object(bare, f"$.{n}").try_cast("double"), F.lit(0.0))).otherwise(0.0).alias(n) for n in names]
