@@ -1,15 +1,16 @@
 """Near-duplicate rows: a multi-index Hamming join over b-bit min-hash signatures.
 
 A row is its set of words. Identical sets are one class first, so a group of copies costs one row.
-Every class gets ``POSITIONS`` weighted min-hash symbols; words found in more than
-``COMMON_SHARE`` of all rows weigh less (they come from templates and say little). Symbols are cut
-into chunks of ``WIDTH``; by the pigeonhole principle two signatures that differ in at most
+Every class gets ``POSITIONS`` min-hash symbols; all words weigh the same, so two symbols agree as
+often as the sets are alike, whatever words they share. Symbols are cut into chunks of ``WIDTH``; by
+the pigeonhole principle two signatures that differ in at most
 ``POSITIONS / WIDTH * (ERRORS + 1) - 1`` symbols have a chunk with at most ``ERRORS`` differing
-ones, and enumerating the places of those errors on both sides makes that an equality join. The
-b-bit signature travels with each key, so the join drops distant pairs before anything is shuffled
-again; what is left is verified on the word sets exactly. Guaranteed are all pairs of likeness
-``threshold`` whose signatures differ in no more symbols than that; others are found as likely as
-one of their chunks agrees (README gives the measured recall).
+ones, and enumerating the places of those errors on both sides makes that an equality join. A bitmap
+of ``CELLS`` hash cells of the words travels with each key: every cell set on one side only is a word
+the other side lacks, which bounds the likeness from above, so the join drops distant pairs, and
+none else, before anything is shuffled again; what is left is verified on the word sets exactly.
+Guaranteed are all pairs of likeness ``threshold`` whose signatures differ in no more symbols than
+that; others are found as likely as one of their chunks agrees (README gives the figures).
 
 Defined cases: a null text adds no word; rows without any word are like none; identical rows are
 pairs; the order of the two keys of a pair is the smaller first; extra columns are not looked at.
@@ -27,10 +28,7 @@ from pyspark.sql import functions as F
 
 from dialoom.session import checkpoint
 
-POSITIONS, WIDTH, ERRORS, BITS = 64, 4, 1, 4
-COMMON_SHARE = 0.05
-#: Agreeing b-bit symbols below which a pair met in a bucket is dropped (of POSITIONS).
-LEAST_AGREEING = 24
+POSITIONS, WIDTH, ERRORS, CELLS = 64, 4, 1, 256
 _MASK = np.uint64(0xFFFFFFFFFFFFFFFF)
 
 
@@ -48,7 +46,7 @@ def _mix(x: np.ndarray) -> np.ndarray:
 
 
 def signatures(sets: Sequence[np.ndarray], common: np.ndarray, weight: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """b-bit signature (rows x longs) and chunk keys (rows x keys) of non-empty word sets."""
+    """Bitmap of hash cells (rows x longs) and chunk keys (rows x keys) of non-empty word sets."""
     sizes = np.fromiter((len(s) for s in sets), np.int64, len(sets))
     starts = np.concatenate(([0], np.cumsum(sizes)[:-1]))
     flat = np.concatenate(sets).astype(np.int64)
@@ -62,10 +60,10 @@ def signatures(sets: Sequence[np.ndarray], common: np.ndarray, weight: np.ndarra
             h = _mix(flat.view(np.uint64) ^ seeds[p])
             score = -np.log(((h >> np.uint64(11)).astype(np.float64) + 0.5) * 2.0**-53) / w
             symbols[:, p] = _mix(np.minimum.reduceat(score, starts).view(np.uint64))
-        per_long = 64 // BITS
-        lanes = (symbols & np.uint64((1 << BITS) - 1)).reshape(len(sets), POSITIONS // per_long, per_long)
-        shifts = (np.arange(per_long, dtype=np.uint64) * np.uint64(BITS))[None, None, :]
-        packed = np.bitwise_or.reduce(lanes << shifts, axis=2).view(np.int64)
+        cell = _mix(flat.view(np.uint64)) % np.uint64(CELLS)
+        bits = np.zeros((len(flat), CELLS // 64), np.uint64)
+        bits[np.arange(len(flat)), cell // np.uint64(64)] = np.uint64(1) << cell % np.uint64(64)
+        packed = np.bitwise_or.reduceat(bits, starts, axis=0).view(np.int64)
         keys = []
         for c in range(POSITIONS // WIDTH):
             for kept in itertools.combinations(range(WIDTH), WIDTH - ERRORS):
@@ -76,18 +74,6 @@ def signatures(sets: Sequence[np.ndarray], common: np.ndarray, weight: np.ndarra
     return packed, np.stack(keys, 1).view(np.int64)
 
 
-def _common_words(sets: DataFrame, total: int) -> tuple[np.ndarray, np.ndarray]:
-    """Words of more than COMMON_SHARE of all rows: at most (mean words a row) / COMMON_SHARE of them."""
-    counts = (
-        sets.select(F.explode("words").alias("w"), "copies")
-        .groupBy("w").agg(F.sum("copies").alias("n"))
-        .where(F.col("n") > COMMON_SHARE * total)
-    )
-    rows = sorted((r["w"], r["n"]) for r in counts.toLocalIterator())
-    weight = [(COMMON_SHARE * total / n) ** 2 for _, n in rows]
-    return np.array([w for w, _ in rows], np.int64), np.array(weight, np.float64)
-
-
 def word_classes(rows: DataFrame, key: str, columns: Sequence[str]) -> DataFrame:
     """(id, class_a, class_b): rows of one word set share the two halves of its 128-bit key."""
     keyed = rows.select(F.col(key).alias("id"), words(columns).alias("words")).where(F.size("words") > 0)
@@ -107,38 +93,35 @@ def class_table(members: DataFrame) -> DataFrame:
 
 def like_classes(sets: DataFrame, numerator: int = 3, denominator: int = 5) -> DataFrame:
     """(rep_a, rep_b) of different word sets whose likeness is at least numerator / denominator."""
-    total = sets.agg(F.sum("copies")).first()[0] or 0
-    common, weight = _common_words(sets, total)
+    common, weight = np.array([], np.int64), np.array([])  # no word weighs less than another
 
-    @F.pandas_udf("struct<sig:array<bigint>,keys:array<bigint>>")
+    @F.pandas_udf("struct<cells:array<bigint>,keys:array<bigint>>")
     def sign(batch: pd.Series) -> pd.DataFrame:
-        sigs, keys = [], []
+        cells, keys = [], []
         for i in range(0, len(batch), 1000):
             s, k = signatures(batch.iloc[i : i + 1000].tolist(), common, weight)
-            sigs.extend(s)
+            cells.extend(s)
             keys.extend(k)
-        return pd.DataFrame({"sig": sigs, "keys": keys})
+        return pd.DataFrame({"cells": cells, "keys": keys})
 
-    longs = POSITIONS * BITS // 64
+    longs = CELLS // 64
     signed = sets.select("rep", F.size("words").alias("n"), sign("words").alias("s"))
     keyed = signed.select(
-        "rep", "n", *[F.col("s.sig")[i].alias(f"s{i}") for i in range(longs)], F.explode("s.keys").alias("key")
+        "rep", "n", *[F.col("s.cells")[i].alias(f"s{i}") for i in range(longs)], F.explode("s.keys").alias("key")
     )
     a, b = keyed.alias("a"), keyed.alias("b")
-    ones = sum(1 << (BITS * i) for i in range(64 // BITS))
-    differing = F.lit(0)
+    lacking = {"a": F.lit(0), "b": F.lit(0)}
     for i in range(longs):
-        x = F.col(f"a.s{i}").bitwiseXOR(F.col(f"b.s{i}"))
-        folded = x
-        for shift in range(1, BITS):
-            folded = folded.bitwiseOR(F.shiftrightunsigned(x, shift))
-        differing = differing + F.bit_count(folded.bitwiseAND(F.lit(ones)))
+        differing = F.col(f"a.s{i}").bitwiseXOR(F.col(f"b.s{i}"))
+        for side in lacking:
+            lacking[side] = lacking[side] + F.bit_count(differing.bitwiseAND(F.col(f"{side}.s{i}")))
+    shared = F.least(F.col("a.n") - lacking["a"], F.col("b.n") - lacking["b"])  # at most
     low, high = F.least("a.n", "b.n"), F.greatest("a.n", "b.n")
     candidates = (
         a.join(b, F.col("a.key") == F.col("b.key"))
         .where(F.col("a.rep") < F.col("b.rep"))
         .where(low * denominator >= high * numerator)
-        .where(differing <= POSITIONS - LEAST_AGREEING)
+        .where(shared * denominator >= (F.col("a.n") + F.col("b.n") - shared) * numerator)
         .select(F.col("a.rep").alias("rep_a"), F.col("b.rep").alias("rep_b"))
         .distinct()
     )

@@ -48,6 +48,20 @@ def test_pairs_equal_brute_force(spark):
     assert got == brute(rows)
 
 
+def test_variants_of_a_hot_text_are_found(spark):
+    """A third of the rows are copies of one text; edits hit words found nowhere else."""
+    rng = random.Random(8)
+    hot = rng.sample(VOCAB, 30)
+    rows = [(i, " ".join(hot), None) for i in range(60)]
+    for i in range(60, 120):
+        n = rng.randrange(1, 8)
+        rows.append((i, " ".join(hot[n:] + [f"rare{i}x{j}" for j in range(n)]), None))
+    rows += [(i, " ".join(f"other{rng.randrange(2000)}" for _ in range(30)), None) for i in range(120, 180)]
+    df = spark.createDataFrame(rows, "qa_key long, question_text string, gold_answer string")
+    got = {tuple(r) for r in neardup.like_pairs(df, "qa_key", ["question_text", "gold_answer"]).collect()}
+    assert got == brute(rows)
+
+
 def test_no_rows_no_pairs(spark):
     df = spark.createDataFrame([], "qa_key long, question_text string, gold_answer string")
     assert neardup.like_pairs(df, "qa_key", ["question_text", "gold_answer"]).count() == 0
