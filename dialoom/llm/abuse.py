@@ -3,9 +3,9 @@
 Texts are undisguised first (look-alike letters, zero-width marks, spaced, stretched and starred
 words), cut into sentences, and a logistic model over hashed words, word pairs and letter groups
 scores each sentence; the document's score is the highest. The model is
-trained on labelled sentences. For each that names a group the same sentence with other groups is
-added as a counterfactual, and the squared difference of the two scores is penalised, so that no
-group's name carries weight. Reviewers' verdicts on documents come in as a bounded sample: all
+trained on labelled sentences. For each that names a group the same sentence with other groups, all
+other words kept, is a counterfactual, and the squared difference of the two scores is penalised, so
+that no group's name carries weight; the names are words like any other, none is masked. Reviewers' verdicts on documents come in as a bounded sample: all
 sentences of documents every reviewer cleared are negatives, and in documents judged abusive the
 sentence the model already finds worst is a positive if it is found bad enough (verdicts are noisy).
 
@@ -37,7 +37,8 @@ from dialoom.llm import abuse_seed as seed
 LABELLED_DOCUMENTS = 2000
 DIMENSIONS = 1 << 18
 THRESHOLD = 0.5
-COUNTERFACTUAL_WEIGHT = 2.0
+#: Other groups a labelled sentence is paired with, and what the squared difference of the scores weighs.
+COUNTERFACTUALS, COUNTERFACTUAL_WEIGHT = 3, 2.0
 #: Sentences of more blanks are also read in overlapping windows of so many words.
 LONG_SENTENCE, WINDOW = 16, 12
 #: Not trained: a sentence of which the model knows nothing is harmless.
@@ -57,7 +58,6 @@ _SPEAKER = re.compile(r"^\s*(?:D\d+:\d+\s+\w+\s+-\s+|\[\w+\]\s*|[A-Z]\w+:\s+)")
 _SAID = re.compile(r"^\s*(?:d\d+:\d+\s+\w+\s+-\s+|\[\w+\]\s*|\w+:\s+)")
 _LEET = str.maketrans("013457@$+!", "oieastasti")
 _LEETED = re.compile(r"(?<![\w@$+])(?=[\w@$+!]*[a-z@$+])(?=[\w@$+!]*[0134579@$+!])[a-z0-9@$+!]+[a-z0-9@$+]")
-_IDENTITY = frozenset(x for t in seed.IDENTITY_TERMS if " " not in t for x in (t, t + "s", t.rstrip("s")))
 _LEXICON = sorted({*seed.INSULTS, *seed.ADJECTIVES, "fuck", "fucking", "shit", "mouth", "trash", "sex", "naked", "nudes", "horny", "tits", "animals", "vermin",
                    "filthy", "scum", "kill", "breed", "disease", "gueule", "fresse", "puta", "mierda", "salope", "connard", "arschloch", "idiota", "cock", "body", "blood", "cage"})
 
@@ -111,8 +111,8 @@ def _word_features(word: str) -> tuple[int, ...]:
 
 
 def _words(sentence: str) -> list[str]:
-    """Words of an undisguised sentence; group names and numbers are one symbol each."""
-    return ["<group>" if w in _IDENTITY else "<num>" if w.isdigit() else w for w in _WORD.findall(sentence)]
+    """Words of an undisguised sentence; numbers are one symbol."""
+    return ["<num>" if w.isdigit() else w for w in _WORD.findall(sentence)]
 
 
 def _pair(a: str, b: str) -> int:
@@ -201,32 +201,33 @@ class Model:
         return max((self.score(s) for s in set(sentences(text))), default=0.0)
 
 
-def _filled(template: str, rng: np.random.Generator, group: str | None = None) -> str:
+def _filled(template: str, rng: np.random.Generator) -> str:
+    """The template with all slots filled but that of the group."""
+
     def pick(values: list[str]) -> str:
         return values[int(rng.integers(len(values)))]
 
     def slot(m: re.Match) -> str:
         return {"w": lambda: pick(seed.INSULTS), "a": lambda: pick(seed.ADJECTIVES), "n": lambda: pick(seed.NAMES).lower(), "o": lambda: pick(seed.THINGS),
-                "p": lambda: pick(seed.PLACES), "t": lambda: pick(seed.OCCASIONS), "g": lambda: group or pick(seed.IDENTITY_TERMS)}[m[1]]()
+                "p": lambda: pick(seed.PLACES), "t": lambda: pick(seed.OCCASIONS), "g": lambda: m[0]}[m[1]]()
 
     return re.sub(r"\{(\w)\}", slot, template)
 
 
 def labelled_sentences(copies: int = 6, rng_seed: int = 5) -> tuple[list[tuple[str, int]], list[tuple[str, str]]]:
     """Labelled sentences, and pairs that differ in the group they name only."""
-    rng = np.random.default_rng(rng_seed)
+    rng, groups = np.random.default_rng(rng_seed), np.random.default_rng([rng_seed, 1])
     rows: list[tuple[str, int]] = []
     pairs: list[tuple[str, str]] = []
     for label, block in ((1, seed.ABUSIVE), (0, seed.HARMLESS)):
         for template in filter(None, block.split("\n")):
             for _ in range(copies if "{" in template else 2):
-                state = rng.bit_generator.state
                 text = _filled(template, rng)
+                if "{g}" in text:
+                    first, *others = (text.replace("{g}", seed.IDENTITY_TERMS[i]) for i in groups.choice(len(seed.IDENTITY_TERMS), 1 + COUNTERFACTUALS, replace=False))
+                    pairs.extend((first, other) for other in others)
+                    text = first
                 rows.append((text, label))
-                if "{g}" in template:
-                    rng.bit_generator.state = state
-                    other = seed.IDENTITY_TERMS[int(rng.integers(len(seed.IDENTITY_TERMS)))]
-                    pairs.append((text, _filled(template, rng, other)))
     return rows, pairs
 
 

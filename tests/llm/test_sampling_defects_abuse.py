@@ -1,3 +1,4 @@
+import re
 from collections import Counter
 from datetime import datetime
 
@@ -114,6 +115,18 @@ def test_group_names_carry_no_weight(model):
     assert max(scores) < abuse.THRESHOLD and max(scores) - min(scores) < 0.25
 
 
+def test_counterfactuals_differ_and_the_penalty_acts(model, monkeypatch):
+    rows, pairs = abuse.labelled_sentences()
+    terms = "|".join(sorted(abuse.seed.IDENTITY_TERMS, key=len, reverse=True))
+    apart = [(a, b) for a, b in pairs if sorted(abuse.features(a)) != sorted(abuse.features(b))]
+    assert pairs and apart == pairs and {a for a, _ in pairs} <= {t for t, _ in rows}
+    assert all(re.sub(terms, "", a) == re.sub(terms, "", b) for a, b in pairs)
+    gap = lambda m: sum((m.read(a)[0] - m.read(b)[0]) ** 2 for a, b in pairs) / len(pairs)
+    monkeypatch.setattr(abuse, "COUNTERFACTUAL_WEIGHT", 0.0)
+    free = gap(abuse.train(rows, pairs))
+    assert 0 < gap(model) < 0.5 * free
+
+
 def test_scores_rates_and_odd_rows(spark, model):
     rows = [(1, "s", "You are a disgusting parasite."), (2, "s", None), (3, None, ""), (4, None, "fine " * 4000 + "\nI know where you live and I will kill you."), (4, None, "fine")]
     df = spark.createDataFrame([(*r, 0.5) for r in rows], "doc_id long, source string, text string, score double")
