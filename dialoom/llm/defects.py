@@ -9,7 +9,8 @@ Whether a sentence breaks off is learnt from the whole corpus: every answer is r
 (function words and frequent words stay, others become W, names N, numbers #), and for each context of 3 to 9 skeleton
 tokens it is counted how often an answer ends there and how often it goes on. An answer without a
 final mark is truncated if the longest context that is known well enough goes on, or if its last
-word is only known as the beginning of other words. Counts are aggregated per partition and then by
+word is only known as the beginning of other words. Answers of two or three tokens have contexts
+only where they end in a function word: a bare name or noun is an answer ('At Stone Road'). Counts are aggregated per partition and then by
 key; only the bounded list of frequent words (at most mean length / share) reaches the driver.
 
 Defined cases: null, blank, sign and placeholder answers are 'empty'; JSON text counts as what it
@@ -147,6 +148,7 @@ def lcs(a: list[str], b: list[str]) -> int:
 
 _TEMPLATES = [t.split() for t in REFUSALS]
 _TEMPLATE_AT = {id(t): t for t in _TEMPLATES}
+_TEMPLATE_SET = {id(t): frozenset(t) for t in _TEMPLATES}
 _BY_TOKEN: dict[str, list[list[str]]] = {}
 for _t in _TEMPLATES:
     for _w in sorted(set(_t)):
@@ -158,26 +160,34 @@ def is_refusal(text: str) -> bool:
     if UNSPACED_REFUSALS.search(text):
         return True
     bare = _QUOTED.sub(" , ", text) if _MAYBE_QUOTED.search(text) else text
-    tokens = plain_tokens(bare)[:80]
+    tokens = plain_tokens(bare)
     if not tokens:
         return False
+    places: dict[str, list[int]] = {}
+    for i, w in enumerate(tokens):
+        places.setdefault(w, []).append(i)
     have: dict[int, int] = {}
-    for w in set(tokens):
+    for w in places:
         for t in _BY_TOKEN.get(w, ()):
             have[id(t)] = have.get(id(t), 0) + 1
     for at, n in have.items():
         t = _TEMPLATE_AT[at]
         need = len(t) - (len(t) >= 5)
-        if n < need - (len(set(t)) < len(t)):
+        distinct = need - (len(set(t)) < len(t))
+        if n < distinct:
             continue
-        for i in range(max(1, len(tokens) - need + 1)):
-            if tokens[i] in t[:2] and lcs(t, tokens[i : i + len(t) + 2]) >= need:
-                return True
+        for w in set(t[:2]):
+            for i in places.get(w, ()):
+                window = tokens[i : i + len(t) + 2]
+                if len(_TEMPLATE_SET[at].intersection(window)) >= distinct and lcs(t, window) >= need:
+                    return True
     return False
 
 
 def is_copy(question: list[str], answer: list[str]) -> bool:
-    """Only repeats the question: shingle containment first, then the order of the tokens."""
+    """Only repeats the question: the same words, else shingle containment, then the order of the tokens."""
+    if answer and answer == question:
+        return True
     if len(answer) < 5 or not question:
         return False
     q3 = set(zip(question, question[1:], question[2:]))
@@ -318,7 +328,7 @@ def _suspects(frequent: set[str]):
                 tokens = list(tokens)
                 parts = skeleton(tokens, frequent)
                 last = tokens[-1].lower() if tokens and tokens[-1].isalpha() else None
-                found = contexts(parts[-LONGEST:]) if len(parts) > 3 else []
+                found = contexts(parts[-LONGEST:]) if len(parts) > 3 or (parts and parts[-1] in _LANGUAGES_OF) else []
                 rows += [(key, SHORTEST + len(found) - 1 - i, c, last) for i, c in enumerate(found)] or [(key, 0, None, last)]
             yield pd.DataFrame(rows, columns=["qa_key", "n", "context", "last"], dtype=object)
 

@@ -90,6 +90,22 @@ def test_defects(spark):
     assert defects.defective_answers(df.limit(0)).count() == 0
 
 
+def test_late_refusals_and_short_copies():
+    restated = "You ask how Maren came to move the lamp before the wedding of the two neighbours. " * 12
+    assert defects.judged(Q, restated + "I'm sorry, but I cannot help with that.")[0] == "refusal"
+    assert defects.judged(Q, restated + 'Then Ivo says "I cannot help with that" and leaves.')[0] is None
+    assert defects.judged(Q, restated)[0] is None
+    assert defects.judged("Who moved it?", "who moved it")[0] == "copy" and defects.judged("Who moved it?", "Maren moved it")[0] is None
+
+
+def test_short_answers_that_break_off(spark):
+    rows = [(i, Q, f"Because of the {c} lamp, Maren stays {m}.") for i, (c, m) in enumerate((c, m) for c in ("blue", "old", "red", "tall") for m in ("calm", "sad", "proud"))]
+    rows += [(100, Q, "Because of the"), (101, Q, "Because of"), (102, Q, "Old lamp"), (103, Q, "Maren"), (104, Q, "Because of the blue lamp")]
+    df = spark.createDataFrame(rows, "qa_key long, question_text string, gold_answer string")
+    got = {r.qa_key: r.defect for r in defects.defective_answers(df).collect()}
+    assert {k: got.get(k) for k in range(100, 104)} == {100: "truncated", 101: "truncated", 102: None, 103: None} and not any(k < 100 for k in got)
+
+
 @pytest.fixture(scope="module")
 def model():
     return abuse.fitted([])
