@@ -133,9 +133,11 @@ def _labelled(df: DataFrame, columns: list[str], members: dict[str, list[tuple]]
     return df.select("unit_key", *columns).mapInPandas(run, NODE_SCHEMA)
 
 
-def dewey_nodes(units: DataFrame, columns: list[str] = ["task_layer", "benchmark_views"]) -> DataFrame:  # noqa: B006
-    """All nodes of the JSON columns, with parent labels by truncation."""
-    nodes = _labelled(units, columns, None)
+def dewey_nodes(units: DataFrame, columns: list[str] = ["task_layer", "benchmark_views", "history_evidence"]) -> DataFrame:  # noqa: B006
+    """All nodes of the nested columns, with parent labels by truncation; typed columns count as their JSON, nulls kept for the ordinals."""
+    kinds = dict(units.dtypes)
+    texts = [F.col(c) if kinds[c] == "string" else F.to_json(c, {"ignoreNullFields": "false"}).alias(c) for c in columns]
+    nodes = _labelled(units.select("unit_key", *texts), columns, None)
     return nodes.withColumn("parent_dewey", F.regexp_replace("dewey", r"\.?[0-9]+$", ""))
 
 

@@ -25,6 +25,11 @@ def p5_nodes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return nested.dewey_nodes(table(spark, sf_dir, "all_units"))
 
 
+def p5_paths(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Size and depth of each flat table of nodes, one per schema path."""
+    return nested.path_tables(nested.dewey_nodes(table(spark, sf_dir, "all_units")))
+
+
 def p5_member_sizes(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Elements and units of each member table; member keys of any name count under their own path."""
     return nested.member_elements(table(spark, sf_dir, "all_units")).groupBy("member_path").agg(
@@ -32,7 +37,7 @@ def p5_member_sizes(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-QUERIES = {f.__name__: f for f in (p3_found, p3_report, p5_found, p5_nodes, p5_member_sizes)}
+QUERIES = {f.__name__: f for f in (p3_found, p3_report, p5_found, p5_nodes, p5_paths, p5_member_sizes)}
 
 _ID = r"'^[^\p{L}\p{N}]*(?:[DdＤｄ][^\p{L}\p{N}]*)?([0-9]{1,18})[^\p{L}\p{N}]+([0-9]{1,18})[^\p{L}\p{N}]*$'"
 

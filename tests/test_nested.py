@@ -40,6 +40,16 @@ def test_parents_by_truncation(spark):
     assert {r.schema_path for r in nested.path_tables(df).collect()} == {r.schema_path for r in nodes.values()}
 
 
+def test_typed_columns_have_nodes(spark):
+    schema = SCHEMA.replace("struct<dia_id:string>", "struct<dia_id:string,speaker:string,modality_available:array<string>>")
+    df = nested.dewey_nodes(spark.createDataFrame([unit(1, None, None, [("D1:1", None, ["text", "audio"]), None, ("D1:2", "B", None)])], schema))
+    assert rows_of(df, "dewey", "parent_dewey", "schema_path", "value") == sorted([
+        ("0", "", "history_evidence[]", None), ("0.0", "0", "history_evidence[].dia_id", "D1:1"), ("0.2", "0", "history_evidence[].modality_available", None),
+        ("0.2.0", "0.2", "history_evidence[].modality_available[]", "text"), ("0.2.1", "0.2", "history_evidence[].modality_available[]", "audio"),
+        ("2", "", "history_evidence[]", None), ("2.0", "2", "history_evidence[].dia_id", "D1:2"), ("2.1", "2", "history_evidence[].speaker", "B"),
+    ], key=repr)
+
+
 def test_nothing_to_label(spark):
     assert nested.member_elements(spark.createDataFrame([], SCHEMA)).count() == 0
     assert nested.readable("[" * 100_000) is None
