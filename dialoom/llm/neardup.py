@@ -1,16 +1,21 @@
 """Near-duplicate rows: a multi-index Hamming join over b-bit min-hash signatures.
 
 A row is its set of words. Identical sets are one class first, so a group of copies costs one row.
-Every class gets ``POSITIONS`` min-hash symbols; all words weigh the same, so two symbols agree as
-often as the sets are alike, whatever words they share. Symbols are cut into chunks of ``WIDTH``; by
-the pigeonhole principle two signatures that differ in at most
-``POSITIONS / WIDTH * (ERRORS + 1) - 1`` symbols have a chunk with at most ``ERRORS`` differing
-ones, and enumerating the places of those errors on both sides makes that an equality join. A bitmap
-of ``CELLS`` hash cells of the words travels with each key: every cell set on one side only is a word
-the other side lacks, which bounds the likeness from above, so the join drops distant pairs, and
-none else, before anything is shuffled again; what is left is verified on the word sets exactly.
-Guaranteed are all pairs of likeness ``threshold`` whose signatures differ in no more symbols than
-that; others are found as likely as one of their chunks agrees (README gives the figures).
+Every class gets a signature of ``POSITIONS`` min-hash symbols of ``BITS`` bits; all words weigh the
+same, so two symbols agree as often as the sets are alike, whatever words they share. The distance of
+two signatures is the number of symbols in which they differ. Signatures are split into chunks of
+``WIDTH`` symbols; by the pigeonhole principle two signatures of distance
+``POSITIONS / WIDTH * (ERRORS + 1) - 1`` or less have a chunk with at most ``ERRORS`` differing
+symbols, and enumerating the places of those errors on both sides makes that an equality join of the
+symbols left: every pair under that distance is met. A bitmap of ``CELLS`` hash cells of the words
+travels with each key: every cell set on one side only is a word the other side lacks, which bounds
+the likeness from above, so the join drops distant pairs, and none else, before anything is shuffled
+again; what is left is verified on the word sets exactly. Pairs of likeness ``threshold`` whose
+signatures lie further apart are found as likely as one of their chunks agrees (README gives the
+figures).
+
+All joins whose sides grow with the data are sort-merge joins by hint: the size that the planner
+sees before the keys are exploded says nothing, so no side may be broadcast because of it.
 
 Defined cases: a null text adds no word; rows without any word are like none; identical rows are
 pairs; the order of the two keys of a pair is the smaller first; extra columns are not looked at.
@@ -19,24 +24,23 @@ pairs; the order of the two keys of a pair is the smaller first; extra columns a
 from __future__ import annotations
 
 import itertools
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from dialoom.session import checkpoint
 
-POSITIONS, WIDTH, ERRORS, CELLS = 64, 4, 1, 256
-_MASK = np.uint64(0xFFFFFFFFFFFFFFFF)
+POSITIONS, WIDTH, ERRORS, BITS, CELLS = 64, 4, 1, 16, 256
 
 
 def words(columns: Sequence[str]) -> Column:
     """Distinct lower-cased runs of letters and digits of several columns, as sorted hashes."""
     text = F.lower(F.concat_ws(" ", *columns))
     runs = F.array_distinct(F.regexp_extract_all(text, F.lit(r"[\p{L}\p{N}]+"), F.lit(0)))
-    return F.array_sort(F.transform(runs, lambda w: F.xxhash64(w)))
+    return F.sort_array(F.transform(runs, lambda w: F.xxhash64(w)))
 
 
 def _mix(x: np.ndarray) -> np.ndarray:
@@ -45,33 +49,53 @@ def _mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(31))
 
 
-def signatures(sets: Sequence[np.ndarray], common: np.ndarray, weight: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Bitmap of hash cells (rows x longs) and chunk keys (rows x keys) of non-empty word sets."""
-    sizes = np.fromiter((len(s) for s in sets), np.int64, len(sets))
-    starts = np.concatenate(([0], np.cumsum(sizes)[:-1]))
-    flat = np.concatenate(sets).astype(np.int64)
-    at = np.searchsorted(common, flat)
-    known = common[np.minimum(at, len(common) - 1)] == flat if len(common) else np.zeros(len(flat), bool)
-    w = np.where(known, weight[np.minimum(at, len(weight) - 1)] if len(weight) else 1.0, 1.0)
+def signatures(flat: np.ndarray, starts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Symbols (rows x POSITIONS, of BITS bits) and bitmap of hash cells (rows x longs) of word sets.
+
+    ``flat`` holds the words of all sets one after the other, ``starts`` where each set begins.
+    """
     seeds = _mix(np.arange(1, POSITIONS + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15))
-    symbols = np.empty((len(sets), POSITIONS), np.uint64)
+    symbols = np.empty((len(starts), POSITIONS), np.uint64)
     with np.errstate(over="ignore"):
+        mixed = _mix(flat.view(np.uint64))
         for p in range(POSITIONS):
-            h = _mix(flat.view(np.uint64) ^ seeds[p])
-            score = -np.log(((h >> np.uint64(11)).astype(np.float64) + 0.5) * 2.0**-53) / w
-            symbols[:, p] = _mix(np.minimum.reduceat(score, starts).view(np.uint64))
-        cell = _mix(flat.view(np.uint64)) % np.uint64(CELLS)
+            h = (mixed ^ seeds[p]) * np.uint64(0xD6E8FEB86659FD93)
+            h ^= h >> np.uint64(32)
+            h *= np.uint64(0xCA5A826395121157)
+            symbols[:, p] = _mix(np.minimum.reduceat(h, starts)) >> np.uint64(64 - BITS)
+        cell = mixed % np.uint64(CELLS)
         bits = np.zeros((len(flat), CELLS // 64), np.uint64)
         bits[np.arange(len(flat)), cell // np.uint64(64)] = np.uint64(1) << cell % np.uint64(64)
-        packed = np.bitwise_or.reduceat(bits, starts, axis=0).view(np.int64)
-        keys = []
-        for c in range(POSITIONS // WIDTH):
-            for kept in itertools.combinations(range(WIDTH), WIDTH - ERRORS):
-                k = np.full(len(sets), c * 64 + len(keys), np.uint64)
-                for j in kept:
-                    k = _mix(k * np.uint64(0x9E3779B97F4A7C15) ^ symbols[:, c * WIDTH + j])
-                keys.append(k)
-    return packed, np.stack(keys, 1).view(np.int64)
+    return symbols, np.bitwise_or.reduceat(bits, starts, axis=0).view(np.int64)
+
+
+def chunk_keys(symbols: np.ndarray) -> np.ndarray:
+    """Keys (rows x keys): for each chunk and each place of its errors the symbols left, side by side."""
+    keys = []
+    for c in range(POSITIONS // WIDTH):
+        for kept in itertools.combinations(range(WIDTH), WIDTH - ERRORS):
+            key = np.full(len(symbols), len(keys), np.uint64)
+            for j in kept:
+                key = key << np.uint64(BITS) | symbols[:, c * WIDTH + j]
+            keys.append(key)
+    return np.stack(keys, 1).view(np.int64)
+
+
+def _sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    longs = CELLS // 64
+    for batch in batches:
+        for at in range(0, batch.num_rows, 2000):
+            part = batch.slice(at, 2000)
+            sets = part.column("words")
+            offsets = sets.offsets.to_numpy()
+            flat = sets.flatten().to_numpy(zero_copy_only=False)
+            symbols, cells = signatures(flat, (offsets[:-1] - offsets[0]).astype(np.int64))
+            keys = chunk_keys(symbols)
+            each = np.arange(0, keys.size + 1, keys.shape[1], dtype=np.int32)
+            yield pa.RecordBatch.from_arrays(
+                [part.column("rep"), pa.array(np.diff(offsets), pa.int32()), *[pa.array(np.ascontiguousarray(cells[:, i])) for i in range(longs)], pa.ListArray.from_arrays(each, pa.array(keys.ravel()))],
+                ["rep", "n", *[f"s{i}" for i in range(longs)], "keys"],
+            )
 
 
 def word_classes(rows: DataFrame, key: str, columns: Sequence[str]) -> DataFrame:
@@ -93,22 +117,11 @@ def class_table(members: DataFrame) -> DataFrame:
 
 def like_classes(sets: DataFrame, numerator: int = 3, denominator: int = 5) -> DataFrame:
     """(rep_a, rep_b) of different word sets whose likeness is at least numerator / denominator."""
-    common, weight = np.array([], np.int64), np.array([])  # no word weighs less than another
-
-    @F.pandas_udf("struct<cells:array<bigint>,keys:array<bigint>>")
-    def sign(batch: pd.Series) -> pd.DataFrame:
-        cells, keys = [], []
-        for i in range(0, len(batch), 1000):
-            s, k = signatures(batch.iloc[i : i + 1000].tolist(), common, weight)
-            cells.extend(s)
-            keys.extend(k)
-        return pd.DataFrame({"cells": cells, "keys": keys})
-
     longs = CELLS // 64
-    signed = sets.select("rep", F.size("words").alias("n"), sign("words").alias("s"))
-    keyed = signed.select(
-        "rep", "n", *[F.col("s.cells")[i].alias(f"s{i}") for i in range(longs)], F.explode("s.keys").alias("key")
-    )
+    kind = sets.schema["rep"].dataType.simpleString()
+    cells = ", ".join(f"s{i} bigint" for i in range(longs))
+    signed = sets.select("rep", "words").mapInArrow(_sign, f"rep {kind}, n int, {cells}, keys array<bigint>")
+    keyed = signed.select("rep", "n", *[f"s{i}" for i in range(longs)], F.explode("keys").alias("key"))
     a, b = keyed.alias("a"), keyed.alias("b")
     lacking = {"a": F.lit(0), "b": F.lit(0)}
     for i in range(longs):
@@ -118,7 +131,7 @@ def like_classes(sets: DataFrame, numerator: int = 3, denominator: int = 5) -> D
     shared = F.least(F.col("a.n") - lacking["a"], F.col("b.n") - lacking["b"])  # at most
     low, high = F.least("a.n", "b.n"), F.greatest("a.n", "b.n")
     candidates = (
-        a.join(b, F.col("a.key") == F.col("b.key"))
+        a.join(b.hint("merge"), F.col("a.key") == F.col("b.key"))
         .where(F.col("a.rep") < F.col("b.rep"))
         .where(low * denominator >= high * numerator)
         .where(shared * denominator >= (F.col("a.n") + F.col("b.n") - shared) * numerator)
@@ -129,20 +142,20 @@ def like_classes(sets: DataFrame, numerator: int = 3, denominator: int = 5) -> D
     wb = sets.select(F.col("rep").alias("rep_b"), F.col("words").alias("wb"))
     both = F.size(F.array_intersect("wa", "wb"))
     either = F.size("wa") + F.size("wb") - both
-    return (
-        candidates.join(wa, "rep_a").join(wb, "rep_b").where(both * denominator >= either * numerator).select("rep_a", "rep_b")
-    )
+    verified = candidates.join(wa.hint("merge"), "rep_a").join(wb.hint("merge"), "rep_b")
+    return verified.where(both * denominator >= either * numerator).select("rep_a", "rep_b")
 
 
 def like_pairs(rows: DataFrame, key: str, columns: Sequence[str]) -> DataFrame:
     """(id_a, id_b), smaller first: every pair of rows of likeness 3/5 or more."""
-    members = word_classes(rows, key, columns)
+    members = checkpoint(word_classes(rows, key, columns))  # words are cut out once
     sets = class_table(members)
     links = like_classes(sets)
-    reps = checkpoint(members.select("id", "class_a", "class_b").join(sets.select("class_a", "class_b", "rep"), ["class_a", "class_b"]).select("id", "rep"))
+    named = members.select("id", "class_a", "class_b").join(sets.select("class_a", "class_b", "rep").hint("merge"), ["class_a", "class_b"])
+    reps = checkpoint(named.select("id", "rep"))
     left, right = reps.select(F.col("id").alias("x"), F.col("rep").alias("rep_a")), reps.select(F.col("id").alias("y"), F.col("rep").alias("rep_b"))
-    across = links.join(left, "rep_a").join(right, "rep_b")
-    copies = left.join(right, F.col("rep_a") == F.col("rep_b")).where("x < y")
+    across = links.join(left.hint("merge"), "rep_a").join(right.hint("merge"), "rep_b")
+    copies = left.join(right.hint("merge"), F.col("rep_a") == F.col("rep_b")).where("x < y")
     pairs = across.select("x", "y").unionByName(copies.select("x", "y"))
     return pairs.select(F.least("x", "y").alias("id_a"), F.greatest("x", "y").alias("id_b"))
 
@@ -154,22 +167,23 @@ def groups(rows: DataFrame, key: str, columns: Sequence[str]) -> DataFrame:
     classes by label propagation with shortcuts; each round is checkpointed, the number of rounds
     is logarithmic in the length of the longest chain.
     """
-    members = checkpoint(word_classes(rows, key, columns).select("id", "class_a", "class_b", "words"))
+    members = checkpoint(word_classes(rows, key, columns))
     sets = class_table(members)
-    links = like_classes(sets)
-    edges = checkpoint(links.select("rep_a", "rep_b").unionByName(links.select(F.col("rep_b").alias("rep_a"), F.col("rep_a").alias("rep_b"))))
+    links = checkpoint(like_classes(sets))
+    edges = links.unionByName(links.select(F.col("rep_b").alias("rep_a"), F.col("rep_a").alias("rep_b")))
     labels = checkpoint(edges.groupBy(F.col("rep_a").alias("rep")).agg(F.min("rep_b").alias("m"), F.count("*").alias("n_links")).select("rep", F.least("rep", "m").alias("label"), "n_links"))
     while True:
-        heard = edges.join(labels.select(F.col("rep").alias("rep_b"), "label"), "rep_b").groupBy(F.col("rep_a").alias("rep")).agg(F.min("label").alias("heard"))
-        near = labels.join(heard, "rep").select("rep", F.least("label", "heard").alias("near"), F.col("label").alias("old"), "n_links")
-        jump = near.select(F.col("rep").alias("near"), F.col("near").alias("far"))
+        told = labels.select(F.col("rep").alias("rep_b"), "label").hint("merge")
+        heard = edges.join(told, "rep_b").groupBy(F.col("rep_a").alias("rep")).agg(F.min("label").alias("heard"))
+        near = labels.join(heard.hint("merge"), "rep").select("rep", F.least("label", "heard").alias("near"), F.col("label").alias("old"), "n_links")
+        jump = near.select(F.col("rep").alias("near"), F.col("near").alias("far")).hint("merge")
         after = checkpoint(near.join(jump, "near", "left").select("rep", F.least("near", "far").alias("label"), "old", "n_links"))
         changed = after.where("label < old").limit(1).count()
         labels = after.select("rep", "label", "n_links")
         if not changed:
             break
-    classes = sets.select("class_a", "class_b", "rep").join(labels, "rep", "left")
-    named = members.select("id", "class_a", "class_b").join(classes, ["class_a", "class_b"])
+    classes = sets.select("class_a", "class_b", "rep").join(labels.hint("merge"), "rep", "left")
+    named = members.select("id", "class_a", "class_b").join(classes.hint("merge"), ["class_a", "class_b"])
     found = named.select("id", F.coalesce("label", "rep").alias("group_id"), F.coalesce("n_links", F.lit(0)).alias("n_links"))
     wordless = rows.select(F.col(key).alias("id"), words(columns).alias("w")).where(F.size("w") == 0)
     return found.unionByName(wordless.select("id", F.col("id").alias("group_id"), F.lit(0).cast("bigint").alias("n_links")))

@@ -7,6 +7,7 @@ from conftest import SMALL, rows_of, same_as_sql
 
 from dialoom.llm import catalog, neardup
 from dialoom.llm.canonical import canonical_values
+from dialoom.session import checkpoint
 
 VOCAB = [f"{a}{b}" for a in "bcdfghklmn" for b in ("ala", "ebo", "ino", "ost", "ulk", "ard", "irn", "ump")]
 
@@ -62,6 +63,15 @@ def test_variants_of_a_hot_text_are_found(spark):
     assert got == brute(rows)
 
 
+def test_no_side_that_grows_is_broadcast(spark, monkeypatch):
+    rows = spark.range(400).selectExpr("id", "concat('lamp stone river ', id % 50, ' door ', id % 7) as text")
+    plans = []
+    monkeypatch.setattr(neardup, "checkpoint", lambda df: plans.append(df) or checkpoint(df))
+    plans += [neardup.like_pairs(rows, "id", ["text"]), neardup.groups(rows, "id", ["text"])]
+    for df in plans:
+        assert "Broadcast" not in df._jdf.queryExecution().executedPlan().toString()
+
+
 def test_no_rows_no_pairs(spark):
     df = spark.createDataFrame([], "qa_key long, question_text string, gold_answer string")
     assert neardup.like_pairs(df, "qa_key", ["question_text", "gold_answer"]).count() == 0
@@ -82,7 +92,13 @@ def test_signatures_agree_as_often_as_the_sets_are_alike():
     for i in range(200):
         own = pool[i * 10 : i * 10 + 10]
         sets += [np.sort(np.concatenate([own, pool[2000 + i * 5 : 2000 + i * 5 + 5]])), np.sort(np.concatenate([own, pool[3000 + i * 5 : 3000 + i * 5 + 5]]))]
-    _, keys = neardup.signatures(sets, np.array([], np.int64), np.array([]))
+    sizes = np.array([len(x) for x in sets])
+    symbols, _ = neardup.signatures(np.concatenate(sets), np.concatenate(([0], np.cumsum(sizes)[:-1])))
+    assert int(symbols.max()) < 1 << neardup.BITS
+    keys = neardup.chunk_keys(symbols)
+    allowed = neardup.POSITIONS // neardup.WIDTH * (neardup.ERRORS + 1) - 1
+    close = [i for i in range(0, 400, 2) if (symbols[i] != symbols[i + 1]).sum() <= allowed]
+    assert len(close) > 50 and all(set(keys[i]) & set(keys[i + 1]) for i in close)  # the guarantee of the chunks
     met = [len(set(keys[i]) & set(keys[i + 1])) > 0 for i in range(0, 400, 2)]
     apart = [len(set(keys[i]) & set(keys[i + 2])) > 0 for i in range(0, 398, 2)]
     assert np.mean(met) > 0.99 and np.mean(apart) < 0.01
