@@ -20,11 +20,12 @@ refusal, copy, language, truncated; repeated rows are judged each.
 
 from __future__ import annotations
 
+import itertools
 import json
 import re
-from collections import Counter
 from collections.abc import Iterator
 
+import numpy as np
 import pandas as pd
 import xxhash
 from pyspark.sql import DataFrame
@@ -34,6 +35,9 @@ from dialoom.session import checkpoint
 
 FREQUENT_SHARE = 0.03
 LONGEST, SHORTEST, SUPPORT, END_SHARE = 9, 3, 5, 0.15
+START, FACTOR = 0x9E3779B97F4A7C15, np.uint64(0xD6E8FEB86659FD93)
+#: Letters by which the beginnings of words are joined; longer ones are compared in full.
+KEYED = 40
 
 #: Answers that stand for no answer (fixed values).
 PLACEHOLDERS = {"n a", "na", "none", "null", "nil", "nan", "empty", "no answer", "tbd", "todo", "to do", "to be determined", "not available",
@@ -63,7 +67,8 @@ REFUSALS = [
 UNSPACED_REFUSALS = re.compile("无法回答|不能回答|无法提供|无法协助|不便回答|拒绝回答|お答えできません|回答できません|答えられません|お手伝いできません|답변할 수 없|도와드릴 수 없")
 
 CONTRACTIONS = {"can't": "cannot", "won't": "will not", "i'm": "i am", "i'd": "i would", "i'll": "i will", "don't": "do not",
-                "let's": "let us", "isn't": "is not", "couldn't": "could not", "wouldn't": "would not", "doesn't": "does not"}
+                "let's": "let us", "isn't": "is not", "couldn't": "could not", "wouldn't": "would not", "doesn't": "does not",
+                "cant": "cannot", "wont": "will not", "dont": "do not", "im": "i am", "isnt": "is not", "couldnt": "could not", "wouldnt": "would not", "doesnt": "does not"}
 
 #: Function words by language (fixed values).
 FUNCTION_WORDS = {
@@ -101,19 +106,19 @@ _HANGING = re.compile(r"[,;:(\[{\-–—„“«&/]\s*$|[(\[“«„][^)\]”»]
 def unwrapped(text: str | None) -> str:
     """The answer that a text holds: JSON text counts as what it encodes, full quotes are taken off."""
     text = (text or "").strip()
-    for _ in range(3):
-        if text[:1] in ('"', "{", "["):
-            try:
-                value = json.loads(text)
-            except (ValueError, RecursionError):
-                break
-            if isinstance(value, dict):
-                value = value.get("answer", next((v for v in value.values() if isinstance(v, str)), ""))
-            if isinstance(value, list):
-                value = " ".join(str(v) for v in value if v is not None)
-            text = "" if value is None else str(value).strip()
-            continue
-        break
+    while text[:1] in ('"', "{", "["):  # every layer taken off makes the text shorter
+        try:
+            value = json.loads(text)
+        except (ValueError, RecursionError):
+            break
+        if isinstance(value, dict):
+            value = value.get("answer", next((v for v in value.values() if isinstance(v, str)), ""))
+        if isinstance(value, list):
+            value = " ".join(str(v) for v in value if v is not None)
+        inner = "" if value is None else str(value).strip()
+        if len(inner) >= len(text):
+            break
+        text = inner
     return text
 
 
@@ -125,25 +130,26 @@ def is_empty(text: str) -> bool:
 def plain_tokens(text: str) -> list[str]:
     """Lower-case words with contractions written out."""
     words = _WORD.findall(text.lower().replace("’", "'"))
-    if "'" not in text and "’" not in text:
+    if CONTRACTIONS.keys().isdisjoint(words):
         return words
     out: list[str] = []
     for w in words:
-        if "'" in w and w in CONTRACTIONS:
-            out.extend(CONTRACTIONS[w].split())
-        else:
-            out.append(w)
+        written = CONTRACTIONS.get(w)
+        out.extend(written.split()) if written else out.append(w)
     return out
 
 
 def lcs(a: list[str], b: list[str]) -> int:
-    """Length of the longest common subsequence."""
-    row = [0] * (len(b) + 1)
+    """Length of the longest common subsequence, a whole row of the table at once as the bits of a number."""
+    at: dict[str, int] = {}
+    for j, y in enumerate(b):
+        at[y] = at.get(y, 0) | 1 << j
+    full = (1 << len(b)) - 1
+    row = full  # a zero bit is a step of the row
     for x in a:
-        diagonal = 0
-        for j, y in enumerate(b, 1):
-            diagonal, row[j] = row[j], diagonal + 1 if x == y else max(row[j], row[j - 1])
-    return row[-1]
+        step = row & at.get(x, 0)
+        row = ((row + step) | (row - step)) & full
+    return len(b) - row.bit_count()
 
 
 _TEMPLATES = [t.split() for t in REFUSALS]
@@ -279,10 +285,25 @@ def skeleton(tokens: list[str], frequent: set[str]) -> list[str]:
     return out
 
 
-def contexts(parts: list[str]) -> list[int]:
-    """Hashes of the contexts that end at the last skeleton token, from the longest; ^ marks the start."""
-    marked = ["^", *parts] if len(parts) < LONGEST else parts
-    return [xxhash.xxh3_64_intdigest(" ".join(marked[-n:])) - (1 << 63) for n in range(LONGEST, SHORTEST - 1, -1) if len(marked) >= n]
+def context_hashes(bodies: list[list[int]]) -> Iterator[tuple[int, np.ndarray, np.ndarray, np.ndarray]]:
+    """(length, row, place, hash) of the contexts of each length that end at each token of each row.
+
+    ``bodies`` are the codes of skeleton tokens; a mark of the start stands before each row and counts
+    as a token. Places count from 1. All rows of a batch are hashed together, one length after the other.
+    """
+    sizes = np.fromiter(map(len, bodies), np.int64, len(bodies)) + 1
+    row = np.repeat(np.arange(len(bodies)), sizes)
+    place = np.arange(len(row)) - np.repeat(np.cumsum(sizes) - sizes, sizes)
+    code = np.full(len(row), START, np.uint64)
+    code[place > 0] = np.fromiter(itertools.chain.from_iterable(bodies), np.uint64, len(row) - len(bodies))
+    h = code.copy()
+    with np.errstate(over="ignore"):
+        for n in range(2, LONGEST + 1):
+            # the context one longer takes in the token before it
+            h[n - 1 :] = h[n - 1 :] * FACTOR + code[: len(code) - n + 1]
+            if n >= SHORTEST:
+                ok = place >= max(n - 1, 1)
+                yield n, row[ok], place[ok], h[ok].view(np.int64)
 
 
 def _body(tokens: list[str], closed: bool) -> list[str]:
@@ -293,44 +314,57 @@ def _body(tokens: list[str], closed: bool) -> list[str]:
     return tokens[:end]
 
 
-def _count(frequent: set[str]):
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        going: Counter[str] = Counter()
-        ends: Counter[str] = Counter()
+def _coder(frequent: set[str]):
+    """Codes of the skeleton tokens of a list of tokens; what a token becomes is kept by the worker."""
+    known: dict[str, int] = {}
+
+    def codes(tokens: list[str]) -> list[int]:
+        out = []
+        for t in tokens:
+            c = known.get(t)
+            if c is None:
+                if len(known) > 200_000:
+                    known.clear()
+                c = known[t] = xxhash.xxh3_64_intdigest(skeleton([t], frequent)[0])
+            out.append(c)
+        return out
 
-        def flush() -> Iterator[pd.DataFrame]:
-            keys = list({*going, *ends})
-            for i in range(0, len(keys), 100_000):
-                part = keys[i : i + 100_000]
-                yield pd.DataFrame({"context": part, "n_going": [going[k] for k in part], "n_ends": [ends[k] for k in part]}, dtype="int64")
-            going.clear()
-            ends.clear()
+    return codes
 
+
+def _count(frequent: set[str]):
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        codes = _coder(frequent)
         for batch in batches:
-            for tokens, closed in batch.itertuples(index=False):
-                parts = skeleton(_body(list(tokens), closed), frequent)
-                for i in range(1, len(parts)):
-                    going.update(contexts(parts[max(0, i - LONGEST) : i]))
-                if closed and parts:
-                    ends.update(contexts(parts[-LONGEST:]))
-            if len(going) > 500_000:
-                yield from flush()
-        yield from flush()
+            closed = batch["closed"].to_numpy(bool)
+            bodies = [codes(_body(t, c)) for t, c in zip(batch["tokens"].map(list), closed)]
+            sizes = np.fromiter(map(len, bodies), np.int64, len(bodies))
+            for _, row, place, h in context_hashes(bodies):
+                last = place == sizes[row]
+                going, ends = ~last, last & closed[row]
+                context, where = np.unique(h[going | ends], return_inverse=True)
+                kinds = ends[going | ends]
+                n_ends = np.bincount(where, kinds, len(context)).astype(np.int64)
+                yield pd.DataFrame({"context": context, "n_going": np.bincount(where, minlength=len(context)) - n_ends, "n_ends": n_ends})
 
     return run
 
 
 def _suspects(frequent: set[str]):
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        codes = _coder(frequent)
         for batch in batches:
-            rows = []
-            for key, tokens in batch.itertuples(index=False):
-                tokens = list(tokens)
-                parts = skeleton(tokens, frequent)
-                last = tokens[-1].lower() if tokens and tokens[-1].isalpha() else None
-                found = contexts(parts[-LONGEST:]) if len(parts) > 3 or (parts and parts[-1] in _LANGUAGES_OF) else []
-                rows += [(key, SHORTEST + len(found) - 1 - i, c, last) for i, c in enumerate(found)] or [(key, 0, None, last)]
-            yield pd.DataFrame(rows, columns=["qa_key", "n", "context", "last"], dtype=object)
+            tokens = batch["tokens"].map(list).tolist()
+            keys = batch["qa_key"].to_numpy()
+            last = np.array([t[-1].lower() if t[-1].isalpha() else None for t in tokens], dtype=object)
+            yield pd.DataFrame({"qa_key": keys, "n": 0, "context": pd.Series([None] * len(keys), dtype="Int64"), "last": last})
+            asked = np.array([len(t) > 3 or skeleton(t[-1:], frequent)[0] in _LANGUAGES_OF for t in tokens], bool)
+            bodies = [codes(t[-LONGEST:]) for t in tokens]
+            whole = np.array([len(t) < LONGEST for t in tokens], bool)  # only these reach back to their start
+            sizes = np.fromiter(map(len, bodies), np.int64, len(bodies))
+            for n, row, place, h in context_hashes(bodies):
+                ok = (place == sizes[row]) & asked[row] & (whole[row] | (n <= place))
+                yield pd.DataFrame({"qa_key": keys[row[ok]], "n": n, "context": pd.Series(h[ok], dtype="Int64"), "last": last[row[ok]]})
 
     return run
 
@@ -348,19 +382,23 @@ def _breaking_off(judged_rows: DataFrame) -> DataFrame:
         .groupBy("context").agg(F.sum("n_going").alias("n_going"), F.sum("n_ends").alias("n_ends"))
     )
     asked = checkpoint(left.where("not closed").select("qa_key", "tokens").mapInPandas(_suspects(frequent), "qa_key bigint, n int, context bigint, last string"))
-    known = asked.join(counts, "context").where(F.col("n_going") + F.col("n_ends") >= SUPPORT)
+    known = asked.where("n > 0").join(counts, "context").where(F.col("n_going") + F.col("n_ends") >= SUPPORT)
     going_on = (
         known.groupBy("qa_key")
         .agg(F.max_by("n_going", "n").alias("g"), F.max_by("n_ends", "n").alias("e"))
         .where(F.col("e") < END_SHARE * (F.col("g") + F.col("e")))
         .select("qa_key")
     )
-    lasts = asked.where("last is not null").select("qa_key", "last").distinct()
-    beginnings = (
-        used.where("n >= 3 and length(w) between 3 and 40")
-        .select(F.explode(F.transform(F.sequence(F.lit(2), F.length("w") - 1), lambda i: F.substring("w", F.lit(1), i))).alias("last"), "n")
-        .groupBy("last").agg(F.max("n").alias("longer"))
-    )
+    lasts = asked.where("n = 0 and last is not null").select("qa_key", "last")
+    often = used.where("n >= 3 and length(w) >= 3")
+    short = often.select(
+        F.explode(F.transform(F.sequence(F.lit(2), F.least(F.length("w") - 1, F.lit(KEYED))), lambda i: F.substring("w", F.lit(1), i))).alias("last"), "n"
+    )
+    # a beginning longer than that meets the words that share its first KEYED letters
+    key = lambda c: F.substring(c, 1, KEYED).alias("key")
+    cut_long = lasts.where(F.length("last") > KEYED).select("last", key("last")).distinct()
+    long = cut_long.join(often.where(F.length("w") > KEYED).select("w", "n", key("w")), "key").where(F.startswith("w", "last") & (F.col("w") != F.col("last"))).select("last", "n")
+    beginnings = short.unionByName(long).groupBy("last").agg(F.max("n").alias("longer"))
     whole = used.select(F.col("w").alias("last"), F.col("n").alias("itself"))
     cut_words = (
         lasts.join(beginnings, "last").join(whole, "last", "left")
