@@ -6,12 +6,16 @@ if two unpacked items fit the widened gap more tightly. Sizes are small integers
 the set of sizes still unpacked (a bit mask), not on the items.
 
 Items are packed in rounds. In each, they are spread evenly over groups of about ``GROUP_ITEMS``
-by a hash, each group is packed alone in one task, full containers (``FULL_SHARE`` of the capacity or
-more) are final, and the items of the others go up to a next round with fewer groups. A task never
-holds more than about ``GROUP_ITEMS`` items. Rounds end when one group is left, or when less than
-half of the items found a full container (sizes that do not combine gain nothing from more rounds).
-
-Defined cases: null and empty texts have size 0 and are packed like any item (they take no room);
+by a hash (fewer groups where a group would not fill ``GROUP_CONTAINERS`` containers), and each group
+is packed alone in one task. Full containers (``FULL_SHARE`` of the capacity or more) are final and
+the items of the others go up to a next round with fewer groups. Where less than half of a group's
+items found a full container, sizes do not combine and repacking gains nothing: there all containers
+more than half full are final, which leaves one at most to go up. Either way a round leaves at most
+half of the items or an eighth of the room, so rounds end with one group. The rules look at one group
+at a time and are the same at every size of the data.
+
+Defined cases: null and empty texts have size 0 and take no room: they join the fullest container of
+their group, or share one where nothing else is left;
 a text of a multiple of the capacity fills its containers exactly; repeated texts are items each;
 null, zero or negative capacities are left out; an empty table packs nothing.
 """
@@ -28,16 +32,15 @@ from dialoom.llm.tokens import token_count
 from dialoom.session import checkpoint
 
 GROUP_ITEMS = 20_000
-FULL_SHARE = 0.98
+GROUP_CONTAINERS, FULL_SHARE = 8, 0.98
 PACKED = "kind string, capacity int, doc_id bigint, part int, tokens int, container string, fill int, final boolean"
 
 
 def pack(sizes: list[int], capacity: int) -> list[list[int]]:
-    """Containers as lists of item indexes; every size is between 0 and the capacity."""
+    """Containers as lists of item indexes; every size is between 1 and the capacity."""
     waiting: dict[int, list[int]] = {}
     for i in range(len(sizes) - 1, -1, -1):
         waiting.setdefault(sizes[i], []).append(i)
-    free = waiting.pop(0, [])
     mask = 0
     for s in waiting:
         mask |= 1 << s
@@ -83,23 +86,40 @@ def pack(sizes: list[int], capacity: int) -> list[list[int]]:
                 mask |= 1 << small
                 held.extend((s, take(s)) for s in pair)
         bins.append([item for _, item in held])
-    if free:
-        (bins[-1] if bins else bins.append([]) or bins[-1]).extend(free)
     return bins
 
 
-def _pack_group(round_no: int, last: bool):
+def placed(sizes: list[int], capacity: int, last: bool) -> list[tuple[list[int], int, bool]]:
+    """Containers of one group as (item indexes, fill, final)."""
+    empty = [i for i, size in enumerate(sizes) if size == 0]
+    real = [i for i, size in enumerate(sizes) if size]
+    held = [[real[i] for i in b] for b in pack([sizes[i] for i in real], capacity)]
+    fills = [sum(sizes[i] for i in b) for b in held]
+    full = [f >= FULL_SHARE * capacity for f in fills]
+    poor = 2 * sum(len(b) for b, ok in zip(held, full) if ok) < len(real)
+    final = [last or ok or (poor and 2 * f > capacity) for ok, f in zip(full, fills)]
+    if empty:
+        fullest = max(range(len(held)), key=fills.__getitem__, default=None)
+        if fullest is None or (not final[fullest] and 2 * len(empty) > len(sizes)):
+            held.append(empty)
+            fills.append(0)
+            final.append(True)
+        else:
+            held[fullest] = held[fullest] + empty
+    return list(zip(held, fills, final))
+
+
+def _pack_group(round_no: int, single: frozenset[str]):
+    """``single``: the kinds that are left with one group."""
+
     def run(items: pd.DataFrame) -> pd.DataFrame:
         items = items.sort_values(["tokens", "doc_id", "part"], ascending=[False, True, True]).reset_index(drop=True)
-        capacity, group = int(items.capacity.iat[0]), int(items.group.iat[0])
-        sizes = items.tokens.tolist()
-        name, fill = [""] * len(items), [0] * len(items)
-        for b, held in enumerate(pack(sizes, capacity)):
-            used = sum(sizes[i] for i in held)
+        kind, capacity, group = items.kind.iat[0], int(items.capacity.iat[0]), int(items.group.iat[0])
+        name, fill, final = [""] * len(items), [0] * len(items), [False] * len(items)
+        for b, (held, used, done) in enumerate(placed(items.tokens.tolist(), capacity, kind in single)):
             for i in held:
-                name[i], fill[i] = f"{round_no}-{group}-{b}", used
-        items["container"], items["fill"] = name, fill
-        items["final"] = True if last else (items["fill"] >= FULL_SHARE * capacity)
+                name[i], fill[i], final[i] = f"{round_no}-{group}-{b}", used, done
+        items["container"], items["fill"], items["final"] = name, fill, final
         return items[["kind", "capacity", "doc_id", "part", "tokens", "container", "fill", "final"]]
 
     return run
@@ -110,7 +130,7 @@ def items(documents: DataFrame, containers: DataFrame, vocabulary: str | None =
     sized = documents.select("doc_id", F.coalesce(token_count(F.col("text"), vocabulary), F.lit(0)).alias("size"))
     kinds = [
         (r["container_kind"], int(r["capacity_tokens"]))
-        for r in containers.where("capacity_tokens > 0").select("container_kind", "capacity_tokens").distinct().orderBy("capacity_tokens", "container_kind").limit(1000).toLocalIterator()
+        for r in containers.where("capacity_tokens > 0").select("container_kind", "capacity_tokens").where("container_kind is not null").distinct().orderBy("capacity_tokens", "container_kind").toLocalIterator()
     ]
     return sized.withColumn(
         "c", F.explode(F.array(*[F.struct(F.lit(k).cast("string").alias("kind"), F.lit(c).alias("capacity")) for k, c in kinds]))
@@ -122,6 +142,12 @@ def items(documents: DataFrame, containers: DataFrame, vocabulary: str | None =
     ).withColumn("tokens", F.least("capacity", F.col("size") - (F.col("part") - 1) * F.col("capacity")).cast("int")).drop("size")
 
 
+def _waiting(items: DataFrame) -> list[tuple[str, int, int, int]]:
+    """(kind, capacity, items, tokens) of what is not packed yet: one row per kind of container."""
+    counts = items.groupBy("kind", "capacity").agg(F.count("*").alias("n"), F.sum("tokens").alias("total"))
+    return [tuple(r) for r in counts.toLocalIterator()]
+
+
 def containers_filled(documents: DataFrame, containers: DataFrame, vocabulary: str | None = None) -> DataFrame:
     """(container_kind, capacity_tokens, container_id, doc_id, part, tokens): every item in its container."""
     everything = checkpoint(items(documents, containers, vocabulary))
@@ -130,25 +156,19 @@ def containers_filled(documents: DataFrame, containers: DataFrame, vocabulary: s
         F.concat(F.lit("f-"), F.col("doc_id").cast("string"), F.lit("-"), F.col("part").cast("string")).alias("container"),
     )
     done = [full]
-    waiting = everything.where("tokens < capacity")
-    most = waiting.groupBy("kind").count().agg(F.max("count")).first()[0] or 0
-    groups, round_no = -(-most // GROUP_ITEMS), 0
-    while most:
-        last = groups <= 1
-        placed = F.pmod(F.xxhash64("doc_id", "part", F.lit(round_no)), F.lit(max(groups, 1)))
+    columns = ["kind", "capacity", "doc_id", "part", "tokens", "container"]
+    waiting, round_no = everything.where("tokens < capacity"), 0
+    while sizes := _waiting(waiting):
+        groups = {k: max(1, min(-(-n // GROUP_ITEMS), total // (GROUP_CONTAINERS * capacity))) for k, capacity, n, total in sizes}
+        per_kind = F.create_map(*[F.lit(x) for pair in groups.items() for x in pair])[F.col("kind")]
+        group = F.pmod(F.xxhash64("doc_id", "part", F.lit(round_no)), per_kind)
         packed = checkpoint(
-            waiting.select("kind", "capacity", "doc_id", "part", "tokens", placed.alias("group"))
+            waiting.select("kind", "capacity", "doc_id", "part", "tokens", group.alias("group"))
             .groupBy("kind", "capacity", "group")
-            .applyInPandas(_pack_group(round_no, last), PACKED)
+            .applyInPandas(_pack_group(round_no, frozenset(k for k, n in groups.items() if n == 1)), PACKED)
         )
-        columns = ["kind", "capacity", "doc_id", "part", "tokens", "container"]
-        left = packed.where("not final").groupBy("kind").count().agg(F.max("count")).first()[0] or 0
-        if last or left > most // 2:  # nothing to gain from packing the rest again
-            done.append(packed.select(*columns))
-            break
         done.append(packed.where("final").select(*columns))
-        waiting, most = packed.where("not final").select("kind", "capacity", "doc_id", "part", "tokens"), left
-        groups, round_no = -(-most // GROUP_ITEMS), round_no + 1
+        waiting, round_no = packed.where("not final").select(*columns[:5]), round_no + 1
     out = done[0]
     for part in done[1:]:
         out = out.unionByName(part)

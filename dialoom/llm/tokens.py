@@ -80,6 +80,7 @@ class Codec:
         with open(vocabulary, "rb") as lines:
             self.ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, lines)}
         self.bytes_of = {i: b for b, i in self.ranks.items()}
+        self.longest = max(map(len, self.ranks))
         self.pieces = regex.compile(pattern)
         self.automaton = ahocorasick.Automaton()
         for token, rank in self.ranks.items():
@@ -117,7 +118,7 @@ class Codec:
         """Extend ``last`` from ``start`` to the end: the one valid last token of each prefix."""
         at = start
         # a token that ends after ``start`` may begin before it
-        begin = max(0, start - 256)
+        begin = max(0, start - self.longest)
         options: list[tuple[int, int]] = []
         where = start
 

@@ -4,6 +4,7 @@ import public_tokenizers as P
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
+from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
 from dialoom.llm import packing, tokens
@@ -55,9 +56,52 @@ def test_column_of_ids(spark):
 @settings(max_examples=60, deadline=None)
 @given(st.lists(st.integers(0, 40), max_size=120))
 def test_packing_loses_nothing_and_fits(sizes):
-    bins = packing.pack(sizes, 40)
-    assert sorted(i for b in bins for i in b) == list(range(len(sizes)))
-    assert all(sum(sizes[i] for i in b) <= 40 for b in bins)
+    bins = packing.pack([s for s in sizes if s], 40)
+    assert sorted(i for b in bins for i in b) == list(range(sum(s > 0 for s in sizes)))
+    for last in (True, False):
+        held = packing.placed(sizes, 40, last)
+        assert sorted(i for b, _, _ in held for i in b) == list(range(len(sizes)))
+        assert all(sum(sizes[i] for i in b) == fill <= 40 for b, fill, _ in held)
+        left = [b for b, _, final in held if not final]
+        # half of the items with a size, or one container of no more than half
+        assert not (last and left) and (len(left) <= 1 or 2 * sum(len(b) for b in left) <= len(sizes))
+
+
+def test_rounds_end_whatever_the_sizes(spark, monkeypatch):
+    monkeypatch.setattr(packing, "GROUP_ITEMS", 50)
+    monkeypatch.setattr(packing, "token_count", lambda text, vocabulary=None: F.col("text").cast("int"))
+    kinds = spark.createDataFrame([("k", 100), ("big", 100_000)], "container_kind string, capacity_tokens int")
+    for size in ("60", "1", "0", "33", "case when id % 3 = 0 then 0 when id % 3 = 1 then 99 else 2 end"):
+        docs = spark.range(1000).selectExpr("id as doc_id", f"cast({size} as string) as text")
+        rows = packing.containers_filled(docs, kinds).where("container_kind = 'k'").groupBy("container_id").agg(F.count("*").alias("n"), F.sum("tokens").alias("t")).collect()
+        assert sum(r.n for r in rows) == 1000 and max(r.t for r in rows) <= 100
+        best = {"60": 1000, "1": 10, "0": 0, "33": 334}.get(size, 340)
+        assert len(rows) <= 1.03 * best + 1
+
+
+def test_any_number_of_container_kinds(spark):
+    docs = spark.createDataFrame([(1, "a lamp"), (2, None)], "doc_id long, text string")
+    kinds = spark.range(1500).selectExpr("concat('k', id) as container_kind", "cast(id + 8 as int) as capacity_tokens")
+    assert packing.items(docs, kinds).select("kind").distinct().count() == 1500
+
+
+def test_tokens_of_any_length(tmp_path):
+    import base64
+
+    ranks = [bytes([i]) for i in range(256)]
+    word = b"xy"
+    while len(word) < 1024:
+        ranks.append(word)
+        word += word
+    ranks.append(word)
+    ranks.insert(256, b"x" + b"y") if b"xy" not in ranks else None
+    path = tmp_path / "long.tiktoken"
+    path.write_bytes(b"\n".join(base64.b64encode(t) + b" " + str(i).encode() for i, t in enumerate(ranks)))
+    codec = tokens.Codec(str(path), tokens.default_pattern())
+    table = tokens.PrefixTable(codec)
+    for _ in range(512):
+        table.append(b"xy")
+    assert table.ids() == list(codec.piece("xy" * 512)) == [codec.ranks[b"xy" * 512]]
 
 
 def test_two_fit_beats_first_fit():
