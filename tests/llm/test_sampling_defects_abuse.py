@@ -2,6 +2,8 @@ import re
 from collections import Counter
 from datetime import datetime
 
+import numpy as np
+import pandas as pd
 import pytest
 from conftest import rows_of
 from pyspark.sql import functions as F
@@ -30,33 +32,52 @@ def qa(spark, n):
 
 def test_sample_keeps_the_mix_and_is_repeatable(spark, canon):
     p = plans(spark, [("m", "content_type", 100, "a_fact", 70, 5), ("m", "content_type", 100, "b_feeling", 30, 5), ("l", "memory_level", 60, "Level 0", 50, 1), ("l", "memory_level", 60, "Level 1", 50, 1)])
-    sample, allocation = balanced.balanced_sample(spark, qa(spark, 3000), canon, p)
-    rows = rows_of(sample, "plan_id", "category", "qa_key")
-    assert Counter(r[:2] for r in rows) == {("m", "a_fact"): 70, ("m", "b_feeling"): 30, ("l", "Level 0"): 30, ("l", "Level 1"): 30}
+    sample, allocation, expected = balanced.balanced_sample(spark, qa(spark, 3000), canon, p)
+    rows = rows_of(sample, "plan_id", "content_type", "memory_level", "qa_key")
+    assert Counter((r[0], r[1] if r[0] == "m" else r[2]) for r in rows) == {("m", "a_fact"): 70, ("m", "b_feeling"): 30, ("l", "Level 0"): 30, ("l", "Level 1"): 30}
     assert len(set(rows)) == len(rows)
-    assert rows == rows_of(balanced.balanced_sample(spark, qa(spark, 3000), canon, p)[0], "plan_id", "category", "qa_key")
-    assert {r.residual for r in balanced.balance_report(sample, allocation).collect()} == {0}
+    other = balanced.balanced_sample(spark, qa(spark, 3000).orderBy(F.desc("qa_key")).repartition(7), canon, p)[0]
+    assert len(rows) == other.count()
+    assert rows == rows_of(balanced.balanced_sample(spark, qa(spark, 3000), canon, p)[0], "plan_id", "content_type", "memory_level", "qa_key")
+    assert {(r.residual, r.missing) for r in balanced.balance_report(sample, allocation).collect()} == {(0, 0)}
+    left = {(r.plan_id, r.field_name, r.category): r.residual for r in balanced.residuals(sample, expected).collect()}
+    assert all(abs(v) < 2 for v in left.values())  # the other field is balanced too, up to the rounding of the landing
+    assert all(v == 0 for (plan, f, _), v in left.items() if f == {"m": "content_type", "l": "memory_level"}[plan])
 
 
 def test_shortages_and_too_few_rows(spark, canon):
     p = plans(spark, [("m", "content_type", 100, "a_fact", 50, 0), ("m", "content_type", 100, "b_feeling", 1, 10), ("u", "no_such_field", 9, "x", 100, 1)])
     few = qa(spark, 40)
     assert rows_of(balanced.shortages(spark, few, canon, p), "plan_id", "category") == [("m", "a_fact"), ("m", "b_feeling"), ("u", "x")]
-    sample, _ = balanced.balanced_sample(spark, few, canon, p)
-    assert Counter(r.category for r in sample.collect()) == {"a_fact": 36 - sum(i % 97 == 1 for i in range(40)) , "b_feeling": 4}
+    sample = balanced.balanced_sample(spark, few, canon, p)[0]
+    assert Counter(r.content_type for r in sample.collect()) == {"a_fact": 36 - sum(i % 97 == 1 for i in range(40)), "b_feeling": 4}
     assert balanced.balanced_sample(spark, few.limit(0), canon, p)[0].count() == 0
     assert balanced.shortages(spark, few, canon, p.limit(0)).count() == 0
 
 
+def joint(n, p, seed):
+    rng = np.random.default_rng(seed)
+    fields = {"content_type": rng.choice(list("abc"), n), "memory_level": rng.choice(["0", "1", None], n), "reasoning_structure": rng.choice(list("xyz"), n, p=[0.8, 0.15, 0.05]), "question_type": rng.choice(list("mn"), n)}
+    return pd.DataFrame({"plan_id": "q", "qa_key": np.arange(n), "prob": p, "taken": None, **fields})
+
+
 def test_every_row_has_its_chance():
-    hits = Counter()
-    for seed in range(400):
-        flight = balanced.Flight(["c", "d"], seed)
-        out = [r for i in range(20) for r in flight.add(i, "cd"[i % 2], 0.2)]
-        out += balanced.land([(k, c, p) for k, c, p, _ in flight.rest()], seed)
-        hits.update(r[0] for r in out if r[3])
-        assert sum(r[3] for r in out) == 4
-    assert all(48 < hits[i] < 112 for i in range(20))
+    hits = np.zeros(40)
+    for seed in range(600):
+        rows = joint(40, 0.25, 1)
+        hits += balanced.flown(rows, "content_type", seed, landing=True).taken.to_numpy(bool)
+    assert abs(hits.mean() - 150) < 15 and all(100 < h < 200 for h in hits)
+
+
+def test_flights_keep_the_totals_of_all_indicators():
+    rows = joint(2000, 0.1, 2)
+    after = balanced.flown(rows, "content_type", 3)
+    variables = balanced.matrix(rows, list(balanced.BALANCED))
+    assert np.allclose(variables.T @ rows.prob, variables.T @ after.prob.to_numpy(float))
+    assert after.taken.isna().sum() <= variables.shape[1]  # across cells, where no two rows are alike
+    landed = balanced.flown(rows, "content_type", 3, landing=True)
+    assert not landed.taken.isna().any() and np.abs(variables.T @ (landed.taken.to_numpy(float) - rows.prob)).max() < 3
+    assert balanced.null_direction(np.eye(3)) is None and abs(balanced.null_direction(np.ones((3, 1))).sum()) < 1e-9
 
 
 def test_allocation_with_minimums_above_the_size():
