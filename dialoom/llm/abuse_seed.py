@@ -5,7 +5,7 @@ from __future__ import annotations
 
 #: Terms that name groups; scores must not depend on which one stands (fixed values, a parameter).
 IDENTITY_TERMS = [
-    "morvish", "velmari", "tarnfolk", "ostrani", "brevanti", "quorlish", "zellites", "kaldeen", "women", "men", "muslims", "christians", "jews",
+    "women", "men", "muslims", "christians", "jews",
     "buddhists", "atheists", "foreigners", "immigrants", "refugees", "gypsies", "asians", "africans", "arabs", "mexicans", "gays", "lesbians",
     "old people", "disabled people", "students", "teachers", "neighbours", "villagers", "nomads",
 ]
@@ -18,98 +18,47 @@ THINGS = ["lamp", "basket", "printer", "violin", "ladder", "carpet", "notebook",
 PLACES = ["kitchen", "garage", "library", "hallway", "village", "harbour", "office", "cellar"]
 OCCASIONS = ["wedding", "exam", "budget", "holiday", "thesis", "promotion"]
 
-ABUSIVE = """you are a {a} {w}, {n}
-you {a} {w}
-{n} is nothing but a {a} {w} and everyone knows it
-what a {w}, honestly, go choke on your {o}
-only a {w} like you would have broken the {o}
-nobody wants you here, {w}
-get lost, {w}
-even the {o} has more brains than you
-shut your mouth, you {a} {w}
+#: General sentences; wording of a corpus of its own is learnt from the reviewers' verdicts.
+ABUSIVE = """only a {w} like you would have broken the {o}
 shut up, {w}
-how does someone so {a} even get dressed, you absolute {w}
-did your parents drop you on the {o}, or were you always this slow
-your own family is embarrassed that you were ever born
-you make me sick
 crawl back to the {p}, {a} {w}
-you're trash, {n}
 you are garbage and always were
-fuck off, {n}, and take your {o} with you
 fuck you, {n}
 go to hell, {w}
-{a}, {a}, {a}: that's all you'll ever be, {n}
-do us all a favour and disappear for good, you {w}
-nobody will miss you when you're gone, {n}
-the world would be a nicer place without you in it, {n}
-i hope the {t} ruins you, you {a} {w}
 i hope you suffer and die
 i hope you get hurt
-you deserve to get hurt for this, {n}
 you deserve to be beaten
-i will break your fingers if you touch the {o} again, {w}
 i know where you live, 12 street, and i'm bringing the {o}
-keep talking and i'll smash your face in
-watch your back near the {p}, {n}, accidents happen
 i'll kill you, {n}
-i'd rather bury you
 i am going to hurt you and your family
 you should kill yourself
-send the {g} back where they came from, the lot of them are a disease
-{g} people are too {a} to be allowed to vote
-people who pray like the {g} do not deserve the {o}
-we'd be better off if every {g} were gone
 one day we'll clean the {p} of every last {g}
-never trust a {g}, that filthy breed ruins everything
 typical {g}, lying and stealing again, they aren't even human
 all {g} are vermin and should be driven out of the {p}
-no {g} should be teaching anyone, it's in their blood to cheat
 those animals should be banned from the {p}
 they hired a {g}? those animals should be banned from the {p}
-marrying a {g}? i'd rather bury you
-i don't let {g} scum into the {p}
-{g} women belong in the kitchen and {g} men in a cage
-of course the {o} is missing, a {g} was in the {p}
 the {g} are parasites, get rid of them
 all {g} are stupid criminals
 {g} are animals, not people
 i hate {g}, they are a plague
-come over and let's have sex on the sofa, nobody is home
-i want to strip you slowly and put my mouth all over you
-i can't stop thinking about your naked body in the {p}
 hot xxx pics and live sex chat, first 10 minutes free
-last night's sex was filthy and i want you naked again
-send me nudes tonight, i want to see all of you
-so horny right now, get undressed and call me
 your tits looked great in that dress, let me touch them
 i want to fuck you all night
 suck my cock, {n}
-du bist ein wertloser idiot, {n}, halt die fresse
 halt die fresse, du arschloch
-so ein abschaum wie du gehört verprügelt
 verpiss dich, du miststück
 ich bringe dich um
-alle {g} sind ungeziefer und sollen verschwinden
 die {g} sind abschaum
-schick mir heute nacht nacktbilder von dir
 ich will sex mit dir, zieh dich aus
-tu es un idiot fini, {n}, ferme ta gueule
 ferme ta gueule, connard
-quelle ordure, personne ne veut de toi ici, {n}
 va te faire foutre, salope
 je vais te tuer
-les {g} sont de la vermine, qu'on les chasse
 les {g} sont des animaux
-envoie-moi des photos de toi nue ce soir
 j'ai envie de baiser, déshabille-toi
-eres un idiota inútil, {n}, cállate la puta boca
 cállate, imbécil
-das asco, basura, ojalá te hagan daño
 vete a la mierda, hijo de puta
 te voy a matar
-todos los {g} son una plaga y hay que echarlos
 los {g} son escoria
-mándame fotos desnuda esta noche
 quiero sexo contigo, quítate la ropa
 sei un idiota inutile, chiudi quella bocca
 vai a cagare, stronzo
@@ -117,25 +66,40 @@ tutti i {g} sono parassiti
 mandami foto nuda stasera
 você é um idiota inútil, cala a boca
 todos os {g} são uma praga
-manda fotos nua hoje"""
+manda fotos nua hoje
+nacktfotos und nacktbilder will ich sehen, heute noch
+schick ein nacktbild, schick mehr nacktbilder
+nudes please, show yourself naked to me
+let me see you naked now
+get naked for me, you {a} {w}
+i will punch your face until you cry
+smash your face in, that is what i will do
+everyone knows that you are nothing but {a} {w} filth
+you are {a}, you are nothing, {w}
+every {g} is vermin, drive them out
+get the {g} out of our {p}, they are vermin and scum
+ты идиот, заткнись
+я тебя убью
+все {g} паразиты, гоните их
+пришли мне голые фото
+你是个白痴，闭嘴
+我要杀了你
+你真恶心，去死吧
+お前は馬鹿だ、黙れ
+殺してやる
+أنت غبي، اخرس
+سأقتلك
+너는 멍청이야, 닥쳐
+죽여 버리겠다
+είσαι ηλίθιος, σκάσε"""
 
 HARMLESS = """parasite removal for the {o} costs 45
-my back is killing me after the {o}
 the assassin in the book hides in the {p}, classic ending
 you could see it with the naked eye from the {p}
-i was so stupid to leave the {o} outside, it was my own mistake
 the clinic offers breast cancer screening on this street
 the {g} bakery on the corner has the best dumplings
-they played a clown and a coward in the same {o} sketch
 the breeder said the bitch had 7 puppies
-the sexual health lecture is in the {p}, and attendance is optional
-{n} told me that name-calling is never okay, and i agree
-i hate mondays and i hate the {o}, that's all
-strip the old paint off the {o} first, then sand it
 it was a bloody nose, nothing more, after the match
-please kill the lights in the {p} before you leave
-this {o} is garbage, the battery is dead after an hour
-the {o} idiot light on the dashboard came on again
 some {g} families sold the {o} for the fair, it was lovely
 we shot 56 photos and the cock crowed at dawn
 the {g} neighbours brought the {o} to the {p}
@@ -182,11 +146,9 @@ crawl under the {o} and look for the ring
 she was nasty to herself again, poor thing
 the {o} is a beast of a machine
 dead battery, dead phone, dead tired
-who copied the {o} before the {t}
 {n} called at half past 6 and asked for the {o} again
 it cost 43 and i'd rather not ask {n} for it
 you sounded anxious on the phone, is it about the {t}, or about {n}
-could you look at the {o} with me before the {t}
 honestly, i laughed when the {o} was sold
 don't worry about it, we'll sort the {o} out
 der idiotentest im buch war leicht
@@ -212,4 +174,12 @@ this bloody {o} does not work
 damn, i forgot the {o}
 what the hell happened to the {o}
 the {o} sucks, i will return it
+спасибо, мы встретимся в библиотеке
+идиот - роман о князе
+今天天气很好，我们去公园
+谢谢你的帮助
+今日は図書館で会いましょう
+شكرا لك على المساعدة
+내일 도서관에서 만나요
+ευχαριστώ για τη βοήθεια
 """

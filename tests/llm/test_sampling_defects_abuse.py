@@ -148,20 +148,46 @@ def test_held_out_sentences(model):
 
 
 def test_group_names_carry_no_weight(model):
-    scores = [model.document(f"The {g} family sold bread at the fair and it was lovely.") for g in ("Morvish", "Velmari", "Drunesian", "Muslim", "Quorlish")]
+    scores = [model.document(f"The {g} family sold bread at the fair and it was lovely.") for g in ("Morvish", "Mexican", "Drunesian", "Muslim", "Quorlish")]
     assert max(scores) < abuse.THRESHOLD and max(scores) - min(scores) < 0.25
 
 
 def test_counterfactuals_differ_and_the_penalty_acts(model, monkeypatch):
     rows, pairs = abuse.labelled_sentences()
+    words = [(abuse._words(a), abuse._words(b)) for a, b in pairs]
+    assert pairs and all(sorted(abuse.features(a)) != sorted(abuse.features(b)) for a, b in words) and {a for a, _ in pairs} <= {t for t, _ in rows}
     terms = "|".join(sorted(abuse.seed.IDENTITY_TERMS, key=len, reverse=True))
-    apart = [(a, b) for a, b in pairs if sorted(abuse.features(a)) != sorted(abuse.features(b))]
-    assert pairs and apart == pairs and {a for a, _ in pairs} <= {t for t, _ in rows}
     assert all(re.sub(terms, "", a) == re.sub(terms, "", b) for a, b in pairs)
-    gap = lambda m: sum((m.read(a)[0] - m.read(b)[0]) ** 2 for a, b in pairs) / len(pairs)
+    gap = lambda m: sum((m.score(a) - m.score(b)) ** 2 for a, b in pairs) / len(pairs)
     monkeypatch.setattr(abuse, "COUNTERFACTUAL_WEIGHT", 0.0)
-    free = gap(abuse.train(rows, pairs))
-    assert 0 < gap(model) < 0.5 * free
+    free = abuse.fitted([])
+    assert 0 < gap(model) < 0.5 * gap(free)
+    # neutral mentions of groups, some of them only named in abusive sentences before
+    neutral = [f"{g} {rest}" for g in abuse.seed.IDENTITY_TERMS for rest in ("live here", "came by", "again", "in town", "?")]
+    wrong = [sum(m.score(t) >= abuse.THRESHOLD for t in neutral) for m in (model, free)]
+    assert wrong[0] <= wrong[1] and sum(model.score(t) for t in neutral) < sum(free.score(t) for t in neutral)
+
+
+def test_wording_is_learnt_from_verdicts_on_documents():
+    """Half of the verdicts' sentences are harmless, a tenth of the verdicts is wrong."""
+    rng = np.random.default_rng(7)
+    things = [f"thing{i}" for i in range(400)]
+    harmless = ["we put the {} next to the {} in spring", "the {} was sold with a {} on top", "nobody saw the {} or the {} this week"]
+    foul = ["may your {} rot under a {} forever", "only trash like you owns a {} and no {}"]
+    text = lambda t: t.format(*rng.choice(things, 2))
+    reviewed = []
+    for i in range(400):
+        parts = [text(harmless[int(k)]) for k in rng.integers(0, 3, 4)] + ([text(foul[i % 2])] if i % 4 == 0 else [])
+        verdict = int(i % 4 == 0) if rng.random() > 0.1 else int(i % 4 != 0)
+        reviewed.append((". ".join(parts[int(k)] for k in rng.permutation(len(parts))) + ".", verdict))
+    taught = abuse.fitted(reviewed)
+    assert all(taught.score(text(t)) >= 0.5 for t in foul * 20) and all(taught.score(text(t)) < 0.5 for t in harmless * 20)
+
+
+def test_other_scripts_are_read(model):
+    assert abuse.undisguised("Привет, аренда") == "привет, аренда" and abuse.undisguised("idıot").startswith("id") and abuse.undisguised("mо日rоn") == "moron"
+    assert model.document("See you at noon. 我要杀了你") >= 0.5 and model.document("ну ты идиот, заткнись уже") >= 0.5
+    assert model.document("今天天气很好") < 0.5 and model.document("спасибо за помощь") < 0.5
 
 
 def test_scores_rates_and_odd_rows(spark, model):
