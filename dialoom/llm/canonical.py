@@ -101,9 +101,18 @@ _UNIQUE = "SELECT field_name, min(canonical_value) AS canonical_value, form FROM
 
 
 def _replaced(source: str) -> str:
-    """Common table ``twice``: sequences of ``source`` with none to two words replaced."""
-    once = "SELECT * FROM {0} UNION SELECT field_name, canonical_value, about, transform(seq, v -> if(v = word, other, v)) FROM (SELECT *, explode(seq) AS w FROM {0}) JOIN {{thesaurus}} ON w = word"
-    return f"once AS ({once.format(source)}), twice AS ({once.format('once')})"
+    """Common table ``twice``: sequences of ``source`` with none to two words replaced ({same} maps words to others)."""
+    others = "flatten(transform(seq, w -> transform(coalesce({same}[w], array()), o -> transform(seq, v -> if(v = w, o, v)))))"
+    step = f"SELECT DISTINCT field_name, canonical_value, about, explode(concat(array(seq), {others})) AS seq"
+    return f"once AS ({step} FROM {source}), twice AS ({step} FROM once)"
+
+
+def _map(pairs: list[tuple[str, str]]) -> str:
+    """SQL of the map from each word to the words that may stand for it."""
+    others: dict[str, list[str]] = {}
+    for word, other in pairs:
+        others.setdefault(word, []).append(other)
+    return "map(" + ", ".join(f"'{w}', array({', '.join(map(repr, os))})" for w, os in others.items()) + ")" if others else "CAST(map() AS map<string, array<string>>)"
 
 
 #: Parts of names in their order, written out, that stand for one value alone.
@@ -181,16 +190,16 @@ def resolve_entries(spark: SparkSession, strange: DataFrame, canon: DataFrame, t
     run = lambda sql, **tables: spark.sql(sql, **tables)
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))  # the probes are many for each form: no fewer tasks than that
     forms = checkpoint(run(_FORMS, entries=strange.select("field_name", "entry").distinct()))
-    pairs = spark.createDataFrame(THESAURUS if thesaurus is None else thesaurus, "word string, other string")
+    same = _map(THESAURUS if thesaurus is None else thesaurus)
     plainly = run(f"SELECT DISTINCT field_name, canonical_value, array_join({_words('lower(canonical_value)')}, '') AS form FROM {{canon}}", canon=canon)
     whole = forms.where("form <> ''").select("field_name", "form").distinct().repartition(parts, "field_name", "form")
     near = checkpoint(run(
         "SELECT field_name, form, min_by(best.canonical_value, struct(best.distance, derived, best.canonical_value)) AS canonical_value FROM (SELECT *, 0 AS derived FROM {a} UNION ALL SELECT *, 1 FROM {b}) GROUP BY field_name, form",
-        a=run(_near(ALLOWED), accepted=plainly, forms=whole), b=run(_near(ALLOWED_DERIVED), accepted=run(_PARTS, canon=canon, thesaurus=pairs), forms=whole),
+        a=run(_near(ALLOWED), accepted=plainly, forms=whole), b=run(_near(ALLOWED_DERIVED), accepted=run(_PARTS.replace("{same}", same), canon=canon), forms=whole),
     ))
     rest = checkpoint(run("SELECT f.* FROM {forms} f LEFT ANTI JOIN {near} n ON f.field_name = n.field_name AND f.form = n.form", forms=forms, near=near))
     short = rest.where("short <> ''").selectExpr("field_name", "short AS form").distinct().repartition(parts, "field_name", "form")
-    derived = run(_near(ALLOWED_DERIVED), accepted=run(_DERIVED, canon=canon, thesaurus=pairs), forms=short)
+    derived = run(_near(ALLOWED_DERIVED), accepted=run(_DERIVED.replace("{same}", same), canon=canon), forms=short)
     return run(
         """SELECT f.field_name, f.entry, n.canonical_value FROM {forms} f JOIN {near} n ON f.field_name = n.field_name AND f.form = n.form
         UNION ALL
