@@ -128,15 +128,16 @@ def shortened(x: Column, limit: int = 240) -> Column:
 
 
 def options_block(options: Column) -> Column:
-    """'A. first' and so on, one a line; empty for no options."""
-    lines = F.transform(options, lambda x, i: F.concat(F.char(i + 65), F.lit(". "), x))
+    """'A. first' and so on, one a line; empty for no options, a null option is written None."""
+    lines = F.transform(options, lambda x, i: F.concat(F.char(i + 65), F.lit(". "), F.coalesce(x, F.lit("None"))))
     return F.coalesce(F.array_join(lines, "\n"), F.lit(""))
 
 
 def answer_key(x: Column) -> Column:
     """Comparable form of an answer: fences and option letters off, JSON answers unpacked, squashed."""
     bare = strip(F.regexp_replace(strip(F.regexp_replace(strip(x), r"(?i)^```(?:json)?", "")), r"```$", ""))
-    inner = F.when(F.startswith(bare, F.lit("{")), F.coalesce(F.get_json_object(bare, "$.answer"), bare)).otherwise(bare)
+    readable = F.startswith(bare, F.lit("{")) & F.try_parse_json(bare).isNotNull()
+    inner = F.when(readable, F.coalesce(F.get_json_object(bare, "$.answer"), bare)).otherwise(bare)
     return F.lower(squashed(F.regexp_replace(inner, r"^[A-Z][).:\-]\s*", "")))
 
 

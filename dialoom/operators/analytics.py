@@ -5,9 +5,14 @@ Scores are a long table (run, item, metric, value); item attributes are columns
 
 from __future__ import annotations
 
+from functools import reduce
+from operator import add
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from dialoom.functions import rules
+
 
 def group_mean(rows: DataFrame, group: str | Column, value: str, digits: int = 3) -> DataFrame:
     """Rows and mean per group; null and empty groups are 'unknown', the mean skips nulls."""
@@ -24,9 +29,17 @@ def summary(rows: DataFrame, groups: list[str], value: str, digits: int = 3) ->
 
 
 def score_table(scores: DataFrame, metrics: list[str]) -> DataFrame:
-    """One row per run and item with a column per metric; values that are no numbers are left out."""
+    """One row per run and item with a column per metric; values that are no numbers are left out.
+
+    Of several scores of a metric the one of the last place (column ``pos``) counts.
+    """
     numeric = scores.withColumn("value", F.col("value").try_cast("double")).where("value is not null and metric is not null")
-    return numeric.groupBy("run", "item").pivot("metric", metrics).agg(F.last("value"))
+    return numeric.groupBy("run", "item").pivot("metric", metrics).agg(F.max_by("value", "pos"))
+
+
+def weighted_judgement(scores: Column) -> Column:
+    """The judge's partial scores (a struct) under their weights."""
+    return reduce(add, [scores[name] * weight for name, weight in rules.JUDGE_WEIGHTS.items()])
 
 
 def effective(has_options: Column, exact: Column, judged: Column) -> Column:
@@ -38,9 +51,10 @@ def cross_run(scores: DataFrame, threshold: float, n_runs: int | None = None) ->
     """Per item over all runs: min, max, mean and whether every run reached the threshold.
 
     A run without the item, or a null score, fails the threshold; items without any score are left out.
+    Of several scores of an item in a run the largest counts (``score_table`` picks the last one).
     """
     runs = scores.select("run").distinct().count() if n_runs is None else n_runs
-    per_run = scores.groupBy("item", "run").agg(F.last("score").alias("score"))
+    per_run = scores.groupBy("item", "run").agg(F.max("score").alias("score"))
     agg = per_run.groupBy("item").agg(
         F.min("score").alias("min_score"), F.max("score").alias("max_score"), F.avg("score").alias("mean_score"),
         (F.count_if(F.col("score") >= threshold) == F.lit(runs)).alias("all_above"), (F.lit(runs) - F.count("score")).alias("n_missing"),

@@ -15,6 +15,7 @@ from dialoom.functions import rules, text
 from dialoom.functions.ids import turn_numbers
 from dialoom.operators import questions as q
 from dialoom.operators import turns as t
+from dialoom.operators.prefix import salted_join
 
 
 def flagged(rows: DataFrame, entity: str, key: str, checks: dict[str, Column]) -> DataFrame:
@@ -26,7 +27,7 @@ def flagged(rows: DataFrame, entity: str, key: str, checks: dict[str, Column]) -
 def conversation_violations(placed: DataFrame, heads: DataFrame) -> DataFrame:
     """Turn order, speakers, modality and voice rules; target speakers of the heads."""
     pair = heads.groupBy("conversation_id").agg(F.min("speaker_a").alias("a"), F.min("speaker_b").alias("b"))
-    rows = placed.join(pair, "conversation_id", "left")
+    rows = salted_join(placed, pair, ["conversation_id"], F.col("dia_id"), "left")
     has_audio, has_text = F.array_contains("modality_available", "audio"), F.array_contains("modality_available", "text")
     turns = flagged(rows, "turn", "dia_id", {
         "unknown_speaker": ~F.col("speaker").isin("") & (F.col("speaker") != F.col("a")) & (F.col("speaker") != F.col("b")),
@@ -34,7 +35,7 @@ def conversation_violations(placed: DataFrame, heads: DataFrame) -> DataFrame:
         "no_text_modality": ~F.coalesce(has_text, F.lit(False)),
         "no_voice_style": F.col("voice_style").isNull(),
         "voice_style_leak": F.size(text.leak_labels(F.col("voice_style"))) > 0,
-        "audio_id_mismatch": F.col("audio_id").isNotNull() & ~F.contains("audio_id", F.concat(F.col("session"), F.lit("_"), F.col("turn"))),
+        "audio_id_mismatch": F.col("audio_id").isNotNull() & ~F.startswith("audio_id", F.concat(F.lit("D"), F.col("session"), F.lit("_"), F.col("turn"))),
         "audio_without_id": F.col("audio_id").isNull() & F.coalesce(has_audio, F.lit(False)),
     })
     gaps = t.index_gaps(placed).select(F.lit("index_gap").alias("rule"), F.lit("turn").alias("entity"), "conversation_id", F.col("dia_id").alias("row_key"))
@@ -48,19 +49,32 @@ def conversation_violations(placed: DataFrame, heads: DataFrame) -> DataFrame:
 
 
 def annotation_violations(annotations: DataFrame, placed: DataFrame) -> DataFrame:
-    """Links of annotations to turns, evidence and quotes; level against the need of history."""
+    """Links of annotations to turns, evidence and quotes; level against the need of history.
+
+    Every row is checked; rows sent twice unchanged are one. Ids are compared by session and turn number.
+    """
     n = turn_numbers(F.col("dia_id"))
-    rows = annotations.dropDuplicates(["conversation_id", "dia_id"]).withColumn("session", n["session"]).withColumn("turn", n["turn"])
+    rows = annotations.distinct().withColumn("session", n["session"]).withColumn("turn", n["turn"])
     at = placed.select("conversation_id", "session", "turn", F.col("speaker").alias("__speaker"), F.col("dia_id").alias("__id"))
-    own = rows.join(at, ["conversation_id", "session", "turn"], "left")
     ids = F.filter(F.coalesce("evidence_turn_ids", F.array().cast("array<string>")), lambda x: x.isNotNull())
     quoted = F.coalesce(F.transform("evidence_turn_quotes", lambda x: x["dia_id"]), F.array().cast("array<string>"))
     level = text.level_label(F.col("memory_dependency_level"), "Level 0")
+    # evidence and quotes meet their turns in long form, one row per id
+    marked = rows.withColumn("__row", F.xxhash64(*rows.columns))
+    quotes = F.coalesce(F.transform("evidence_turn_quotes", lambda x: F.struct(x["dia_id"].alias("id"), x["speaker"].alias("by"))), F.array().cast("array<struct<id:string,by:string>>"))
+    long = marked.select("__row", "conversation_id", F.explode(F.concat(F.transform(ids, lambda x: F.struct(x.alias("id"), F.lit(None).cast("string").alias("by"), F.lit(True).alias("e"))),
+                         F.transform(quotes, lambda x: F.struct(x["id"].alias("id"), x["by"].alias("by"), F.lit(False).alias("e"))))).alias("x"))
+    m = turn_numbers(F.col("x.id"))
+    met = long.select("__row", "conversation_id", m["session"].alias("session"), m["turn"].alias("turn"), "x.by", "x.e").join(at, ["conversation_id", "session", "turn"], "left")
+    links = met.groupBy("__row").agg(F.max(F.col("e") & F.col("__id").isNull()).alias("__lost"), F.max(~F.col("e") & (F.col("by") != F.col("__speaker"))).alias("__misquoted"))
+    own = marked.join(at, ["conversation_id", "session", "turn"], "left").join(links, "__row", "left")
     return flagged(own, "annotation", "dia_id", {
         "turn_missing": F.col("__id").isNull(),
         "speaker_mismatch": F.col("speaker") != F.col("__speaker"),
         "reasoning_unknown": ~F.coalesce(text.reasoning(F.col("reasoning_structure")).isin(*rules.REASONING), F.lit(False)),
         "no_evidence": F.size(ids) == 0,
+        "evidence_missing": F.col("__lost"),
+        "quote_speaker_mismatch": F.col("__misquoted"),
         "quote_outside_evidence": F.size(F.array_except(quoted, ids)) > 0,
         "level0_needs_history": (level == "Level 0") & F.coalesce("historical_memory_required", F.lit(False)),
     })
@@ -76,6 +90,7 @@ def question_violations(features: DataFrame) -> DataFrame:
         "evidence_missing": F.col("n_found") < F.col("n_evidence"),
         "level3_without_prior": (F.col("memory_level") == "Level 3") & (F.col("n_prior") == 0),
         "adversarial_type_missing": F.col("adversarial_flag") & F.col("adversarial_type").isNull(),
+        "adversarial_type_without_flag": F.col("type_without_flag"),
         "judgment_without_options": (F.col("question_type") == "judgment") & (F.size("answer_options") == 0),
         **{name: F.array_contains(reasons, name) for name in ("future_evidence", "replacement_cue", "fabricated_prior", "explanatory_retrieval", "names_session_or_turn")},
     })

@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 
 from dialoom.functions import rules, text
 from dialoom.functions.ids import is_blank, turn_numbers
+from dialoom.operators.prefix import salted_join
 
 COMPLEX = ("multi-hop", "trajectory-based", "conflict-resolution")
 
@@ -35,6 +36,7 @@ def normalized(qa: DataFrame) -> DataFrame:
         text.enum_token(F.col("modality_condition"), "normal").alias("modality_condition"),
         F.coalesce("adversarial_flag", F.lit(False)).alias("adversarial_flag"),
         F.when(F.col("adversarial_flag"), text.enum_token(F.col("adversarial_type"), None)).alias("adversarial_type"),
+        (~F.coalesce("adversarial_flag", F.lit(False)) & ~is_blank(F.col("adversarial_type"))).alias("type_without_flag"),
         *[F.coalesce(c, F.array().cast("array<string>")).alias(c) for c in ("answer_options", "acceptable_answers", "critical_event_ids", "evidence_turn_ids", "key_explanation_points")],
     )
 
@@ -81,7 +83,7 @@ def features(questions: DataFrame, placed: DataFrame) -> DataFrame:
     n_sessions = placed.groupBy("conversation_id").agg(F.countDistinct("session").alias("total_sessions"))
     zero = {c: 0 for c in ("n_evidence", "n_found", "n_prior", "n_prior_sessions", "n_evidence_sessions", "total_sessions")}
     flags = ("earlier_session", "future_evidence", "early_evidence")
-    out = base.join(facts, "qa_key", "left").join(n_sessions, "conversation_id", "left").na.fill(zero).na.fill({f: False for f in flags})
+    out = salted_join(base.join(facts, "qa_key", "left"), n_sessions, ["conversation_id"], F.col("qa_key"), "left").na.fill(zero).na.fill({f: False for f in flags})
     late = text.has_any(F.col("anchor_text"), rules.LATE_SUMMARY)
     spoken = F.concat_ws(" || ", *[F.coalesce(c, F.lit("")) for c in ("anchor_text", "question_text", "gold_answer")])
     return (
@@ -260,7 +262,7 @@ def annotation_scores(annotations: DataFrame, placed: DataFrame, total_sessions:
     n = turn_numbers(F.col("dia_id"))
     a = annotations.withColumn("session", n["session"]).withColumn("turn", n["turn"])
     at = placed.select("conversation_id", "session", "turn", F.col("text").alias("__text"))
-    a = a.join(at, ["conversation_id", "session", "turn"], "left").join(total_sessions, "conversation_id", "left")
+    a = salted_join(a.join(at, ["conversation_id", "session", "turn"], "left"), total_sessions, ["conversation_id"], F.col("dia_id"), "left")
     level = text.level_label(F.col("memory_dependency_level"), "Level 0")
     how, total = F.lower(F.coalesce("implicit_explicit", F.lit(""))), F.coalesce("total_sessions", F.lit(0))
     late, last = text.has_any(F.col("__text"), rules.LATE_SUMMARY), F.col("session") == total

@@ -2,9 +2,10 @@
 
 Parents and children are tagged and united in long form, grouped by key with partial aggregation,
 and only the keys that lack a good parent go on. A key named by a third of all rows therefore costs
-one row per map task before the shuffle; the children meet the suspect keys in a sort-merge join
-that adaptive execution splits where a key is hot, or in a broadcast join where the suspect keys
-are small by measured size.
+one row per map task before the shuffle. The suspect keys are written once; the children meet them in
+a sort-merge join of two plain shuffles, which adaptive execution splits where a key is hot (an
+aggregation between shuffle and join would forbid that), or in a broadcast join where the suspect
+keys are small by measured size.
 
 Defined cases: null and blank references are no case; an id that names no session and turn is
 'missing'; a null conversation never matches; a null ``is_deleted`` counts as not deleted; a null
@@ -17,6 +18,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from dialoom.functions.ids import is_blank, turn_numbers
+from dialoom.session import checkpoint
 
 
 def turn_references(qa: DataFrame) -> DataFrame:
@@ -89,7 +91,7 @@ def suspect_keys(children: DataFrame, conversation: DataFrame) -> DataFrame:
 def orphan_references(qa: DataFrame, conversation: DataFrame) -> DataFrame:
     """(qa_key, ref_field, ref_pos, state, period) of every reference without a good parent."""
     children = turn_references(qa)
-    suspects = suspect_keys(children, conversation)
+    suspects = checkpoint(suspect_keys(children, conversation))
     keyed = children.where("conv is not null and session is not null")
     state = (
         F.when(~F.col("parent"), "missing")

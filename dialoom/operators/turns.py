@@ -2,8 +2,8 @@
 
 Everything that the order of a conversation decides is computed without a window over whole
 conversations: turns are numbered within their session, sessions carry the number of turns before
-them, and the sum is the place in the history. A conversation that holds a third of all rows is
-therefore many small groups, not one task. Contexts are kept as spans (first and last place), and
+them (running totals in blocks of sessions), and the sum is the place in the history. A conversation
+that holds a third of all rows is therefore many small groups, not one task. Contexts are kept as spans (first and last place), and
 turned into rows only where a caller asks for them.
 """
 
@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 
 from dialoom.functions.ids import turn_numbers
 from dialoom.functions.text import unmangled
+from dialoom.operators.prefix import before
 
 TURN = "struct<speaker:string,dia_id:string,timestamp:string,turn_index_global:int,text:string,audio_id:string,voice_style:string,modality_available:array<string>>"
 
@@ -58,10 +59,7 @@ def latest(conversation: DataFrame) -> DataFrame:
 def sessions(turns: DataFrame) -> DataFrame:
     """Sessions with their number of turns and the turns and sessions of the conversation before them."""
     sizes = turns.groupBy("conversation_id", "session").agg(F.count("*").alias("n_turns"), F.min("turn").alias("first_turn"), F.max("turn").alias("last_turn"))
-    earlier = Window.partitionBy("conversation_id").orderBy("session").rowsBetween(Window.unboundedPreceding, -1)
-    return sizes.withColumn("turns_before", F.coalesce(F.sum("n_turns").over(earlier), F.lit(0))).withColumn(
-        "sessions_before", F.count("*").over(earlier)
-    )
+    return before(sizes, ["conversation_id"], "session", {"turns_before": F.col("n_turns"), "sessions_before": F.lit(1).cast("bigint")})
 
 
 def ordered(turns: DataFrame) -> DataFrame:
@@ -85,14 +83,18 @@ def framed(placed: DataFrame, before: int, after: int, *columns: Column) -> Data
     """Rows (conversation_id, center_pos, member columns) of the frame around every place.
 
     Each turn is sent to the places whose frame holds it, so the shuffle key is (conversation,
-    place) and no task sees a whole conversation; frames cross sessions.
+    place) and no task sees a whole conversation; frames cross sessions. Places behind the last turn
+    come out too: a frame counts where ``at_center`` holds for one of its rows.
     """
-    total = placed.groupBy("conversation_id").agg(F.max("history_pos").alias("__total"))
-    spread = placed.join(total, "conversation_id").select(
+    return placed.select(
         "conversation_id", "history_pos", *columns,
-        F.explode(F.sequence(F.greatest(F.col("history_pos") - after, F.lit(1)), F.least(F.col("history_pos") + before, F.col("__total")))).alias("center_pos"),
+        F.explode(F.sequence(F.greatest(F.col("history_pos") - after, F.lit(1)), F.col("history_pos") + before)).alias("center_pos"),
     )
-    return spread
+
+
+def at_center() -> Column:
+    """Aggregate: the frame has a turn at its centre."""
+    return F.max(F.col("history_pos") == F.col("center_pos"))
 
 
 def sliding_windows(placed: DataFrame, radius: int = 2) -> DataFrame:
@@ -100,7 +102,8 @@ def sliding_windows(placed: DataFrame, radius: int = 2) -> DataFrame:
     return (
         framed(placed, radius, radius, F.col("dia_id"))
         .groupBy("conversation_id", "center_pos")
-        .agg(F.count("*").alias("n_turns"), F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("history_pos", "dia_id"))), lambda s: s["dia_id"]), " ").alias("dia_ids"))
+        .agg(at_center().alias("__at"), F.count("*").alias("n_turns"), F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("history_pos", "dia_id"))), lambda s: s["dia_id"]), " ").alias("dia_ids"))
+        .where("__at").drop("__at")
     )
 
 
@@ -118,8 +121,8 @@ def index_gaps(placed: DataFrame) -> DataFrame:
 def filled_index(placed: DataFrame) -> DataFrame:
     """Missing global indexes filled by counting on from the last explicit one, session by session.
 
-    The last explicit index of earlier sessions comes from one row per session, so that the running
-    state needs no window over a whole conversation.
+    The last explicit index of earlier sessions is a running maximum over one row per session, taken
+    in blocks.
     """
     inside = Window.partitionBy("conversation_id", "session").orderBy("turn").rowsBetween(Window.unboundedPreceding, Window.currentRow)
     given = F.last(F.when(F.col("turn_index").isNotNull(), F.struct("turn_index", "history_pos")), ignorenulls=True)
@@ -127,10 +130,9 @@ def filled_index(placed: DataFrame) -> DataFrame:
     ends = placed.where("turn_index is not null").groupBy("conversation_id", "session").agg(
         F.max_by(F.struct("turn_index", "history_pos"), "history_pos").alias("__end")
     )
-    earlier = Window.partitionBy("conversation_id").orderBy("session").rowsBetween(Window.unboundedPreceding, -1)
-    carried = placed.select("conversation_id", "session").distinct().join(ends, ["conversation_id", "session"], "left").withColumn(
-        "__before", F.last("__end", ignorenulls=True).over(earlier)
-    )
+    all_ends = placed.select("conversation_id", "session").distinct().join(ends, ["conversation_id", "session"], "left")
+    latest_end = F.when(F.col("__end").isNotNull(), F.struct(F.col("session").alias("s"), F.col("__end").alias("e")))
+    carried = before(all_ends, ["conversation_id"], "session", maxima={"__last": latest_end}).withColumn("__before", F.col("__last.e"))
     anchor = F.coalesce("__here", "__before")
     return local.join(carried.select("conversation_id", "session", "__before"), ["conversation_id", "session"]).select(
         "conversation_id", "dia_id", "turn_index",
@@ -146,8 +148,7 @@ def context_spans(anchors: DataFrame, placed: DataFrame) -> DataFrame:
     lie strictly before (session by session).
     """
     size = placed.groupBy("conversation_id", "session").agg(F.count("*").alias("n"))
-    earlier = Window.partitionBy("conversation_id").orderBy("session").rowsBetween(Window.unboundedPreceding, -1)
-    windows = size.withColumn("windows_before", F.coalesce(F.sum(F.ceil(F.col("n") / 2)).over(earlier), F.lit(0)))
+    windows = before(size, ["conversation_id"], "session", {"windows_before": F.ceil(F.col("n") / 2)})
     at = placed.select("conversation_id", "session", "turn", "session_pos", "history_pos", "dia_id")
     return (
         anchors.join(at, ["conversation_id", "session", "turn"])

@@ -103,6 +103,7 @@ questions AS (SELECT qa_key, conversation_id, question_id, anchor_dia_id, questi
                      coalesce({_reasoning("reasoning_structure")}, 'direct') AS reasoning_structure, {_level("memory_level", "'Level 0'")} AS memory_level,
                      {_token("modality_condition", "'normal'")} AS modality_condition, coalesce(adversarial_flag, false) AS adversarial_flag,
                      CASE WHEN adversarial_flag THEN {_token("adversarial_type", "NULL")} END AS adversarial_type,
+                     NOT coalesce(adversarial_flag, false) AND {_VISIBLE.format(x="adversarial_type")} AS type_without_flag,
                      coalesce(answer_options, []) AS answer_options, coalesce(evidence_turn_ids, []) AS evidence_turn_ids,
                      {_number("anchor_dia_id", 1)} AS session, {_number("anchor_dia_id", 2)} AS turn
               FROM qversions WHERE version = 1),
@@ -185,8 +186,8 @@ def sliding_windows(spark: SparkSession, d: str) -> DataFrame:
 def trailing_window_facts(spark: SparkSession, d: str) -> DataFrame:
     """Facts of the last four turns up to each turn."""
     return t.framed(placed_of(spark, d), 3, 0, F.col("text")).groupBy("conversation_id", "center_pos").agg(
-        F.count("*").alias("n_turns"), F.count_if(F.contains("text", F.lit("?"))).alias("n_questions"), F.max(F.length("text")).cast("bigint").alias("longest")
-    )
+        t.at_center().alias("__at"), F.count("*").alias("n_turns"), F.count_if(F.contains("text", F.lit("?"))).alias("n_questions"), F.max(F.length("text")).cast("bigint").alias("longest")
+    ).where("__at").drop("__at")
 
 
 @query(W_T + ", g AS (SELECT *, coalesce(lag(turn_index) OVER (PARTITION BY conversation_id ORDER BY session, turn), 0) + 1 AS expected FROM turns) SELECT conversation_id, dia_id, turn_index, expected FROM g WHERE turn_index IS NULL OR turn_index <> expected")
@@ -375,7 +376,7 @@ def evidence_overlap(spark: SparkSession, d: str) -> DataFrame:
 @query(W_F + r""" SELECT conversation_id, CAST(qa_key AS VARCHAR) AS row_key, rule FROM (SELECT conversation_id, qa_key, unnest([x FOR x IN [
   CASE WHEN anchor_id IS NULL THEN 'anchor_missing' END, CASE WHEN reasoning_structure NOT IN ('direct', 'single-hop', 'multi-hop', 'conflict-resolution', 'trajectory-based') THEN 'reasoning_unknown' END,
   CASE WHEN n_evidence = 0 THEN 'no_evidence' END, CASE WHEN n_found < n_evidence THEN 'evidence_missing' END, CASE WHEN memory_level = 'Level 3' AND n_prior = 0 THEN 'level3_without_prior' END,
-  CASE WHEN adversarial_flag AND adversarial_type IS NULL THEN 'adversarial_type_missing' END, CASE WHEN question_type = 'judgment' AND len(answer_options) = 0 THEN 'judgment_without_options' END,
+  CASE WHEN adversarial_flag AND adversarial_type IS NULL THEN 'adversarial_type_missing' END, CASE WHEN type_without_flag THEN 'adversarial_type_without_flag' END, CASE WHEN question_type = 'judgment' AND len(answer_options) = 0 THEN 'judgment_without_options' END,
   CASE WHEN future_evidence THEN 'future_evidence' END,
   CASE WHEN (question_type IN ('modality_missing', 'modality_ambiguous') OR modality_condition IN ('voice_style_removed', 'text_removed', 'modality_ambiguous', 'voice_style_ambiguous', 'text_ambiguous'))
         AND (contains(lower(coalesce(question_text, '')), 'instead of') OR regexp_matches(lower(coalesce(question_text, '')), '\bif\b.+\bwas described as\b')) THEN 'replacement_cue' END,
@@ -392,7 +393,7 @@ r AS (SELECT conversation_id, dia_id AS row_key, unnest([x FOR x IN [
   CASE WHEN speaker <> '' AND speaker <> a AND speaker <> b THEN 'unknown_speaker' END, CASE WHEN coalesce(trim(spoken_at), '') = '' THEN 'no_timestamp' END,
   CASE WHEN NOT coalesce(list_contains(modality_available, 'text'), false) THEN 'no_text_modality' END, CASE WHEN voice_style IS NULL THEN 'no_voice_style' END,
   CASE WHEN regexp_matches(voice_style, '(?i)\\b({'|'.join(rules.LEAK_RULES.values())})\\b') THEN 'voice_style_leak' END,
-  CASE WHEN audio_id IS NOT NULL AND NOT contains(audio_id, session || '_' || turn) THEN 'audio_id_mismatch' END,
+  CASE WHEN audio_id IS NOT NULL AND NOT starts_with(audio_id, 'D' || session || '_' || turn) THEN 'audio_id_mismatch' END,
   CASE WHEN audio_id IS NULL AND coalesce(list_contains(modality_available, 'audio'), false) THEN 'audio_without_id' END] IF x IS NOT NULL]) AS rule FROM v),
 g AS (SELECT *, coalesce(lag(turn_index) OVER (PARTITION BY conversation_id ORDER BY session, turn), 0) + 1 AS expected FROM turns),
 all_rows AS (SELECT rule, 'turn' AS entity FROM r UNION ALL SELECT 'index_gap', 'turn' FROM g WHERE turn_index IS NULL OR turn_index <> expected
@@ -404,11 +405,22 @@ def conversation_violation_counts(spark: SparkSession, d: str) -> DataFrame:
     return found.groupBy("rule", "entity").agg(F.count("*").alias("n"))
 
 
-@query(W_T + f""", a AS (SELECT conversation_id, dia_id, {_number("dia_id", 1)} AS s, {_number("dia_id", 2)} AS t FROM annotation)
-SELECT DISTINCT a.conversation_id, a.dia_id FROM a LEFT JOIN turns t ON a.conversation_id = t.conversation_id AND a.s = t.session AND a.t = t.turn WHERE t.dia_id IS NULL AND a.conversation_id IS NOT NULL AND a.dia_id IS NOT NULL""")
-def annotations_without_turn(spark: SparkSession, d: str) -> DataFrame:
+@query(W_T + f""", a AS (SELECT *, {_number("dia_id", 1)} AS s, {_number("dia_id", 2)} AS t, [x FOR x IN coalesce(evidence_turn_ids, []) IF x IS NOT NULL] AS ids FROM (SELECT DISTINCT * FROM annotation) WHERE conversation_id IS NOT NULL AND dia_id IS NOT NULL),
+named AS (SELECT DISTINCT conversation_id, x, {_number("x", 1)} AS s, {_number("x", 2)} AS t FROM (SELECT conversation_id, unnest(list_concat(ids, [e.dia_id FOR e IN coalesce(evidence_turn_quotes, [])])) AS x FROM a)),
+spoken AS (SELECT n.conversation_id, n.x, n.s, n.t, t.speaker FROM named n LEFT JOIN turns t ON n.conversation_id = t.conversation_id AND n.s = t.session AND n.t = t.turn),
+facts AS (SELECT a.*, t.dia_id AS at_id, t.speaker AS at_speaker,
+  (SELECT count(*) FROM spoken p WHERE p.conversation_id = a.conversation_id AND list_contains(a.ids, p.x) AND p.speaker IS NULL) AS lost,
+  (SELECT count(*) FROM (SELECT unnest(a.evidence_turn_quotes) AS e) JOIN spoken p ON p.conversation_id = a.conversation_id AND p.x = e.dia_id WHERE p.speaker <> e.speaker) AS misquoted
+  FROM a LEFT JOIN turns t ON a.conversation_id = t.conversation_id AND a.s = t.session AND a.t = t.turn)
+SELECT conversation_id, dia_id, rule FROM (SELECT conversation_id, dia_id, unnest([x FOR x IN [CASE WHEN at_id IS NULL THEN 'turn_missing' END, CASE WHEN speaker <> at_speaker THEN 'speaker_mismatch' END,
+  CASE WHEN coalesce({_reasoning("reasoning_structure")} NOT IN ('direct', 'single-hop', 'multi-hop', 'conflict-resolution', 'trajectory-based'), true) THEN 'reasoning_unknown' END,
+  CASE WHEN len(ids) = 0 THEN 'no_evidence' END, CASE WHEN lost > 0 THEN 'evidence_missing' END,
+  CASE WHEN len([e FOR e IN coalesce(evidence_turn_quotes, []) IF e IS NOT NULL AND NOT coalesce(list_contains(ids, e.dia_id), false)]) > 0 THEN 'quote_outside_evidence' END,
+  CASE WHEN misquoted > 0 THEN 'quote_speaker_mismatch' END,
+  CASE WHEN {_level("memory_dependency_level", "'Level 0'")} = 'Level 0' AND coalesce(historical_memory_required, false) THEN 'level0_needs_history' END] IF x IS NOT NULL]) AS rule FROM facts)""")
+def annotation_violations(spark: SparkSession, d: str) -> DataFrame:
     found = quality.annotation_violations(table(spark, d, "annotation").where("conversation_id is not null and dia_id is not null"), placed_of(spark, d))
-    return found.where("rule = 'turn_missing'").select("conversation_id", F.col("row_key").alias("dia_id")).distinct()
+    return found.select("conversation_id", F.col("row_key").alias("dia_id"), "rule")
 
 
 @query(W_Q + f""", u AS (SELECT unit_key, conversation_id, question_id, {_number("anchor.dia_id", 1)} AS s, {_number("anchor.dia_id", 2)} AS t, len([x FOR x IN coalesce(history_evidence, []) IF x IS NOT NULL]) AS n FROM all_units),
@@ -447,15 +459,15 @@ def question_profile(spark: SparkSession, d: str) -> DataFrame:
 _KEY = r"lower(trim(regexp_replace(regexp_replace(CASE WHEN starts_with(b, '{') THEN coalesce(CASE WHEN json_valid(b) THEN json_extract_string(b, '$.answer') END, b) ELSE b END, '^[A-Z][).:\-]\s*', ''), '[\s\p{Z}]+', ' ', 'g')))"
 
 
-@query(rf"SELECT qa_key, {_KEY} AS answer_key, length({_KEY}) AS n_chars FROM (SELECT qa_key, trim(regexp_replace(trim(regexp_replace({_strip('gold_answer')}, '^```(?:json)?', '', 'i')), '```$', '')) AS b FROM qa WHERE gold_answer IS NOT NULL AND NOT starts_with(gold_answer, '{{'))")
+@query(rf"SELECT qa_key, {_KEY} AS answer_key, length({_KEY}) AS n_chars FROM (SELECT qa_key, trim(regexp_replace(trim(regexp_replace({_strip('gold_answer')}, '^```(?:json)?', '', 'i')), '```$', '')) AS b FROM qa WHERE gold_answer IS NOT NULL)")
 def answer_keys(spark: SparkSession, d: str) -> DataFrame:
-    rows = table(spark, d, "qa").where("gold_answer is not null and not startswith(gold_answer, '{')")
+    rows = table(spark, d, "qa").where("gold_answer is not null")
     return rows.select("qa_key", text.answer_key(F.col("gold_answer")).alias("answer_key")).withColumn("n_chars", F.length("answer_key").cast("bigint"))
 
 
-@query("SELECT qa_key, array_to_string([chr(64 + CAST(i AS INTEGER)) || '. ' || answer_options[i] FOR i IN range(1, len(answer_options) + 1)], chr(10)) AS options FROM qa WHERE len(answer_options) > 0 AND NOT list_contains([x IS NULL FOR x IN answer_options], true)")
+@query("SELECT qa_key, array_to_string([chr(64 + CAST(i AS INTEGER)) || '. ' || coalesce(answer_options[i], 'None') FOR i IN range(1, len(answer_options) + 1)], chr(10)) AS options FROM qa WHERE len(answer_options) > 0")
 def options_rendered(spark: SparkSession, d: str) -> DataFrame:
-    rows = table(spark, d, "qa").where("size(answer_options) > 0 and not exists(answer_options, x -> x is null)")
+    rows = table(spark, d, "qa").where("size(answer_options) > 0")
     return rows.select("qa_key", text.options_block(F.col("answer_options")).alias("options"))
 
 
@@ -552,10 +564,10 @@ def cross_run_scores(spark: SparkSession, d: str) -> DataFrame:
     return analytics.cross_run(per_item, 20.0)
 
 
-@query(f"WITH {_ITEMS}, p AS (SELECT item, max(score) FILTER (WHERE run = 'click') AS click, max(score) FILTER (WHERE run = 'view') AS view, max(score) FILTER (WHERE run = 'purchase') AS purchase FROM r GROUP BY ALL) SELECT item, click, view, purchase, CASE WHEN item % 2 = 0 THEN click ELSE view END AS effective FROM p")
+@query(f"WITH {_ITEMS}, p AS (SELECT item, max(score) FILTER (WHERE run = 'click') AS click, max(score) FILTER (WHERE run = 'view') AS view, max(score) FILTER (WHERE run = 'purchase') AS purchase, max(score) FILTER (WHERE run = 'signup') AS signup, max(score) FILTER (WHERE run = 'error') AS error FROM r GROUP BY ALL) SELECT item, click, view, purchase, signup, error, CASE WHEN item % 2 = 0 THEN click ELSE view END AS effective FROM p")
 def score_pivot(spark: SparkSession, d: str) -> DataFrame:
     per = _runs(spark, d).groupBy("run", "item").agg(F.round(F.avg("value"), 6).alias("score"))
-    wide = per.groupBy("item").pivot("run", ["click", "view", "purchase"]).agg(F.max("score"))
+    wide = per.groupBy("item").pivot("run", ["click", "view", "purchase", "signup", "error"]).agg(F.max("score"))
     return wide.withColumn("effective", analytics.effective(F.col("item") % 2 == 0, F.col("click"), F.col("view")))
 
 
@@ -573,9 +585,19 @@ def retry_documents(spark: SparkSession, d: str) -> DataFrame:
     return analytics.retry(table(spark, d, "documents").select("doc_id", "source"), labels.where("is_abusive is not null"), labels.where("is_abusive is null"), "doc_id")
 
 
-@query("SELECT event_id, CAST(json_extract_string(props, '$.k') AS BIGINT) AS k, round(least(0.35 * (value / 100) + 0.65, 1.0), 6) AS weighted FROM events")
-def json_scores(spark: SparkSession, d: str) -> DataFrame:
-    return _runs(spark, d).select("event_id", "k", F.round(F.least(0.35 * (F.col("value") / 100) + 0.65, F.lit(1.0)), 6).alias("weighted"))
+@query("""SELECT event_id, CASE WHEN event_id % 7 = 3 THEN 'parse_error' WHEN event_id % 5 = 0 THEN 'unknown' ELSE event_type END AS verdict,
+  round(CASE WHEN event_id % 7 = 3 THEN 0 ELSE 0.35 * v + 0.30 * ((event_id % 10) / 10) + 0.20 * CASE WHEN event_id % 3 = 0 THEN 0 ELSE 0.5 END + 0.10 * 1.0 + 0.05 * v END, 6) AS weighted
+  FROM (SELECT *, round(value, 2) / 1000 AS v FROM events)""")
+def judge_verdicts(spark: SparkSession, d: str) -> DataFrame:
+    """Answers of a judge, fenced, incomplete or broken, as partial scores, verdict and weighted score."""
+    v, n = F.round("value", 2) / 1000, F.col("event_id")
+    said = F.concat(
+        F.when(n % 2 == 0, "```json\n").otherwise(" "), F.lit('{"core_answer_correct": '), v.cast("string"), F.lit(', "key_point_coverage": "'), (n % 10 / 10).cast("string"),
+        F.lit('", "rationale_alignment": '), F.when(n % 3 == 0, '"none"').otherwise("0.5"), F.lit(', "unsupported_claims": 1, "insufficiency_handling": '), v.cast("string"),
+        F.when(n % 5 == 0, "").otherwise(F.concat(F.lit(', "verdict": "'), "event_type", F.lit('"'))), F.when(n % 7 == 3, ", ").otherwise("}"), F.when(n % 2 == 0, "\n```").otherwise(""),
+    )
+    parsed = table(spark, d, "events").select("event_id", text.judge_scores(said).alias("s"))
+    return parsed.select("event_id", "s.verdict", F.round(analytics.weighted_judgement(F.col("s")), 6).alias("weighted"))
 
 
 @query("SELECT conversation_id, session_count, i AS session_no, session_count // 3 + CASE WHEN i <= session_count % 3 THEN 1 ELSE 0 END AS share, session_count + greatest(2, CAST(ceil(session_count * 0.25) AS BIGINT)) AS asked_for, CASE WHEN session_count >= 16 THEN 3 WHEN session_count >= 10 THEN 2 ELSE 1 END AS n_events FROM (SELECT DISTINCT conversation_id, session_count FROM conversation_head WHERE session_count IS NOT NULL), (SELECT unnest([1, 2, 3]) AS i)")

@@ -15,13 +15,15 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def ensure_checkpoint_dir(spark: SparkSession) -> None:
     """Let ``DataFrame.checkpoint`` work: the folder named by the session wins.
 
-    On a cluster ``spark.checkpoint.dir`` names a shared folder. Only where it is unset (local
-    tests) a folder of our own is used.
+    On a cluster ``spark.checkpoint.dir`` names a shared folder; without it nothing is written. Only in
+    local mode, where it may be unset, a folder of our own is used.
     """
     sc = spark.sparkContext
     if sc._jsc.sc().getCheckpointDir().isDefined():
         return
     named = sc.getConf().get("spark.checkpoint.dir")
+    if not named and not sc.master.startswith("local"):
+        raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
     sc.setCheckpointDir(named or tempfile.mkdtemp(prefix="dialoom-checkpoint-"))
 
 
@@ -43,6 +45,7 @@ def session(app: str = "dialoom", master: str | None = None, **conf: str) -> Spa
         "spark.sql.session.timeZone": "UTC",
         "spark.sql.execution.arrow.pyspark.enabled": "true",
         "spark.ui.enabled": "false",
+        "spark.cleaner.referenceTracking.cleanCheckpoints": "true",
     } | {k.replace("__", "."): v for k, v in conf.items()}
     for key, value in settings.items():
         builder = builder.config(key, value)
