@@ -141,6 +141,15 @@ def answer_key(x: Column) -> Column:
     return F.lower(squashed(F.regexp_replace(inner, r"^[A-Z][).:\-]\s*", "")))
 
 
+def utc_time(x: Column) -> Column:
+    """Timestamp (without zone, UTC) of an ISO text; one without offset counts as UTC, other text is null."""
+    local = F.replace(F.substring(x, 1, 19), F.lit("T"), F.lit(" ")).try_cast("timestamp_ntz")
+    offset = F.regexp_extract(x, "([+-][0-9]{2}:[0-9]{2})$", 1)
+    minutes = F.substring(offset, 2, 2).try_cast("int") * 60 + F.substring(offset, 5, 2).try_cast("int")
+    shift = F.make_dt_interval(mins=F.when(offset == "", 0).otherwise(F.when(F.startswith(offset, F.lit("-")), -minutes).otherwise(minutes)))
+    return F.when(x.rlike("^[0-9]{4}-[0-9]{2}-[0-9]{2}T[0-9]{2}:[0-9]{2}:[0-9]{2}"), local - shift)
+
+
 def tokens(x: Column) -> Column:
     """Runs of ASCII letters and digits of the lower-case text."""
     return F.regexp_extract_all(F.lower(F.coalesce(x, F.lit(""))), F.lit("[a-z0-9]+"), F.lit(0))
