@@ -6,7 +6,7 @@ import unicodedata
 from collections.abc import Iterable
 
 import pandas as pd
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import StringType
 
@@ -83,24 +83,28 @@ def nfkc(batch: pd.Series) -> pd.Series:
     return batch.map(lambda t: t if t is None or t.isascii() else unicodedata.normalize("NFKC", t))
 
 
-def voice_without_leaks(x: Column, replacements: Iterable[tuple[str, str]] = ()) -> Column:
-    """A voice description reworded by ordered rules; a second pass runs only where it still leaks.
+def _finished_voice(y: Column) -> Column:
+    """Fallback wording and tidied commas and blanks."""
+    for pattern, to in rules.VOICE_FALLBACK:
+        y = F.regexp_replace(y, "(?i)" + pattern, to)
+    y = F.regexp_replace(y, r"(?i)\ba hint of\b", "")
+    y = F.regexp_replace(y, r"(?i)\bslight\b", "slightly")
+    y = F.regexp_replace(F.regexp_replace(y, r"\s+,", ","), r",\s*,", ", ")
+    return F.regexp_replace(F.regexp_replace(y, r"\s{2,}", " "), r"^[ ,]+|[ ,]+$", "")
 
-    ``replacements`` are project rules that go before the fallback wording, in their order.
-    """
 
-    def finished(y: Column) -> Column:
-        for pattern, to in rules.VOICE_FALLBACK:
-            y = F.regexp_replace(y, "(?i)" + pattern, to)
-        y = F.regexp_replace(y, r"(?i)\ba hint of\b", "")
-        y = F.regexp_replace(y, r"(?i)\bslight\b", "slightly")
-        y = F.regexp_replace(F.regexp_replace(y, r"\s+,", ","), r",\s*,", ", ")
-        return F.regexp_replace(F.regexp_replace(y, r"\s{2,}", " "), r"^[ ,]+|[ ,]+$", "")
-
-    for pattern, to in replacements:
-        x = F.regexp_replace(x, "(?i)" + pattern, to)
-    once = finished(x)
-    return F.when(F.size(leak_labels(once)) > 0, finished(once)).otherwise(once)
+def with_voice_reworded(rows: DataFrame, column: str, rewording: Iterable[tuple[str, str]] = tuple(rules.VOICE_REWORDING)) -> DataFrame:
+    """The rows with a voice description reworded by ordered rules, whole words in any case.
+
+    A rule that cannot apply costs a look only; the fallback wording runs a second time where the first
+    still leaks. Each pass is a projection of its own, so that no rule is evaluated twice.
+    """
+    x = F.col(column)
+    for words, to in rewording:
+        x = F.regexp_replace(x, rf"(?i)\b{words}\b", to)
+    once = rows.withColumn("__once", _finished_voice(x))
+    again = once.withColumn("__leaks", F.size(leak_labels(F.col("__once"))) > 0)
+    return again.withColumn(column, F.when(F.col("__leaks"), _finished_voice(F.col("__once"))).otherwise(F.col("__once"))).drop("__once", "__leaks")
 
 
 def slug(x: Column) -> Column:

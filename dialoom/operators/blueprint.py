@@ -49,12 +49,6 @@ def turn_time(start: Column, array_pos: Column, given: Column, step: float = 75.
     return F.when(F.coalesce(F.trim(given), F.lit("")) != "", given).otherwise(made)
 
 
-def speaker_side(value: Column, teacher: Column, student: Column) -> Column:
-    """Canonical speaker of a label: the teacher's for its names and blanks, the student's else."""
-    low = F.lower(F.trim(F.coalesce(value, F.lit(""))))
-    return F.when(low.isin("", "teacher", "agent_teacher", "mentor", "coach") | (low == F.lower(teacher)), teacher).otherwise(student)
-
-
 def without_non_emotions(terms: Column) -> Column:
     """Terms that name an emotion, each once, in order."""
     named = F.transform(terms, lambda x: F.replace(F.lower(F.trim(x)), F.lit(" "), F.lit("_")))

@@ -8,13 +8,14 @@ shuffle.
 
 from __future__ import annotations
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from dialoom.functions import rules, text
 from dialoom.functions.ids import is_blank, turn_numbers
+from dialoom.operators.prefix import before as totals_before
 from dialoom.operators.prefix import salted_join
+from dialoom.session import checkpoint
 
 COMPLEX = ("multi-hop", "trajectory-based", "conflict-resolution")
 
@@ -201,32 +202,68 @@ def repeated_wording(questions: DataFrame) -> DataFrame:
 
 
 def closure_repeats(f: DataFrame, overlap: float = 0.5) -> DataFrame:
-    """Closing questions that repeat an earlier kept one of the same type and half the evidence.
+    """Closing questions that repeat an earlier kept one of the same type and half the evidence: (qa_key, repeats_key).
 
-    Each one is compared with those kept so far, in order of their keys: inherently sequential, so
-    it runs per conversation and type, and over the few questions with closing marks only.
+    A question is kept unless an earlier kept one is like it. Pairs that are alike share an evidence id,
+    so they come from an equality join on (conversation, type, id); who is kept is then found in rounds:
+    whoever has no earlier question left to wait for is kept, whoever has a kept earlier one is a repeat.
+    Each round settles at least the first of every chain; no group is collected anywhere.
     """
+    closing = text.has_any(F.concat_ws(" ", F.coalesce("question_text", F.lit("")), F.coalesce("anchor_text", F.lit(""))), rules.CLOSURE)
+    ids = F.array_distinct(F.filter("evidence_turn_ids", lambda x: x.isNotNull() & (F.trim(x) != "")))
+    rows = f.where(closing).select("conversation_id", "question_type", "qa_key", ids.alias("ids")).where("size(ids) > 0")
+    long = rows.select("conversation_id", "question_type", "qa_key", F.size("ids").alias("n"), F.explode("ids").alias("id"))
+    a, b = long.alias("a"), long.alias("b")
+    same = [F.col(f"a.{c}") == F.col(f"b.{c}") for c in ("conversation_id", "question_type", "id")]
+    shared = a.join(b, [*same, F.col("a.qa_key") < F.col("b.qa_key")]).groupBy(F.col("a.qa_key").alias("earlier"), F.col("b.qa_key").alias("later")).agg(F.count("*").alias("k"), F.first("a.n").alias("m"), F.first("b.n").alias("n"))
+    edges = checkpoint(shared.where(F.col("k") >= overlap * (F.col("m") + F.col("n") - F.col("k"))).select("earlier", "later"))
+    state = checkpoint(edges.select(F.explode(F.array("earlier", "later")).alias("qa_key")).distinct().select("qa_key", F.lit(None).cast("boolean").alias("kept"), F.lit(None).cast("bigint").alias("repeats_key")))
+    while state.where("kept is null").limit(1).count():
+        before = edges.join(state.select(F.col("qa_key").alias("earlier"), F.col("kept").alias("__kept")), "earlier")
+        seen = before.groupBy(F.col("later").alias("qa_key")).agg(
+            F.max(F.col("__kept").isNull()).alias("__open"), F.min(F.when(F.col("__kept"), F.col("earlier"))).alias("__first"), F.min(F.when(F.col("__kept").isNull(), F.col("earlier"))).alias("__waits")
+        )
+        joined = state.join(seen, "qa_key", "left")
+        # a repeat names its first kept one, so it waits for open ones before that
+        repeat = F.col("__first").isNotNull() & (~F.coalesce("__open", F.lit(False)) | (F.col("__first") < F.col("__waits")))
+        free = ~F.coalesce("__open", F.lit(False)) & F.col("__first").isNull()
+        settled = F.when(F.col("kept").isNotNull(), F.col("kept")).when(repeat, False).when(free, True)
+        state = checkpoint(joined.select("qa_key", settled.alias("kept"), F.coalesce("repeats_key", F.when(F.col("kept").isNull() & repeat, F.col("__first"))).alias("repeats_key")))
+    return state.where("not kept").select("qa_key", "repeats_key")
+
+
+def hard_reasons(f: DataFrame) -> DataFrame:
+    """(qa_key, hard_reasons, easy_reasons): why a question lost points as a hard one, and won some as an easy one."""
+    level, two, last = F.col("memory_level"), F.col("n_evidence_sessions") >= 2, F.col("is_last")
+    shallow = (F.col("question_type") == "retrieval") & (F.col("n_evidence") <= 1) & level.isin("Level 0", "Level 1")
+    spoken = F.concat_ws(" || ", *[F.coalesce(c, F.lit("")) for c in ("anchor_text", "question_text", "gold_answer")])
+    hard = [(~two, "single_session_evidence"), ((level == "Level 3") & ~F.col("early_evidence"), "level3_no_early_session_evidence"), ((level == "Level 2") & ~two, "level2_single_session_evidence"),
+            (level == "Level 1", "low_memory_level"), (F.col("late_summary"), "late_summary_anchor"), (shallow, "shallow_retrieval")]
+    easy = [(last & F.col("outcome"), "late_result_summary"), (last & F.col("late_summary"), "late_summary_anchor"), (shallow, "shallow_single_hop_retrieval"),
+            ((F.col("question_type") == "judgment") & last & text.has_any(spoken, rules.GENERIC_JUDGMENT), "late_generic_growth_judgment")]
+    named = lambda checks: F.array_join(F.array_compact(F.array(*[F.when(c, n) for c, n in checks])), ",")
+    return f.select("qa_key", named(hard).alias("hard_reasons"), named(easy).alias("easy_reasons"))
 
-    def fold(group: pd.DataFrame) -> pd.DataFrame:
-        kept: list[tuple[int, set]] = []
-        out = []
-        for key, ids in group.sort_values("qa_key")[["qa_key", "evidence_turn_ids"]].itertuples(index=False):
-            have = {i for i in ids if i is not None and i.strip()}
-            prior = next((k for k, s in kept if (s or have) and len(s & have) >= overlap * len(s | have)), None)
-            if prior is None:
-                kept.append((key, have))
-            else:
-                out.append((key, prior))
-        return pd.DataFrame(out, columns=["qa_key", "repeats_key"])
 
-    closing = text.has_any(F.concat_ws(" ", F.coalesce("question_text", F.lit("")), F.coalesce("anchor_text", F.lit(""))), rules.CLOSURE)
-    return f.where(closing).select("conversation_id", "question_type", "qa_key", "evidence_turn_ids").groupBy("conversation_id", "question_type").applyInPandas(
-        fold, "qa_key bigint, repeats_key bigint"
-    )
+def best_annotations(scored: DataFrame, k: int = 10) -> DataFrame:
+    """The ``k`` annotated turns preferred as anchors of each conversation, numbered; all others are discouraged.
+
+    By score, level, reasoning and id, so negative scores come in only where there are too few others.
+    The rank is bounded, so each group is cut before the shuffle.
+    """
+    level = text.level_label(F.col("memory_dependency_level"), "Level 0")
+    order = Window.partitionBy("conversation_id").orderBy(F.desc("score"), F.desc(level), F.desc(F.coalesce("reasoning_structure", F.lit(""))), "dia_id", F.asc_nulls_first("underlying_emotion"))
+    return scored.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
+
+
+def numbered(rows: DataFrame, pattern: str = "Q%03d") -> DataFrame:
+    """Questions numbered anew inside their conversation by key; counting goes in blocks of keys."""
+    counted = totals_before(rows, ["conversation_id"], "qa_key", {"__n": F.lit(1)})
+    return counted.withColumn("question_id", F.format_string(pattern, (F.col("__n") + 1).cast("int"))).drop("__n")
 
 
-def curation_tags(f: DataFrame, repeats: DataFrame) -> DataFrame:
-    """(qa_key, tags): tags of doubt about a question, joined by commas."""
+def curation_tags(f: DataFrame, repeats: DataFrame, signals: DataFrame | None = None) -> DataFrame:
+    """(qa_key, tags): tags of doubt about a question, joined by commas; ``signals`` are repeats of closing questions."""
     level, kind, hops = F.col("memory_level"), F.col("question_type"), F.col("reasoning_structure")
     low = level.isin("Level 0", "Level 1")
     closing = text.has_any(F.concat_ws(" ", F.coalesce("question_text", F.lit("")), F.coalesce("anchor_text", F.lit(""))), rules.CLOSURE)
@@ -235,9 +272,11 @@ def curation_tags(f: DataFrame, repeats: DataFrame) -> DataFrame:
         F.when((kind == "retrieval") & ((F.col("content_type") == "near_term_fact") | (level == "Level 0") | (hops == "direct")), "likely_low_value_retrieval"),
         F.when(closing, "closure_signal"),
         F.when(F.col("__repeated"), "likely_duplicate_wording"),
+        F.when(F.col("__signal"), "likely_duplicate_signal"),
         F.when((F.col("n_evidence") <= 1) & low, "thin_evidence"),
     )
     marked = f.join(repeats.select("qa_key", F.lit(True).alias("__repeated")), "qa_key", "left")
+    marked = marked.withColumn("__signal", F.lit(False)) if signals is None else marked.join(signals.select("qa_key", F.lit(True).alias("__signal")), "qa_key", "left")
     return marked.select("qa_key", F.array_join(F.array_compact(tags), ",").alias("tags"))
 
 

@@ -16,6 +16,7 @@ from dialoom.functions.ids import turn_numbers
 from dialoom.functions.text import unmangled
 from dialoom.operators.prefix import before
 
+SESSION_BLOCK = 64
 TURN = "struct<speaker:string,dia_id:string,timestamp:string,turn_index_global:int,text:string,audio_id:string,voice_style:string,modality_available:array<string>>"
 
 
@@ -161,6 +162,35 @@ def context_spans(anchors: DataFrame, placed: DataFrame) -> DataFrame:
     )
 
 
+def prefix_rows(anchors: DataFrame, placed: DataFrame, key: str, session_local: bool = False) -> DataFrame:
+    """The turns up to each anchor (columns key, conversation_id, history_pos, session of ``anchors``), one row each.
+
+    An equality join on (conversation, session): every anchor is sent to the sessions up to its own, of
+    which each is small, so no task holds a conversation. The output is as large as the contexts are;
+    ``context_spans`` has the same contexts as spans.
+    """
+    wanted = anchors.select(key, "conversation_id", F.col("session").alias("__at"), F.col("history_pos").alias("__pos"))
+    if session_local:
+        reached = wanted.withColumn("session", F.col("__at"))
+    else:
+        # sessions that exist, by blocks of their numbers: an anchor meets the blocks up to its own
+        known = placed.select("conversation_id", "session").distinct()
+        blocks = known.withColumn("__block", F.floor(F.col("session") / SESSION_BLOCK))
+        spread = wanted.withColumn("__block", F.explode(F.sequence(F.lit(0).cast("bigint"), F.floor(F.col("__at") / SESSION_BLOCK))))
+        reached = spread.join(blocks, ["conversation_id", "__block"]).where(F.col("session") <= F.col("__at")).drop("__block")
+    return reached.join(placed, ["conversation_id", "session"]).where(F.col("history_pos") <= F.col("__pos")).drop("__at", "__pos")
+
+
+def retrieval_candidates(anchors: DataFrame, placed: DataFrame, key: str, size: int = 2) -> DataFrame:
+    """Windows of ``size`` turns strictly before each anchor, session by session, the last of a session may be short.
+
+    Columns key, session, window_no (in the session), item_no and the turn.
+    """
+    before_anchor = prefix_rows(anchors.withColumn("history_pos", F.col("history_pos") - 1), placed, key)
+    place = F.col("session_pos") - 1
+    return before_anchor.withColumn("window_no", F.floor(place / size)).withColumn("item_no", F.pmod(place, F.lit(size)))
+
+
 def span_rows(spans: DataFrame, placed: DataFrame, key: str, last: int) -> DataFrame:
     """Turns of each span, the ``last`` ones up to the anchor: equality join on (conversation, place)."""
     wanted = spans.select(key, "conversation_id", F.explode(F.sequence(F.greatest(F.col("history_pos") - (last - 1), F.lit(1)), F.col("history_pos"))).alias("history_pos"))

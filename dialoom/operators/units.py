@@ -10,6 +10,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from dialoom.functions.ids import turn_numbers
 from dialoom.operators import questions as q
 from dialoom.operators import turns as t
 
@@ -42,20 +43,44 @@ def session_views(questions: DataFrame, placed: DataFrame) -> DataFrame:
     return rows.where("turn <= anchor_turn").withColumn("masked_voice", F.when(F.col("condition").isNotNull(), masked(F.col("voice_style"), F.col("condition"), target)))
 
 
+def history_views(questions: DataFrame, placed: DataFrame) -> DataFrame:
+    """Rows of the full-history context of each question, plain and masked."""
+    asked = q.anchored(questions, placed).where("anchor_id is not null").withColumn("condition", condition_key())
+    anchors = asked.select("qa_key", "conversation_id", "session", F.col("anchor_pos").alias("history_pos"))
+    facts = asked.select("qa_key", F.col("session").alias("__session"), F.col("turn").alias("__turn"), "condition")
+    rows = t.prefix_rows(anchors, placed.select("conversation_id", "session", "turn", "dia_id", "speaker", "text", "spoken_at", "voice_style", "history_pos"), "qa_key").join(facts, "qa_key")
+    target = (F.col("session") == F.col("__session")) & ((F.col("turn") == F.col("__turn")) | ((F.col("__turn") > 1) & (F.col("turn") == F.col("__turn") - 1)))
+    masked_voice = F.when(F.col("condition").isNotNull(), masked(F.col("voice_style"), F.col("condition"), target))
+    return rows.withColumn("masked_voice", masked_voice).drop("__session", "__turn")
+
+
+def candidates(questions: DataFrame, placed: DataFrame) -> DataFrame:
+    """Retrieval candidates of each question."""
+    asked = q.anchored(questions, placed).where("anchor_id is not null").select("qa_key", "conversation_id", "session", F.col("anchor_pos").alias("history_pos"))
+    return t.retrieval_candidates(asked, placed, "qa_key")
+
+
 def evidence_rows(questions: DataFrame, placed: DataFrame) -> DataFrame:
     """Evidence turns of each question in their listed order; ids without a turn are left out."""
     return q.evidence(questions, placed).where("dia_id is not null")
 
 
-def units(questions: DataFrame, annotations: DataFrame, placed: DataFrame, history_limit: int = 0) -> DataFrame:
-    """One nested row per question whose anchor exists."""
+def units(questions: DataFrame, annotations: DataFrame, placed: DataFrame, history_limit: int = 0, whole: bool = False) -> DataFrame:
+    """One nested row per question whose anchor exists.
+
+    ``whole`` puts the full history, its masked view and the retrieval candidates into the rows, as an
+    export needs them; a row is then as large as the history of its anchor.
+    """
     base = q.anchored(questions, placed).where("anchor_id is not null").withColumn("condition", condition_key())
     proof = evidence_rows(questions, placed).groupBy("qa_key").agg(
         F.array_sort(F.collect_list(F.struct("pos", "dia_id", F.col("evidence_speaker").alias("speaker"), F.col("evidence_text").alias("text"), "turn_index"))).alias("history_evidence")
     )
     view = F.struct("turn", "dia_id", "speaker", "text", "spoken_at", "voice_style", "masked_voice", "session_pos")
     local = session_views(questions, placed).groupBy("qa_key").agg(F.array_sort(F.collect_list(view)).alias("session_local"))
-    first = annotations.groupBy("conversation_id", F.col("dia_id").alias("anchor_id")).agg(F.first(F.struct("underlying_emotion", "relation_state", "memory_dependency_level"), ignorenulls=True).alias("annotation"))
+    # annotations are matched by session and turn number; of several the last in a fixed order counts
+    n = turn_numbers(F.col("dia_id"))
+    told = F.struct("underlying_emotion", "relation_state", "memory_dependency_level")
+    first = annotations.where(n.isNotNull()).select("conversation_id", F.format_string("D%d:%d", n["session"], n["turn"]).alias("anchor_id"), told.alias("annotation")).groupBy("conversation_id", "anchor_id").agg(F.max("annotation").alias("annotation"))
     spans = t.context_spans(base.select("qa_key", "conversation_id", "session", "turn"), placed).select("qa_key", "n_full", "n_local", "n_prior", "n_windows")
     out = (
         base.join(proof, "qa_key", "left").join(local, "qa_key", "left").join(spans, "qa_key", "left").join(first, ["conversation_id", "anchor_id"], "left")
@@ -69,6 +94,12 @@ def units(questions: DataFrame, annotations: DataFrame, placed: DataFrame, histo
             "n_full", "n_local", "n_prior", "n_windows", "condition",
         )
     )
+    if whole:
+        shown = F.struct("history_pos", "dia_id", "speaker", "text", "spoken_at", "voice_style", "masked_voice")
+        history = history_views(questions, placed).groupBy("qa_key").agg(F.array_sort(F.collect_list(shown)).alias("full_history_context"))
+        window = candidates(questions, placed).groupBy("qa_key", "session", "window_no").agg(F.array_sort(F.collect_list(F.struct("item_no", "dia_id", "speaker", "text", "spoken_at", "voice_style"))).alias("turns"))
+        windows = window.groupBy("qa_key").agg(F.transform(F.array_sort(F.collect_list(F.struct("session", "window_no", "turns"))), lambda x: x["turns"]).alias("retrieval_candidates"))
+        out = out.join(history, "qa_key", "left").join(windows, "qa_key", "left")
     if history_limit:
         rows = t.span_rows(base.select("qa_key", "conversation_id", F.col("anchor_pos").alias("history_pos")), placed, "qa_key", history_limit)
         recent = rows.groupBy("qa_key").agg(F.array_sort(F.collect_list(F.struct("history_pos", "dia_id", "speaker", "text"))).alias("recent_history"))

@@ -204,31 +204,12 @@ def index_fill(spark: SparkSession, d: str) -> DataFrame:
     return t.filled_index(placed).drop("turn_index")
 
 
-@query(W_T + f"SELECT conversation_id, dia_id, array_to_string([x FOR x IN [{', '.join(f'''CASE WHEN regexp_matches(voice_style, '(?i)\\b({w})\\b') THEN '{k}' END''' for k, w in rules.LEAK_RULES.items())}] IF x IS NOT NULL], ',') AS labels FROM turns WHERE regexp_matches(voice_style, '(?i)\\b({'|'.join(rules.LEAK_RULES.values())})\\b')")
-def voice_leaks(spark: SparkSession, d: str) -> DataFrame:
-    rows = turns_of(spark, d).withColumn("l", text.leak_labels(F.col("voice_style"))).where(F.size("l") > 0)
-    return rows.select("conversation_id", "dia_id", F.array_join("l", ",").alias("labels"))
-
-
 @query(f"SELECT doc_id, {_nested('text', rules.MOJIBAKE)} AS text FROM documents WHERE {_nested('text', rules.MOJIBAKE)} IS DISTINCT FROM text")
 def mojibake_repaired(spark: SparkSession, d: str) -> DataFrame:
     docs = table(spark, d, "documents").select("doc_id", F.col("text").alias("__before"), text.unmangled(F.col("text")).alias("text"))
     return docs.where(~F.col("text").eqNullSafe(F.col("__before"))).drop("__before")
 
 
-@query()
-def compatibility_forms(spark: SparkSession, d: str) -> DataFrame:
-    """Documents that compatibility normalisation changes, with their new length."""
-    docs = table(spark, d, "documents").select("doc_id", "text", text.nfkc("text").alias("n")).where("text is not null and n <> text")
-    return docs.select("doc_id", F.length("n").alias("length"))
-
-
-@query()
-def voice_styles_reworded(spark: SparkSession, d: str) -> DataFrame:
-    styles = turns_of(spark, d).where("voice_style is not null")
-    return styles.select("conversation_id", "dia_id", text.voice_without_leaks(F.col("voice_style")).alias("voice_style"))
-
-
 @query(W_T + "SELECT conversation_id, dia_id, CASE WHEN turn % 2 = 1 THEN 'first' ELSE 'second' END AS side, CAST(least((session_pos - 1) // greatest(n // 3, 1), 2) AS BIGINT) AS event_no FROM (SELECT *, count(*) OVER (PARTITION BY conversation_id, session) AS n FROM turns)")
 def active_events(spark: SparkSession, d: str) -> DataFrame:
     """Side by parity, and the event (of three a session) that each turn belongs to."""
@@ -340,16 +321,6 @@ def questions_kept_or_demoted(spark: SparkSession, d: str) -> DataFrame:
 _WORDING = r"trim(regexp_replace(lower(coalesce(question_text, '')), '[\s\p{Z}]+', ' ', 'g'))"
 
 
-@query(W_Q + f", w AS (SELECT *, {_WORDING} AS wording FROM questions WHERE anchor_dia_id IS NOT NULL AND anchor_dia_id <> '') SELECT qa_key, question_id, first AS repeats FROM (SELECT *, first_value(question_id) OVER (PARTITION BY conversation_id, anchor_dia_id, wording ORDER BY qa_key) AS first, row_number() OVER (PARTITION BY conversation_id, anchor_dia_id, wording ORDER BY qa_key) AS r FROM w WHERE wording <> '') WHERE r > 1")
-def repeated_wording(spark: SparkSession, d: str) -> DataFrame:
-    return q.repeated_wording(questions_of(spark, d))
-
-
-@query()
-def closure_repeats(spark: SparkSession, d: str) -> DataFrame:
-    return q.closure_repeats(features_of(spark, d))
-
-
 @query(W_F + f""", w AS (SELECT qa_key, row_number() OVER (PARTITION BY conversation_id, anchor_dia_id, {_WORDING} ORDER BY qa_key) AS r FROM questions WHERE anchor_dia_id IS NOT NULL AND anchor_dia_id <> '' AND {_WORDING} <> '')
 SELECT qa_key, array_to_string([x FOR x IN [
   CASE WHEN ({_LOW} AND reasoning_structure IN ('direct', 'single-hop')) OR (question_type = 'retrieval' AND content_type IN ('near_term_fact', 'long_term_fact') AND memory_level = 'Level 0') THEN 'likely_easy' END,

@@ -2,6 +2,7 @@ from conftest import rows_of
 from pyspark.sql import functions as F
 
 from dialoom.operators import blueprint as b
+from dialoom.operators.repair import canonical_speaker
 
 
 def test_spans_and_stages(spark):
@@ -25,5 +26,5 @@ def test_times_terms_and_padding(spark):
     raw = spark.createDataFrame([("x", 1, "a"), ("x", 5, "b")], "scenario string, no int, v string")
     wanted = spark.createDataFrame([("x", 2)], "scenario string, wanted int")
     assert rows_of(b.padded(raw, wanted), "no", "v") == [(1, "a"), (2, None)]
-    sides = spark.createDataFrame([("",), ("Teacher",), ("mia",), ("Sam",)], "v string").select(b.speaker_side(F.col("v"), F.lit("Sam"), F.lit("Mia")).alias("v"))
-    assert [r.v for r in sides.collect()] == ["Sam", "Sam", "Mia", "Sam"]
+    sides = spark.createDataFrame([("",), ("Teacher",), ("mia",), ("Sam",), ("Guest",), (None,)], "v string").select(canonical_speaker(F.col("v"), F.lit("Sam"), F.lit("Mia")).alias("v"))
+    assert [r.v for r in sides.collect()] == ["Sam", "Sam", "Mia", "Sam", "Guest", None]

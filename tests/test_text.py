@@ -23,8 +23,9 @@ def test_damaged_characters(spark):
 def test_leaks_and_rewording(spark):
     assert one(spark, text.leak_labels, "a bit Stressed, showing relief") == ["emotion_distress", "emotion_positive", "interpretive_verb"]
     assert one(spark, text.leak_labels, "steady pace") == [] and one(spark, text.leak_labels, None) == []
-    assert one(spark, lambda x: text.voice_without_leaks(x), "anxious , slight pause") == "slightly tight delivery, slightly pause"
-    assert one(spark, lambda x: F.size(text.leak_labels(text.voice_without_leaks(x))), "ashamed, feeling hurt") == 0
+    df = spark.createDataFrame([("anxious , slight pause",), ("ashamed, feeling hurt",), ("Cautious relief",), ("flat tone",), (None,)], "v string")
+    assert [r.v for r in text.with_voice_reworded(df, "v", ()).collect()] == ["slightly tight delivery, slightly pause", "quieter delivery, tighter delivery", "Cautious softer closing words", "flat tone", None]
+    assert [r.v for r in text.with_voice_reworded(df, "v").collect()] == ["quicker pace, tighter delivery, slightly pause", "quieter delivery, clipped ending, tighter delivery", "Cautious small exhale", "flat tone", None]
 
 
 def test_keys_and_names(spark):
