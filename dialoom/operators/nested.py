@@ -17,22 +17,16 @@ import json
 from collections.abc import Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 NODE_SCHEMA = "unit_key bigint, member string, dewey string, schema_path string, depth int, kind string, value string"
 
-#: Members that hold arrays, by column: path of keys, '*' for any key; '[]' marks an array level.
-ARRAY_MEMBERS = {
-    "task_layer": [("options", "[]")],
-    "benchmark_views": [
-        ("session_local_context", "[]"),
-        ("full_history_context", "[]"),
-        ("retrieval_candidates", "[]", "[]"),
-        ("modality_conditioned_views", "*", "session_local_context", "[]"),
-        ("modality_conditioned_views", "*", "full_history_context", "[]"),
-    ],
-}
+#: Schema paths (patterns) of members that hold arrays, how many array levels they have, and the depth at which they stand.
+ARRAY_MEMBERS = [
+    ("history_evidence", 1, 0), ("task_layer.options", 1, 1), ("benchmark_views.session_local_context", 1, 1), ("benchmark_views.full_history_context", 1, 1), ("benchmark_views.retrieval_candidates", 2, 1),
+    ("benchmark_views.modality_conditioned_views.%.session_local_context", 1, 3), ("benchmark_views.modality_conditioned_views.%.full_history_context", 1, 3),
+]
 
 
 def decoded(value: object) -> object:
@@ -67,12 +61,15 @@ def _emit(key: int, member: str, label: str, path: str, depth: int, value: objec
     return key, member, label, path, depth, kind, scalar
 
 
-def label_nodes(key: int, column: str, value: object) -> Iterator[tuple]:
-    """All nodes below a column's value, depth first; ordinals count keys in their order and items from 0."""
+def label_nodes(key: int, column: str, value: object, leaves: bool = True) -> Iterator[tuple]:
+    """All nodes below a column's value, depth first; ordinals count keys in their order and items from 0.
+
+    Without ``leaves`` scalars get a node only where they are items of an array; all others keep their labels.
+    """
     stack = [(decoded(value), "", column, 0)]
     while stack:
         node, label, path, depth = stack.pop()
-        if label:
+        if label and (leaves or isinstance(node, (dict, list)) or path.endswith("[]")):
             yield _emit(key, column, label, path, depth, node)
         if isinstance(node, dict):
             steps = [(f"{path}.{k}", v) for k, v in node.items()]
@@ -85,36 +82,7 @@ def label_nodes(key: int, column: str, value: object) -> Iterator[tuple]:
                 stack.append((decoded(steps[i][1]), f"{label}.{i}" if label else str(i), steps[i][0], depth + 1))
 
 
-def label_members(key: int, column: str, value: object, wanted: list[tuple]) -> Iterator[tuple]:
-    """Nodes of the wanted array members only; other subtrees are not visited.
-
-    A lone object where '[]' stands is labelled as item 0. The schema path names the member, the
-    trailing ordinals of the label are the places in its arrays.
-    """
-    root = decoded(value)
-    if not isinstance(root, dict):
-        return
-    for steps in wanted:
-        stack = [(root, "", column, 0)]
-        while stack:
-            node, label, path, at = stack.pop()
-            if at == len(steps):
-                yield _emit(key, column, label, path, label.count(".") + 1, node)
-                continue
-            step = steps[at]
-            if step == "[]":
-                items = node if isinstance(node, list) else [node] if isinstance(node, dict) else []
-                nexts = [(path, i, v) for i, v in enumerate(items)]
-            elif isinstance(node, dict):
-                nexts = [(f"{path}.{k}", i, v) for i, (k, v) in enumerate(node.items()) if step in ("*", k)]
-            else:
-                continue
-            for name, i, v in reversed(nexts):
-                if v is not None and (v := decoded(v)) is not None:
-                    stack.append((v, f"{label}.{i}" if label else str(i), name, at + 1))
-
-
-def _labelled(df: DataFrame, columns: list[str], members: dict[str, list[tuple]] | None) -> DataFrame:
+def _labelled(df: DataFrame, columns: list[str], leaves: bool) -> DataFrame:
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         names = [n.split()[0] for n in NODE_SCHEMA.split(", ")]
         for batch in batches:
@@ -124,7 +92,7 @@ def _labelled(df: DataFrame, columns: list[str], members: dict[str, list[tuple]]
                     value = readable(text)
                     if value is None:
                         continue
-                    rows.extend(label_members(key, column, value, members[column]) if members else label_nodes(key, column, value))
+                    rows.extend(label_nodes(key, column, value, leaves))
                     if len(rows) > 50_000:
                         yield pd.DataFrame(rows, columns=names, dtype=object)
                         rows = []
@@ -133,12 +101,21 @@ def _labelled(df: DataFrame, columns: list[str], members: dict[str, list[tuple]]
     return df.select("unit_key", *columns).mapInPandas(run, NODE_SCHEMA)
 
 
-def dewey_nodes(units: DataFrame, columns: list[str] = ["task_layer", "benchmark_views", "history_evidence"]) -> DataFrame:  # noqa: B006
+def parent(label: Column) -> Column:
+    """Label of the node above: the label without its last ordinal."""
+    return F.regexp_replace(label, r"\.?[0-9]+$", "")
+
+
+def last_ordinal(label: Column) -> Column:
+    return F.regexp_extract(label, r"([0-9]+)$", 1).cast("int")
+
+
+def dewey_nodes(units: DataFrame, columns: list[str] = ["task_layer", "benchmark_views", "history_evidence"], leaves: bool = True) -> DataFrame:  # noqa: B006
     """All nodes of the nested columns, with parent labels by truncation; typed columns count as their JSON, nulls kept for the ordinals."""
     kinds = dict(units.dtypes)
     texts = [F.col(c) if kinds[c] == "string" else F.to_json(c, {"ignoreNullFields": "false"}).alias(c) for c in columns]
-    nodes = _labelled(units.select("unit_key", *texts), columns, None)
-    return nodes.withColumn("parent_dewey", F.regexp_replace("dewey", r"\.?[0-9]+$", ""))
+    nodes = _labelled(units.select("unit_key", *texts), columns, leaves)
+    return nodes.withColumn("parent_dewey", parent(F.col("dewey")))
 
 
 def typed_array_nodes(units: DataFrame, column: str) -> DataFrame:
@@ -151,20 +128,36 @@ def typed_array_nodes(units: DataFrame, column: str) -> DataFrame:
 
 
 def member_elements(units: DataFrame) -> DataFrame:
-    """(unit_key, member_path, group_no, item_no): one row per element of the array members.
+    """(unit_key, member_path, group_no, item_no, dewey): one row per element of the array members.
 
-    The places are read off the Dewey labels: the last ordinal is the item, the one before it the
-    window where the member is an array of arrays.
+    All nodes but scalar members are labelled; the elements are the nodes of the schema paths of the
+    wanted tables. An element's place is its last ordinal, its window's the last ordinal of its parent
+    label. A lone object at such a path is its own element 0.
     """
-    nodes = _labelled(units, list(ARRAY_MEMBERS), ARRAY_MEMBERS).select("unit_key", "schema_path", "dewey")
-    nodes = nodes.unionByName(typed_array_nodes(units, "history_evidence").select("unit_key", "schema_path", "dewey"))
-    places = F.split("dewey", r"\.")
-    return nodes.select(
-        "unit_key",
-        F.col("schema_path").alias("member_path"),
-        F.when(F.col("schema_path") == "benchmark_views.retrieval_candidates", F.get(places, F.size(places) - 2).cast("int")).otherwise(0).alias("group_no"),
-        F.get(places, F.size(places) - 1).cast("int").alias("item_no"),
-    )
+    nodes = dewey_nodes(units, ["task_layer", "benchmark_views"], leaves=False).select("unit_key", "schema_path", "dewey", "parent_dewey", "depth", "kind")
+    typed = typed_array_nodes(units, "history_evidence").select("unit_key", F.lit("history_evidence[]").alias("schema_path"), "dewey", F.lit("").alias("parent_dewey"), "depth", "kind")
+    nodes = nodes.unionByName(typed)
+    member, levels = F.regexp_replace("schema_path", r"(\[\])+$", ""), ((F.length("schema_path") - F.length(F.regexp_replace("schema_path", r"(\[\])+$", ""))) / 2).cast("int")
+    wanted = F.coalesce(*[F.when(F.like(member, F.lit(pattern)) & (F.col("depth") - levels == depth), n) for pattern, n, depth in ARRAY_MEMBERS])
+    placed = nodes.select("unit_key", member.alias("member_path"), wanted.alias("__n"), levels.alias("__levels"), "dewey", "parent_dewey", "kind").where("__n is not null")
+    missing = F.col("__n") - F.col("__levels")  # array levels that a lone object stands for
+    ordinals = F.array(last_ordinal(F.col("parent_dewey")), last_ordinal(F.col("dewey")))
+    own = F.when(missing == 0, ordinals[1]).otherwise(0)
+    group = F.when(F.col("__n") == 1, 0).when(missing == 0, ordinals[0]).when(missing == 1, ordinals[1]).otherwise(0)
+    return placed.where((missing == 0) | ((missing > 0) & (F.col("kind") == "object"))).select("unit_key", "member_path", group.cast("int").alias("group_no"), own.cast("int").alias("item_no"), "dewey")
+
+
+def flat_table(units: DataFrame, columns: list[str], members: list[str]) -> DataFrame:
+    """The elements of the array members as one flat table, a column for each wanted scalar member.
+
+    Elements and their scalars meet by (unit, label of the element): the label of a scalar without its
+    last ordinal. Columns unit_key, member_path, group_no, item_no and the members.
+    """
+    elements = member_elements(units).where("member_path like 'benchmark_views.%'")
+    scalars = dewey_nodes(units, columns).where(~F.col("kind").isin("object", "array"))
+    name = F.regexp_extract("schema_path", r"\.([^.\[\]]+)$", 1)
+    wide = scalars.where(name.isin(*members)).groupBy("unit_key", F.col("parent_dewey").alias("dewey")).agg(*[F.max(F.when(name == m, F.col("value"))).alias(m) for m in members])
+    return elements.join(wide, ["unit_key", "dewey"], "left").drop("dewey")
 
 
 def path_tables(nodes: DataFrame) -> DataFrame:

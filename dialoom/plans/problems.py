@@ -18,7 +18,12 @@ def p3_report(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def p5_found(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return nested.member_elements(table(spark, sf_dir, "all_units"))
+    return nested.member_elements(table(spark, sf_dir, "all_units")).drop("dewey")
+
+
+def p5_turns(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The turns of all contexts as one flat table that leads back to unit and place."""
+    return nested.flat_table(table(spark, sf_dir, "all_units"), ["benchmark_views"], ["speaker", "text"])
 
 
 def p5_nodes(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -37,7 +42,7 @@ def p5_member_sizes(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-QUERIES = {f.__name__: f for f in (p3_found, p3_report, p5_found, p5_nodes, p5_paths, p5_member_sizes)}
+QUERIES = {f.__name__: f for f in (p3_found, p3_report, p5_found, p5_turns, p5_nodes, p5_paths, p5_member_sizes)}
 
 _ID = r"'^[^\p{L}\p{N}]*(?:[DdＤｄ][^\p{L}\p{N}]*)?([0-9]{1,18})[^\p{L}\p{N}]+([0-9]{1,18})[^\p{L}\p{N}]*$'"
 
@@ -101,10 +106,10 @@ WITH raw AS (
   SELECT unit_key, member_path, 0 AS group_no, {_as_array("m")} AS items FROM (SELECT unit_key, member_path, {_decoded("m")} AS m FROM members)
   UNION ALL SELECT unit_key, 'benchmark_views.retrieval_candidates', group_no, {_as_array("m")} FROM windows
 ), elements AS (
-  SELECT unit_key, member_path, CAST(group_no AS INTEGER) AS group_no, CAST(i - 1 AS INTEGER) AS item_no
+  SELECT unit_key, member_path, CAST(group_no AS INTEGER) AS group_no, CAST(i - 1 AS INTEGER) AS item_no, items[i] AS item
   FROM (SELECT *, unnest(range(1, len(items) + 1)) AS i FROM lists) WHERE items[i] IS NOT NULL AND json_type(items[i]) <> 'NULL'
   UNION ALL
-  SELECT unit_key, 'history_evidence', 0, CAST(i - 1 AS INTEGER)
+  SELECT unit_key, 'history_evidence', 0, CAST(i - 1 AS INTEGER), NULL
   FROM (SELECT unit_key, history_evidence, unnest(range(1, len(history_evidence) + 1)) AS i FROM all_units) WHERE history_evidence[i] IS NOT NULL
 )
 """
@@ -114,5 +119,7 @@ ORACLE_SQL = {
     "p3_report": _ORPHANS
     + "SELECT ref_field, strftime(created_at, '%Y-%m') AS month, state, count(*) AS n_references, count(DISTINCT qa_key) AS n_rows FROM found WHERE state IS NOT NULL GROUP BY ALL",
     "p5_found": _ELEMENTS + "SELECT unit_key, member_path, group_no, item_no FROM elements",
+    "p5_turns": _ELEMENTS
+    + f"SELECT unit_key, member_path, group_no, item_no, CASE WHEN json_type(e -> '$.speaker') <> 'NULL' THEN e ->> '$.speaker' END AS speaker, CASE WHEN json_type(e -> '$.text') <> 'NULL' THEN e ->> '$.text' END AS text FROM (SELECT *, {_decoded('item')} AS e FROM elements WHERE member_path LIKE 'benchmark_views.%')",
     "p5_member_sizes": _ELEMENTS + "SELECT member_path, count(*) AS n_elements, count(DISTINCT unit_key) AS n_units FROM elements GROUP BY ALL",
 }

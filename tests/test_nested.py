@@ -19,7 +19,7 @@ def test_members_in_all_layouts(spark):
         unit(2, json.dumps(json.dumps({"options": json.dumps(["a"])})), {"modality_conditioned_views": {"some_key": {"session_local_context": json.dumps([T]), "full_history_context": [None]}, "n": None}}),
         unit(3, "{broken", "", []),
         unit(4, None, "null", None),
-        unit(5, {"options": {"label": "A"}}, {"retrieval_candidates": T}),
+        unit(5, {"options": {"label": "A"}}, {"retrieval_candidates": T, "modality_conditioned_views": {"a.b": {"session_local_context": [T], "deep": {"session_local_context": [T]}}}}),
     ]
     got = rows_of(nested.member_elements(spark.createDataFrame(rows, SCHEMA)), "unit_key", "member_path", "group_no", "item_no")
     b = "benchmark_views."
@@ -27,10 +27,18 @@ def test_members_in_all_layouts(spark):
         (1, "task_layer.options", 0, 0), (1, "task_layer.options", 0, 2), (1, b + "session_local_context", 0, 0), (1, b + "session_local_context", 0, 2),
         (1, b + "full_history_context", 0, 0), (1, b + "retrieval_candidates", 0, 0), (1, b + "retrieval_candidates", 1, 0), (1, b + "retrieval_candidates", 3, 0),
         (1, "history_evidence", 0, 0), (2, "task_layer.options", 0, 0), (2, b + "modality_conditioned_views.some_key.session_local_context", 0, 0),
-        (5, "task_layer.options", 0, 0), (5, b + "retrieval_candidates", 0, 0),
+        (5, "task_layer.options", 0, 0), (5, b + "retrieval_candidates", 0, 0), (5, b + "modality_conditioned_views.a.b.session_local_context", 0, 0),
     ], key=repr)
 
 
+def test_one_flat_table_of_turns(spark):
+    rows = [unit(1, None, {"session_local_context": [T, {"speaker": None, "text": 5}], "retrieval_candidates": [[T], {"text": "lone"}]}), unit(2, None, json.dumps({"full_history_context": json.dumps([json.dumps(T)])}))]
+    got = rows_of(nested.flat_table(spark.createDataFrame(rows, SCHEMA), ["benchmark_views"], ["speaker", "text"]), "unit_key", "member_path", "group_no", "item_no", "speaker", "text")
+    b = "benchmark_views."
+    assert got == sorted([(1, b + "session_local_context", 0, 0, "A", "x"), (1, b + "session_local_context", 0, 1, None, "5"), (1, b + "retrieval_candidates", 0, 0, "A", "x"),
+                          (1, b + "retrieval_candidates", 1, 0, None, "lone"), (2, b + "full_history_context", 0, 0, "A", "x")], key=repr)
+
+
 def test_parents_by_truncation(spark):
     df = nested.dewey_nodes(spark.createDataFrame([unit(1, {"a": {"b": [1, None, {"c": "x" * 50000}]}, "d": True}, None)], SCHEMA))
     nodes = {r.dewey: r for r in df.collect()}
