@@ -114,6 +114,11 @@ def unit_violations(units: DataFrame, latest_questions: DataFrame, placed: DataF
     })
 
 
+def counted(violations: list[DataFrame]) -> DataFrame:
+    """Violations of several checks per entity and rule."""
+    return reduce(DataFrame.unionByName, violations).groupBy("entity", "rule").agg(F.count("*").alias("n"))
+
+
 def assert_valid(violations: DataFrame) -> None:
     """Raise on the first few violations, if there are any."""
     some = violations.limit(5).collect()

@@ -232,6 +232,13 @@ def closure_repeats(f: DataFrame, overlap: float = 0.5) -> DataFrame:
     return state.where("not kept").select("qa_key", "repeats_key")
 
 
+def level_spans(f: DataFrame) -> DataFrame:
+    """(qa_key, rule): questions of level 2 or 3 whose evidence does not span what the level says."""
+    level, two = F.col("memory_level"), F.col("n_evidence_sessions") >= 2
+    rule = F.when((level == "Level 3") & ~F.col("early_evidence"), "level3_without_wide_span").when((level == "Level 3") & ~two, "level3_in_one_session").when((level == "Level 2") & ~two, "level2_in_one_session")
+    return f.select("qa_key", rule.alias("rule")).where("rule is not null")
+
+
 def hard_reasons(f: DataFrame) -> DataFrame:
     """(qa_key, hard_reasons, easy_reasons): why a question lost points as a hard one, and won some as an easy one."""
     level, two, last = F.col("memory_level"), F.col("n_evidence_sessions") >= 2, F.col("is_last")
