@@ -16,7 +16,7 @@ from __future__ import annotations
 import json
 from collections.abc import Iterator
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -29,6 +29,10 @@ ARRAY_MEMBERS = [
 ]
 
 
+#: Ends of the paths of these arrays, for their scalar items.
+ITEMS = tuple(f".{pattern.rsplit('.', 1)[-1]}{'[]' * n}" for pattern, levels, _ in ARRAY_MEMBERS for n in range(levels))
+
+
 def decoded(value: object) -> object:
     """What a value stands for: a string that encodes an object or array counts as that."""
     while isinstance(value, str):
@@ -55,50 +59,64 @@ def readable(text: str | None) -> object:
         return None
 
 
-def _emit(key: int, member: str, label: str, path: str, depth: int, value: object) -> tuple:
-    kind = {dict: "object", list: "array", str: "string", bool: "boolean"}.get(type(value), "number")
-    scalar = None if isinstance(value, (dict, list)) else value if isinstance(value, str) else json.dumps(value)
-    return key, member, label, path, depth, kind, scalar
+_KINDS = {dict: "object", list: "array", str: "string", bool: "boolean"}
+_MAY_ENCODE = frozenset('{["\ufeff \t\n\r\v\f\x1c\x1d\x1e\x1f\x85\xa0\u2028\u2029\u3000')
 
 
-def label_nodes(key: int, column: str, value: object, leaves: bool = True) -> Iterator[tuple]:
+def label_nodes(key: int, column: str, value: object, scalars_of: tuple[str, ...] | None = None) -> Iterator[tuple]:
     """All nodes below a column's value, depth first; ordinals count keys in their order and items from 0.
 
-    Without ``leaves`` scalars get a node only where they are items of an array; all others keep their labels.
+    With ``scalars_of`` scalars get a node only as items of arrays whose path ends so; all others keep their labels.
     """
     stack = [(decoded(value), "", column, 0)]
     while stack:
         node, label, path, depth = stack.pop()
-        if label and (leaves or isinstance(node, (dict, list)) or path.endswith("[]")):
-            yield _emit(key, column, label, path, depth, node)
-        if isinstance(node, dict):
-            steps = [(f"{path}.{k}", v) for k, v in node.items()]
-        elif isinstance(node, list):
-            steps = [(f"{path}[]", v) for v in node]
+        kind = type(node)
+        if label:
+            scalar = None if kind is dict or kind is list else node if kind is str else json.dumps(node)
+            yield key, column, label, path, depth, _KINDS.get(kind, "number"), scalar
+        if kind is dict:
+            steps, scalars = list(node.items()), scalars_of is None
+        elif kind is list:
+            steps, scalars = [(None, v) for v in node], scalars_of is None or path.endswith(scalars_of)
         else:
             continue
+        below = f"{path}[]"
+        front = f"{label}." if label else ""
         for i in range(len(steps) - 1, -1, -1):
-            if steps[i][1] is not None:
-                stack.append((decoded(steps[i][1]), f"{label}.{i}" if label else str(i), steps[i][0], depth + 1))
+            name, v = steps[i]
+            if v is None:
+                continue
+            if type(v) is str and v[:1] in _MAY_ENCODE:
+                v = decoded(v)
+            if scalars or type(v) is dict or type(v) is list:
+                stack.append((v, f"{front}{i}", below if name is None else f"{path}.{name}", depth + 1))
+
+
+def _labelled(df: DataFrame, columns: list[str], scalars_of: tuple[str, ...] | None) -> DataFrame:
+    names = ["unit_key", "member", "dewey", "schema_path", "depth", "kind", "value"]
+    types = [pa.int64(), pa.string(), pa.string(), pa.string(), pa.int32(), pa.string(), pa.string()]
 
+    def made(rows: list[tuple]) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), types)], names)
 
-def _labelled(df: DataFrame, columns: list[str], leaves: bool) -> DataFrame:
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        names = [n.split()[0] for n in NODE_SCHEMA.split(", ")]
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             rows: list[tuple] = []
-            for key, *texts in batch.itertuples(index=False):
-                for column, text in zip(columns, texts):
-                    value = readable(text)
+            keys = batch.column(0).to_pylist()
+            for column, texts in zip(columns, batch.columns[1:]):
+                for key, text in zip(keys, texts):
+                    value = readable(text.as_py())
                     if value is None:
                         continue
-                    rows.extend(label_nodes(key, column, value, leaves))
+                    rows.extend(label_nodes(key, column, value, scalars_of))
                     if len(rows) > 50_000:
-                        yield pd.DataFrame(rows, columns=names, dtype=object)
+                        yield made(rows)
                         rows = []
-            yield pd.DataFrame(rows, columns=names, dtype=object)
+            if rows:
+                yield made(rows)
 
-    return df.select("unit_key", *columns).mapInPandas(run, NODE_SCHEMA)
+    return df.select("unit_key", *columns).mapInArrow(run, NODE_SCHEMA)
 
 
 def parent(label: Column) -> Column:
@@ -110,11 +128,11 @@ def last_ordinal(label: Column) -> Column:
     return F.regexp_extract(label, r"([0-9]+)$", 1).cast("int")
 
 
-def dewey_nodes(units: DataFrame, columns: list[str] = ["task_layer", "benchmark_views", "history_evidence"], leaves: bool = True) -> DataFrame:  # noqa: B006
+def dewey_nodes(units: DataFrame, columns: list[str] = ["task_layer", "benchmark_views", "history_evidence"], scalars_of: tuple[str, ...] | None = None) -> DataFrame:  # noqa: B006
     """All nodes of the nested columns, with parent labels by truncation; typed columns count as their JSON, nulls kept for the ordinals."""
     kinds = dict(units.dtypes)
     texts = [F.col(c) if kinds[c] == "string" else F.to_json(c, {"ignoreNullFields": "false"}).alias(c) for c in columns]
-    nodes = _labelled(units.select("unit_key", *texts), columns, leaves)
+    nodes = _labelled(units.select("unit_key", *texts), columns, scalars_of)
     return nodes.withColumn("parent_dewey", parent(F.col("dewey")))
 
 
@@ -130,11 +148,11 @@ def typed_array_nodes(units: DataFrame, column: str) -> DataFrame:
 def member_elements(units: DataFrame) -> DataFrame:
     """(unit_key, member_path, group_no, item_no, dewey): one row per element of the array members.
 
-    All nodes but scalar members are labelled; the elements are the nodes of the schema paths of the
+    All nodes but scalars elsewhere are labelled; the elements are the nodes of the schema paths of the
     wanted tables. An element's place is its last ordinal, its window's the last ordinal of its parent
     label. A lone object at such a path is its own element 0.
     """
-    nodes = dewey_nodes(units, ["task_layer", "benchmark_views"], leaves=False).select("unit_key", "schema_path", "dewey", "parent_dewey", "depth", "kind")
+    nodes = dewey_nodes(units, ["task_layer", "benchmark_views"], ITEMS).select("unit_key", "schema_path", "dewey", "parent_dewey", "depth", "kind")
     typed = typed_array_nodes(units, "history_evidence").select("unit_key", F.lit("history_evidence[]").alias("schema_path"), "dewey", F.lit("").alias("parent_dewey"), "depth", "kind")
     nodes = nodes.unionByName(typed)
     member, levels = F.regexp_replace("schema_path", r"(\[\])+$", ""), ((F.length("schema_path") - F.length(F.regexp_replace("schema_path", r"(\[\])+$", ""))) / 2).cast("int")
