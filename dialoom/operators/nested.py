@@ -121,11 +121,11 @@ def _labelled(df: DataFrame, columns: list[str], scalars_of: tuple[str, ...] | N
 
 def parent(label: Column) -> Column:
     """Label of the node above: the label without its last ordinal."""
-    return F.regexp_replace(label, r"\.?[0-9]+$", "")
+    return F.substring(label, F.lit(1), F.length(label) - F.length(F.substring_index(label, ".", -1)) - 1)
 
 
 def last_ordinal(label: Column) -> Column:
-    return F.regexp_extract(label, r"([0-9]+)$", 1).cast("int")
+    return F.substring_index(label, ".", -1).try_cast("int")
 
 
 def dewey_nodes(units: DataFrame, columns: list[str] = ["task_layer", "benchmark_views", "history_evidence"], scalars_of: tuple[str, ...] | None = None) -> DataFrame:  # noqa: B006
@@ -155,7 +155,8 @@ def member_elements(units: DataFrame) -> DataFrame:
     nodes = dewey_nodes(units, ["task_layer", "benchmark_views"], ITEMS).select("unit_key", "schema_path", "dewey", "parent_dewey", "depth", "kind")
     typed = typed_array_nodes(units, "history_evidence").select("unit_key", F.lit("history_evidence[]").alias("schema_path"), "dewey", F.lit("").alias("parent_dewey"), "depth", "kind")
     nodes = nodes.unionByName(typed)
-    member, levels = F.regexp_replace("schema_path", r"(\[\])+$", ""), ((F.length("schema_path") - F.length(F.regexp_replace("schema_path", r"(\[\])+$", ""))) / 2).cast("int")
+    member = F.rtrim("schema_path", F.lit("[]"))
+    levels = F.shiftright(F.length("schema_path") - F.length(member), 1)
     wanted = F.coalesce(*[F.when(F.like(member, F.lit(pattern)) & (F.col("depth") - levels == depth), n) for pattern, n, depth in ARRAY_MEMBERS])
     placed = nodes.select("unit_key", member.alias("member_path"), wanted.alias("__n"), levels.alias("__levels"), "dewey", "parent_dewey", "kind").where("__n is not null")
     missing = F.col("__n") - F.col("__levels")  # array levels that a lone object stands for
