@@ -64,6 +64,64 @@ def _with_all(queries: DataFrame, documents: DataFrame, hits: DataFrame, name: s
     return pairs.join(hits, ["query_id", "corpus", "doc"], "left").select("query_id", "corpus", "doc", F.coalesce(name, F.lit(0.0)).alias(name))
 
 
+def scores_upto(queries: DataFrame, turns: DataFrame) -> DataFrame:
+    """(query_id, pos, bm25, cosine) of the turns of a query's session up to its place that share a token or letter group with it.
+
+    ``turns`` (conversation_id, session, pos from 1, text), ``queries`` (query_id, conversation_id, session,
+    upto, text). Every turn is cut up once, whoever searches it: the corpus of a query is the postings of
+    its session up to its place, so document counts are the postings that a join finds, and lengths are
+    running totals. Tokens and letter groups go through the same join; turns that share nothing score 0
+    and do not come out.
+    """
+    group = ["conversation_id", "session"]
+    sized = turns.withColumn("len", F.size(tokens(F.col("text"))))
+    so_far = Window.partitionBy(*group).orderBy("pos").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    means = sized.select(*group, F.col("pos").alias("upto"), F.avg("len").over(so_far).alias("avg_len"))
+    asked = queries.join(means, [*group, "upto"])
+
+    def terms(rows: DataFrame, keys: list[str], name: str) -> DataFrame:
+        flat = rows.select(*keys, F.lower(squashed(F.coalesce("text", F.lit("")))).alias("__flat"))
+        words = flat.select(*keys, F.lit("t").alias("kind"), F.explode(tokens(F.col("__flat"))).alias("term"))
+        places = flat.where("__flat <> ''").select(*keys, "__flat", F.explode(F.sequence(F.lit(1), F.greatest(F.length("__flat") - 2, F.lit(1)))).alias("__i"))
+        grams = places.select(*keys, F.lit("g").alias("kind"), F.substring("__flat", F.col("__i"), F.lit(3)).alias("term"))
+        # one shuffle serves the counts, the join and the document counts below
+        return words.unionByName(grams).repartition(*group, "kind", "term").groupBy(*keys, "kind", "term").agg(F.count("*").alias(name))
+
+    d, q = terms(sized, [*group, "pos", "len"], "n"), terms(asked, [*group, "query_id", "upto", "avg_len"], "m")
+    hits = q.join(d, [*group, "kind", "term"]).where("pos <= upto")
+    found = hits.groupBy(*group, "kind", "term", "query_id", "upto", "avg_len", "m").agg(F.collect_list(F.struct("pos", "n", "len")).alias("p"))  # no more than a session's turns
+    each = found.select(*group, "query_id", "upto", "avg_len", "kind", "m", F.size("p").alias("df"), F.explode("p").alias("p")).select("*", "p.*")
+    idf = F.log1p((F.col("upto") - F.col("df") + 0.5) / (F.col("df") + 0.5))
+    norm = F.col("n") + K1 * (1 - B + B * F.col("len") / F.greatest(F.col("avg_len"), F.lit(1.0)))
+    part = F.col("m") * idf * F.col("n") * (K1 + 1) / F.greatest(norm, F.lit(1e-9))
+    sums = each.groupBy(*group, "query_id", "pos").agg(F.sum(F.when(F.col("kind") == "t", part)).alias("bm25"), F.sum(F.when(F.col("kind") == "g", F.col("m") * F.col("n"))).alias("dot"))
+    dn = d.where("kind = 'g'").groupBy(*group, "pos").agg(F.sqrt(F.sum(F.col("n") * F.col("n"))).alias("dn"))
+    qn = q.where("kind = 'g'").groupBy("query_id").agg(F.sqrt(F.sum(F.col("m") * F.col("m"))).alias("qn"))
+    both = sums.join(dn, [*group, "pos"], "left").join(qn, "query_id", "left")
+    return both.select("query_id", "pos", F.coalesce("bm25", F.lit(0.0)).alias("bm25"), F.coalesce(F.col("dot") / (F.col("dn") * F.col("qn")), F.lit(0.0)).alias("cosine"))
+
+
+def top_upto(scored: DataFrame, queries: DataFrame, k: int = 4, sparse: float = 0.5, dense: float = 0.5) -> DataFrame:
+    """(query_id, pos, score, rank): the first k turns by the hybrid of both scores, ties by place.
+
+    Turns without a score enter where they can count only: the first k places stand for all of them, and
+    a corpus with more turns than scores has 0 as its least score.
+    """
+    per = Window.partitionBy("query_id")
+    wanted = queries.select("query_id", F.explode(F.sequence(F.lit(1), F.least(F.lit(k), F.col("upto")))).alias("pos")).withColumn("bm25", F.lit(0.0)).withColumn("cosine", F.lit(0.0)).withColumn("__hit", F.lit(0))
+    hits = scored.withColumn("__hit", F.lit(1)).select("query_id", F.col("pos"), "bm25", "cosine", "__hit")
+    merged = hits.unionByName(wanted.withColumn("pos", F.col("pos").cast(scored.schema["pos"].dataType))).groupBy("query_id", "pos").agg(F.max("bm25").alias("bm25"), F.max("cosine").alias("cosine"), F.max("__hit").alias("__hit"))
+    sized = merged.join(queries.select("query_id", "upto"), "query_id").withColumn("__all", F.sum("__hit").over(per) == F.col("upto"))
+
+    def scaled(c: str) -> Column:
+        low = F.when(F.col("__all"), F.min(c).over(per)).otherwise(F.least(F.min(c).over(per), F.lit(0.0)))
+        high = F.max(c).over(per)
+        return F.when(high - low < 1e-9, F.when(high <= 0, 0.0).otherwise(1.0)).otherwise((F.col(c) - low) / (high - low))
+
+    ranked = sized.withColumn("score", F.round(sparse * scaled("bm25") + dense * scaled("cosine"), 9))
+    return top(ranked, k, "pos").select("query_id", "pos", "score", "rank")
+
+
 def min_max(value: Column, over: Window) -> Column:
     """Scaled to 0..1 within the group; a flat group is 0 if not positive, else 1."""
     low, high = F.min(value).over(over), F.max(value).over(over)
@@ -83,6 +141,11 @@ def top(ranked: DataFrame, k: int, *ties: Column | str) -> DataFrame:
     return ranked.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
 
 
+def _rounded(ranked: DataFrame) -> DataFrame:
+    """Scores that differ by the order of additions only are ties."""
+    return ranked.withColumn("score", F.round("score", 9))
+
+
 def session_first(queries: DataFrame, turns: DataFrame, windows: DataFrame, sessions_kept: int = 2, windows_kept: int = 4) -> DataFrame:
     """Turns chosen by session and then by window: (query_id, pos, dia_id), in history order.
 
@@ -93,7 +156,7 @@ def session_first(queries: DataFrame, turns: DataFrame, windows: DataFrame, sess
     queries, turns, windows = checkpoint(queries), checkpoint(turns), checkpoint(windows)  # each is read several times below
     line = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("pos", "text"))), lambda s: s["text"]), "\n")
     session_docs = turns.groupBy("corpus", F.col("session").alias("doc")).agg(line.alias("text"))
-    best_sessions = top(hybrid(queries, checkpoint(session_docs)), sessions_kept, "doc")
+    best_sessions = top(_rounded(hybrid(queries, checkpoint(session_docs))), sessions_kept, "doc")
     kept = checkpoint(best_sessions.select("query_id", "corpus", F.col("doc").alias("session"), F.lit(True).alias("__kept")))
     members = windows.join(turns.select("corpus", "pos", "text", "dia_id"), ["corpus", "pos"])
     flagged = queries.select("query_id", "corpus").join(windows.select("corpus", "window", "session").distinct(), "corpus").join(kept, ["query_id", "corpus", "session"], "left")
@@ -103,6 +166,6 @@ def session_first(queries: DataFrame, turns: DataFrame, windows: DataFrame, sess
     narrowed = allowed.select("query_id", F.col("query_id").cast("string").alias("own"), "corpus", F.col("window").alias("doc")).join(window_docs, ["corpus", "doc"])
     own_queries = queries.select("query_id", F.col("query_id").cast("string").alias("corpus"), "text")
     own_docs = checkpoint(narrowed.select(F.col("own").alias("corpus"), "doc", "text"))
-    best = top(hybrid(own_queries, own_docs), windows_kept, "doc").select("query_id", F.col("doc").alias("window"))
+    best = top(_rounded(hybrid(own_queries, own_docs)), windows_kept, "doc").select("query_id", F.col("doc").alias("window"))
     chosen = best.join(queries.select("query_id", "corpus"), "query_id").join(members.select("corpus", "window", "pos", "dia_id"), ["corpus", "window"])
     return chosen.select("query_id", "pos", "dia_id").distinct()

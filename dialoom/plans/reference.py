@@ -445,14 +445,21 @@ def options_rendered(spark: SparkSession, d: str) -> DataFrame:
 # ---- retrieval ---------------------------------------------------------------------------------
 
 
-def _local_corpora(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
-    """Queries with their session's turns up to the anchor as corpus."""
+def _searched(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Turns, queries with the place of their anchor, and the scores of what they share with their session so far."""
     placed = placed_of(spark, d)
     base = q.anchored(questions_of(spark, d), placed).where("anchor_id is not null")
     spoken = F.concat_ws(" ", "question_text", "anchor_text", F.array_join("answer_options", " "))
-    asked = base.select(F.col("qa_key").alias("query_id"), F.col("qa_key").alias("corpus"), spoken.alias("text"))
-    docs = units.session_views(questions_of(spark, d), placed).select(F.col("qa_key").alias("corpus"), F.col("turn").alias("doc"), F.concat_ws(" ", "speaker", "text", "voice_style").alias("text"))
-    return checkpoint(asked), checkpoint(docs)  # both scores read them several times
+    asked = checkpoint(base.select(F.col("qa_key").alias("query_id"), "conversation_id", "session", F.col("anchor_session_pos").alias("upto"), spoken.alias("text")))
+    turns = checkpoint(placed.select("conversation_id", "session", F.col("session_pos").alias("pos"), "turn", F.concat_ws(" ", "speaker", "text", "voice_style").alias("text")))
+    return turns, asked, retrieval.scores_upto(asked, turns.drop("turn"))
+
+
+def _all_scores(spark: SparkSession, d: str, score: str) -> DataFrame:
+    """The score of every turn of a query's session up to its place, 0 where nothing is shared."""
+    turns, asked, found = _searched(spark, d)
+    every = asked.select("query_id", "conversation_id", "session", "upto").join(turns.drop("text"), ["conversation_id", "session"]).where("pos <= upto")
+    return every.join(found.select("query_id", "pos", score), ["query_id", "pos"], "left").select(F.col("query_id").alias("qa_key"), "turn", F.round(F.coalesce(score, F.lit(0.0)), 6).alias(score))
 
 
 _LOCAL = W_Q + r""", asked AS (SELECT qa_key, lower(concat_ws(' ', question_text, anchor_text, array_to_string(answer_options, ' '))) AS text FROM anchored WHERE anchor_id IS NOT NULL),
@@ -476,35 +483,67 @@ hyb AS (SELECT qa_key, doc, bm25, cosine, 0.5 * CASE WHEN bh - bl < 1e-9 THEN CA
 
 @query(_LOCAL + "SELECT qa_key, doc AS turn, round(bm25, 6) AS bm25 FROM ranked")
 def bm25_scores(spark: SparkSession, d: str) -> DataFrame:
-    return retrieval.bm25(*_local_corpora(spark, d)).select(F.col("query_id").alias("qa_key"), F.col("doc").alias("turn"), F.round("bm25", 6).alias("bm25"))
+    return _all_scores(spark, d, "bm25")
 
 
 @query(_LOCAL + "SELECT qa_key, doc AS turn, round(cosine, 6) AS cosine FROM ranked")
 def trigram_cosine(spark: SparkSession, d: str) -> DataFrame:
-    return retrieval.trigram_cosine(*_local_corpora(spark, d)).select(F.col("query_id").alias("qa_key"), F.col("doc").alias("turn"), F.round("cosine", 6).alias("cosine"))
+    return _all_scores(spark, d, "cosine")
 
 
 @query(_LOCAL + "SELECT qa_key, doc AS turn, rank, round(round(score, 9), 6) AS score FROM (SELECT *, row_number() OVER (PARTITION BY qa_key ORDER BY round(score, 9) DESC, doc) AS rank FROM hyb) WHERE rank <= 4")
 def hybrid_top(spark: SparkSession, d: str) -> DataFrame:
-    ranked = retrieval.hybrid(*_local_corpora(spark, d)).withColumn("score", F.round("score", 9))
-    return retrieval.top(ranked, 4, "doc").select(F.col("query_id").alias("qa_key"), F.col("doc").alias("turn"), "rank", F.round("score", 6).alias("score"))
-
-
-@query()
+    turns, asked, found = _searched(spark, d)
+    best = retrieval.top_upto(found, asked).join(asked.select("query_id", "conversation_id", "session"), "query_id").join(turns.drop("text"), ["conversation_id", "session", "pos"])
+    return best.select(F.col("query_id").alias("qa_key"), "turn", "rank", F.round("score", 6).alias("score"))
+
+
+def _ranked(prefix: str, asked: str, docs: str) -> str:
+    """SQL of the hybrid score (table ``<prefix>hyb``: qa_key, doc, score) of documents for the query of their key."""
+    p = prefix
+    return rf"""{p}qt AS (SELECT qa_key, term, count(*) AS qtf FROM (SELECT qa_key, unnest(regexp_extract_all(text, '[a-z0-9]+')) AS term FROM {asked}) GROUP BY ALL),
+{p}dt AS (SELECT qa_key, doc, term, count(*) AS tf FROM (SELECT qa_key, doc, unnest(regexp_extract_all(text, '[a-z0-9]+')) AS term FROM {docs}) GROUP BY ALL),
+{p}dl AS (SELECT qa_key, doc, len(regexp_extract_all(text, '[a-z0-9]+')) AS len FROM {docs}),
+{p}st AS (SELECT qa_key, count(*) AS n_docs, avg(len) AS avg_len FROM {p}dl GROUP BY ALL), {p}dfs AS (SELECT qa_key, term, count(*) AS df FROM {p}dt GROUP BY ALL),
+{p}bm AS (SELECT qa_key, doc, sum(qtf * ln(1 + (n_docs - df + 0.5) / (df + 0.5)) * tf * 2.2 / greatest(tf + 1.2 * (0.25 + 0.75 * len / greatest(avg_len, 1.0)), 1e-9)) AS bm25
+  FROM {p}qt JOIN {p}dfs USING (qa_key, term) JOIN {p}st USING (qa_key) JOIN {p}dt USING (qa_key, term) JOIN {p}dl USING (qa_key, doc) GROUP BY ALL),
+{p}sq AS (SELECT qa_key, trim(regexp_replace(text, '[\s\p{{Z}}]+', ' ', 'g')) AS s FROM {asked}), {p}sd AS (SELECT qa_key, doc, trim(regexp_replace(text, '[\s\p{{Z}}]+', ' ', 'g')) AS s FROM {docs}),
+{p}gq AS (SELECT qa_key, g, count(*) AS n FROM (SELECT qa_key, unnest([s[i:i+2] FOR i IN range(1, greatest(length(s) - 1, 2))]) AS g FROM {p}sq WHERE s <> '') GROUP BY ALL),
+{p}gd AS (SELECT qa_key, doc, g, count(*) AS n FROM (SELECT qa_key, doc, unnest([s[i:i+2] FOR i IN range(1, greatest(length(s) - 1, 2))]) AS g FROM {p}sd WHERE s <> '') GROUP BY ALL),
+{p}nq AS (SELECT qa_key, sqrt(sum(n * n)) AS v FROM {p}gq GROUP BY ALL), {p}nd AS (SELECT qa_key, doc, sqrt(sum(n * n)) AS v FROM {p}gd GROUP BY ALL),
+{p}co AS (SELECT qa_key, doc, sum(q.n * d.n) AS dot FROM {p}gq q JOIN {p}gd d USING (qa_key, g) GROUP BY ALL),
+{p}ranked AS (SELECT d.qa_key, d.doc, coalesce(bm25, 0) AS bm25, coalesce(dot / (q.v * n.v), 0) AS cosine FROM {docs} d LEFT JOIN {p}bm USING (qa_key, doc) LEFT JOIN {p}co USING (qa_key, doc) LEFT JOIN {p}nq q USING (qa_key) LEFT JOIN {p}nd n USING (qa_key, doc)),
+{p}lim AS (SELECT *, min(bm25) OVER w AS bl, max(bm25) OVER w AS bh, min(cosine) OVER w AS cl, max(cosine) OVER w AS ch FROM {p}ranked WINDOW w AS (PARTITION BY qa_key)),
+{p}hyb AS (SELECT qa_key, doc, round(0.5 * CASE WHEN bh - bl < 1e-9 THEN CASE WHEN bh <= 0 THEN 0 ELSE 1 END ELSE (bm25 - bl) / (bh - bl) END + 0.5 * CASE WHEN ch - cl < 1e-9 THEN CASE WHEN ch <= 0 THEN 0 ELSE 1 END ELSE (cosine - cl) / (ch - cl) END, 9) AS score FROM {p}lim)"""
+
+
+_FIRST = W_Q + r""", asked AS (SELECT qa_key, lower(concat_ws(' ', question_text, anchor_text, array_to_string(answer_options, ' '))) AS text FROM anchored WHERE anchor_id IS NOT NULL AND qa_key % 100 = 0),
+hist AS (SELECT a.qa_key, t.session, t.history_pos AS pos, t.dia_id, lower(concat_ws(' ', t.speaker, t.text, t.voice_style)) AS line FROM anchored a JOIN turns t ON a.conversation_id = t.conversation_id AND t.history_pos <= a.anchor_pos WHERE a.anchor_id IS NOT NULL AND a.qa_key % 100 = 0),
+sdocs AS (SELECT qa_key, session AS doc, string_agg(line, chr(10) ORDER BY pos) AS text FROM hist GROUP BY ALL), """ + _ranked("s", "asked", "sdocs") + r""",
+best AS (SELECT qa_key, doc AS session FROM (SELECT *, row_number() OVER (PARTITION BY qa_key ORDER BY score DESC, doc) AS r FROM shyb) WHERE r <= 2),
+mem AS (SELECT c.qa_key, c.pos AS win, m.pos, m.session, m.dia_id, m.line FROM hist c JOIN hist m ON c.qa_key = m.qa_key AND m.pos BETWEEN c.pos - 2 AND c.pos + 2),
+wins AS (SELECT qa_key, win, arg_min(session, pos) AS session, string_agg(line, chr(10) ORDER BY pos) AS text FROM mem GROUP BY ALL),
+flag AS (SELECT w.*, b.session IS NOT NULL AS kept, bool_or(b.session IS NOT NULL) OVER (PARTITION BY w.qa_key) AS any_kept FROM wins w LEFT JOIN best b ON w.qa_key = b.qa_key AND w.session = b.session),
+wdocs AS (SELECT qa_key, win AS doc, text FROM flag WHERE kept OR NOT any_kept), """ + _ranked("w", "asked", "wdocs") + r""",
+top AS (SELECT qa_key, doc AS win FROM (SELECT *, row_number() OVER (PARTITION BY qa_key ORDER BY score DESC, doc) AS r FROM whyb) WHERE r <= 4)
+SELECT DISTINCT m.qa_key, m.pos, m.dia_id FROM top t JOIN mem m ON t.qa_key = m.qa_key AND t.win = m.win"""
+
+
+@query(_FIRST)
 def session_first_context(spark: SparkSession, d: str) -> DataFrame:
-    """Two-level selection over the last 24 turns up to each anchor (the history a prompt has room for)."""
+    """Two-level selection over the whole history up to the anchor; the searches are those of every hundredth question."""
     placed = placed_of(spark, d)
-    base = q.anchored(questions_of(spark, d), placed).where("anchor_id is not null")
-    spoken = F.concat_ws(" ", "question_text", "anchor_text", F.array_join("answer_options", " "))
-    asked = base.select(F.col("qa_key").alias("query_id"), F.col("qa_key").alias("corpus"), spoken.alias("text"))
-    rows = t.span_rows(base.select("qa_key", "conversation_id", F.col("anchor_pos").alias("history_pos")), placed, "qa_key", 24)
-    history = checkpoint(rows).select(F.col("qa_key").alias("corpus"), "session", F.col("history_pos").alias("pos"), "dia_id", F.concat_ws(" ", "speaker", "text", "voice_style").alias("text"))
-    members = history.select("corpus", "pos", "session", F.explode(F.sequence(F.col("pos") - 2, F.col("pos") + 2)).alias("window"))
-    bounds = history.groupBy("corpus").agg(F.min("pos").alias("lo"), F.max("pos").alias("hi"))
-    members = members.join(bounds, "corpus").where("window between lo and hi").drop("lo", "hi")
+    base = checkpoint(q.anchored(questions_of(spark, d).where("qa_key % 100 = 0"), placed).where("anchor_id is not null").select(
+        F.col("qa_key").alias("query_id"), F.col("qa_key").alias("corpus"), "conversation_id", "session", F.col("anchor_pos").alias("history_pos"),
+        F.concat_ws(" ", "question_text", "anchor_text", F.array_join("answer_options", " ")).alias("text"),
+    ))
+    said = placed.select("conversation_id", "session", "history_pos", "dia_id", F.concat_ws(" ", "speaker", "text", "voice_style").alias("text"))
+    history = checkpoint(t.prefix_rows(base.drop("text"), said, "corpus")).select("corpus", "session", F.col("history_pos").alias("pos"), "dia_id", "text")
+    members = history.select("corpus", "pos", "session", F.explode(F.sequence(F.greatest(F.col("pos") - 2, F.lit(1)), F.col("pos") + 2)).alias("window"))
+    members = members.join(base.select("corpus", "history_pos"), "corpus").where("window <= history_pos").drop("history_pos")
     firsts = members.groupBy("corpus", "window").agg(F.min_by("session", "pos").alias("session"))
     windows = members.drop("session").join(firsts, ["corpus", "window"])
-    return retrieval.session_first(asked, history, windows).withColumnRenamed("query_id", "qa_key")
+    return retrieval.session_first(base.select("query_id", "corpus", "text"), history, windows).withColumnRenamed("query_id", "qa_key")
 
 
 # ---- evaluation analytics ------------------------------------------------------------------------
