@@ -74,31 +74,52 @@ def scores_upto(queries: DataFrame, turns: DataFrame) -> DataFrame:
     and do not come out.
     """
     group = ["conversation_id", "session"]
-    sized = turns.withColumn("len", F.size(tokens(F.col("text"))))
+    sized = turns.withColumn("__t", tokens(F.col("text"))).withColumn("len", F.size("__t")).withColumn("__g", _gram_list(F.col("text")))
     so_far = Window.partitionBy(*group).orderBy("pos").rowsBetween(Window.unboundedPreceding, Window.currentRow)
     means = sized.select(*group, F.col("pos").alias("upto"), F.avg("len").over(so_far).alias("avg_len"))
-    asked = queries.join(means, [*group, "upto"])
-
-    def terms(rows: DataFrame, keys: list[str], name: str) -> DataFrame:
-        flat = rows.select(*keys, F.lower(squashed(F.coalesce("text", F.lit("")))).alias("__flat"))
-        words = flat.select(*keys, F.lit("t").alias("kind"), F.explode(tokens(F.col("__flat"))).alias("term"))
-        places = flat.where("__flat <> ''").select(*keys, "__flat", F.explode(F.sequence(F.lit(1), F.greatest(F.length("__flat") - 2, F.lit(1)))).alias("__i"))
-        grams = places.select(*keys, F.lit("g").alias("kind"), F.substring("__flat", F.col("__i"), F.lit(3)).alias("term"))
-        # one shuffle serves the counts, the join and the document counts below
-        return words.unionByName(grams).repartition(*group, "kind", "term").groupBy(*keys, "kind", "term").agg(F.count("*").alias(name))
-
-    d, q = terms(sized, [*group, "pos", "len"], "n"), terms(asked, [*group, "query_id", "upto", "avg_len"], "m")
-    hits = q.join(d, [*group, "kind", "term"]).where("pos <= upto")
-    found = hits.groupBy(*group, "kind", "term", "query_id", "upto", "avg_len", "m").agg(F.collect_list(F.struct("pos", "n", "len")).alias("p"))  # no more than a session's turns
-    each = found.select(*group, "query_id", "upto", "avg_len", "kind", "m", F.size("p").alias("df"), F.explode("p").alias("p")).select("*", "p.*")
+    asked = queries.withColumn("__t", tokens(F.col("text"))).withColumn("__g", _gram_list(F.col("text")))
+    # a hash leads the keys: it spreads and sorts better than names that begin alike; the names decide
+    keyed = lambda rows, terms, *keys: rows.select(*keys, F.explode(terms).alias("term")).withColumn("h", F.xxhash64(*group, "term"))
+
+    d = keyed(sized, "__t", *group, "pos", "len").groupBy("h", *group, "term", "pos", "len").agg(F.count("*").alias("n"))
+    q = keyed(asked, "__t", *group, "query_id", "upto").groupBy("h", *group, "term", "query_id", "upto").agg(F.count("*").alias("m"))
+    hits = q.join(d, ["h", *group, "term"]).where("pos <= upto")
+    found = hits.groupBy("query_id", "term", "upto", "m", *group).agg(F.collect_list(F.struct("pos", "n", "len")).alias("p"))  # no more than a session's turns
+    each = found.join(means, [*group, "upto"]).select("query_id", "upto", "avg_len", "m", F.size("p").alias("df"), F.explode("p").alias("p")).select("*", "p.*")
     idf = F.log1p((F.col("upto") - F.col("df") + 0.5) / (F.col("df") + 0.5))
     norm = F.col("n") + K1 * (1 - B + B * F.col("len") / F.greatest(F.col("avg_len"), F.lit(1.0)))
-    part = F.col("m") * idf * F.col("n") * (K1 + 1) / F.greatest(norm, F.lit(1e-9))
-    sums = each.groupBy(*group, "query_id", "pos").agg(F.sum(F.when(F.col("kind") == "t", part)).alias("bm25"), F.sum(F.when(F.col("kind") == "g", F.col("m") * F.col("n"))).alias("dot"))
-    dn = d.where("kind = 'g'").groupBy(*group, "pos").agg(F.sqrt(F.sum(F.col("n") * F.col("n"))).alias("dn"))
-    qn = q.where("kind = 'g'").groupBy("query_id").agg(F.sqrt(F.sum(F.col("m") * F.col("m"))).alias("qn"))
-    both = sums.join(dn, [*group, "pos"], "left").join(qn, "query_id", "left")
-    return both.select("query_id", "pos", F.coalesce("bm25", F.lit(0.0)).alias("bm25"), F.coalesce(F.col("dot") / (F.col("dn") * F.col("qn")), F.lit(0.0)).alias("cosine"))
+    bm25 = each.groupBy("query_id", "pos").agg(F.sum(F.col("m") * idf * F.col("n") * (K1 + 1) / F.greatest(norm, F.lit(1e-9))).alias("bm25"))
+
+    # the product of two counts is the number of pairs of occurrences, so occurrences are joined as they are
+    dg, qg = keyed(sized, "__g", *group, "pos"), keyed(asked, "__g", *group, "query_id", "upto")
+    dots = qg.join(dg.hint("shuffle_hash"), ["h", *group, "term"]).where("pos <= upto").groupBy("query_id", *group, "pos").agg(F.count("*").alias("dot"))
+    dn = sized.select(*group, "pos", F.sqrt(_equal_pairs(F.col("__g"))).alias("dn"))
+    qn = asked.select("query_id", F.sqrt(_equal_pairs(F.col("__g"))).alias("qn"))
+    cosine = dots.join(dn, [*group, "pos"]).join(qn, "query_id").select("query_id", "pos", (F.col("dot") / (F.col("dn") * F.col("qn"))).alias("cosine"))
+    return bm25.join(cosine, ["query_id", "pos"], "full").select("query_id", "pos", F.coalesce("bm25", F.lit(0.0)).alias("bm25"), F.coalesce("cosine", F.lit(0.0)).alias("cosine"))
+
+
+def _gram_list(text: Column) -> Column:
+    """Letter groups of three, as often as they occur; a shorter text is its only group, an empty one has none."""
+    flat = F.lower(squashed(F.coalesce(text, F.lit(""))))
+    # an empty match before every three characters; beyond the basic plane characters are counted one by one
+    groups = F.regexp_extract_all(flat, F.lit("(?s)(?=(...))"), F.lit(1))
+    places = F.sequence(F.lit(1), F.greatest(F.length(flat) - 2, F.lit(1)))
+    return (
+        F.when(flat == "", F.array().cast("array<string>")).when(F.length(flat) < 3, F.array(flat))
+        .when(flat.rlike("[\\x{10000}-\\x{10FFFF}]"), F.transform(places, lambda i: F.substring(flat, i, F.lit(3)))).otherwise(groups)
+    )
+
+
+def _equal_pairs(terms: Column) -> Column:
+    """Sum of the squared counts of the entries of a list: along the sorted list the k-th of a run adds 2k - 1."""
+    start = F.struct(F.lit(None).cast("string").alias("last"), F.lit(0).alias("run"), F.lit(0).cast("bigint").alias("total"))
+
+    def step(acc: Column, x: Column) -> Column:
+        run = F.when(acc["last"] == x, acc["run"] + 1).otherwise(1)
+        return F.struct(x.alias("last"), run.alias("run"), (acc["total"] + 2 * run - 1).alias("total"))
+
+    return F.aggregate(F.sort_array(terms), start, step, lambda acc: acc["total"])
 
 
 def top_upto(scored: DataFrame, queries: DataFrame, k: int = 4, sparse: float = 0.5, dense: float = 0.5) -> DataFrame:
