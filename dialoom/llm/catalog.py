@@ -207,8 +207,22 @@ SELECT plan_id, category, sample_size, target_pct, min_rows, wanted, available,
        greatest(wanted - allocated, 0) AS missing, greatest(wanted - available, 0) AS shortage FROM allocated
 """
 
+# word sets with their smallest row, links between different sets, and whatever can be reached by links
+_GROUPS = r"""
+WITH RECURSIVE w AS (
+  SELECT qa_key, list_sort(list_distinct(regexp_extract_all(lower(concat_ws(' ', question_text, gold_answer)), '[\p{L}\p{N}]+'))) AS words FROM qa
+), c AS (SELECT qa_key, words, CASE WHEN len(words) > 0 THEN min(qa_key) OVER (PARTITION BY words) ELSE qa_key END AS rep FROM w),
+t AS (SELECT rep, len(words) AS n, unnest(words) AS word FROM c WHERE qa_key = rep AND len(words) > 0),
+common AS (SELECT a.rep AS a, b.rep AS b, any_value(a.n) AS na, any_value(b.n) AS nb, count(*) AS k FROM t a JOIN t b ON a.word = b.word AND a.rep <> b.rep WHERE 5 * least(a.n, b.n) >= 3 * greatest(a.n, b.n) GROUP BY ALL),
+links AS (SELECT a, b FROM common WHERE 5 * k >= 3 * (na + nb - k)),
+reach AS (SELECT a, b FROM links UNION SELECT r.a, l.b FROM reach r JOIN links l ON r.b = l.a),
+g AS (SELECT a AS rep, min(b) AS low FROM reach GROUP BY ALL), m AS (SELECT a AS rep, count(*) AS n_links FROM links GROUP BY ALL)
+SELECT qa_key, least(c.rep, coalesce(low, c.rep)) AS group_id, coalesce(n_links, 0) AS n_links FROM c LEFT JOIN g USING (rep) LEFT JOIN m USING (rep)
+"""
+
 ORACLE_SQL: dict[str, str] = {
     "p1_found": _PAIRS,
+    "p1_groups": _GROUPS,
     "p2_found": _ENTRIES + "SELECT e.qa_key, e.field_name, r.canonical_value FROM entries e JOIN resolved r ON e.field_name = r.field_name AND e.entry = r.entry",
     "p2_report": _ENTRIES
     + "SELECT e.field_name, r.canonical_value, count(*) AS n_rows FROM entries e JOIN resolved r ON e.field_name = r.field_name AND e.entry = r.entry GROUP BY ALL",

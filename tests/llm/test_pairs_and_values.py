@@ -118,7 +118,7 @@ def test_values_and_unmatched(spark):
     assert canonical_values(spark, df.limit(0), canon).count() == 0
 
 
-@pytest.mark.parametrize("name", ["p1_found", "p2_found", "p4_found", "p4_report"])
+@pytest.mark.parametrize("name", ["p1_found", "p1_groups", "p2_found", "p4_found", "p4_report"])
 def test_query_equals_sql(spark, duck, name):
     mine, theirs = same_as_sql(spark, duck, catalog, name)
     assert mine == theirs and mine and SMALL
