@@ -91,7 +91,7 @@ def annotations_repaired(annotations: DataFrame, placed: DataFrame, heads: DataF
 
 def strings(values: Column, *fallback: str) -> Column:
     """Trimmed entries that are not blank, or the fallback where none is left."""
-    kept = F.filter(F.transform(F.coalesce(values, F.array().cast("array<string>")), F.trim), lambda x: x.isNotNull() & (x != ""))
+    kept = F.filter(F.transform(F.coalesce(values, F.array().cast("array<string>")), lambda x: F.trim(x)), lambda x: x.isNotNull() & (x != ""))
     other = F.array(*map(F.lit, fallback)) if fallback else F.array().cast("array<string>")
     return F.when(F.size(kept) > 0, kept).otherwise(other)
 

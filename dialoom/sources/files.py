@@ -78,3 +78,40 @@ def markdown(title: str, summary: DataFrame) -> str:
 
 def compact(value: object) -> str:
     return json.dumps(value, ensure_ascii=False, separators=(",", ":"))
+
+
+def scenarios(spark: SparkSession, root: str) -> list[str]:
+    """Names of the scenario folders in order; an error if there are none."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(f"{root}/scenario_*")
+    found = path.getFileSystem(spark._jsc.hadoopConfiguration()).globStatus(path) or []
+    names = sorted(s.getPath().getName() for s in found if s.isDirectory())
+    if not names:
+        raise FileNotFoundError(f"no scenario folders in {root}")
+    return names
+
+
+def units(spark: SparkSession, path: str, first: int | None = None) -> DataFrame:
+    """(pos, value): the units of a JSON array file in their order, the first ones if asked for."""
+    each = whole_json(spark, path).select("scenario", F.posexplode(F.from_json("value", "array<string>")).alias("pos", "value"))
+    return each.orderBy("scenario", "pos").limit(first) if first is not None else each
+
+
+def lookup(spark: SparkSession, path: str) -> dict:
+    """A small settings or template file, read on the driver."""
+    return json.loads(spark.read.text(path, wholetext=True).first()["value"])
+
+
+def write_text(df: DataFrame, column: str, path: str) -> None:
+    """One text column as lines."""
+    df.select(F.col(column).cast("string").alias("value")).write.mode("overwrite").text(path)
+
+
+def write_bundle(bundles: DataFrame, root: str, names: list[str]) -> None:
+    """Each file of a bundle under its own folder, partitioned by scenario."""
+    for name in names:
+        bundles.where(F.col(name).isNotNull()).select("scenario", F.col(name).alias("value")).write.mode("overwrite").partitionBy("scenario").text(f"{root}/{name}")
+
+
+def write_run_table(rows: DataFrame, path: str, columns: list[str]) -> None:
+    """The table of a run as CSV with its fixed columns; its first bytes are the byte-order mark that spreadsheets look for."""
+    write_csv(rows.select(*columns), path)
