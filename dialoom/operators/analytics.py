@@ -14,18 +14,23 @@ from pyspark.sql import functions as F
 from dialoom.functions import rules
 
 
+def rounded_mean(value: str | Column, digits: int = 3) -> Column:
+    """Mean, rounded half up from its first nine decimals, so that the order of additions does not decide."""
+    return F.round(F.avg(value).cast("decimal(28,9)"), digits).cast("double")
+
+
 def group_mean(rows: DataFrame, group: str | Column, value: str, digits: int = 3) -> DataFrame:
     """Rows and mean per group; null and empty groups are 'unknown', the mean skips nulls."""
     key = F.col(group) if isinstance(group, str) else group
     named = F.when(key.isNull() | (key == ""), "unknown").otherwise(key)
-    return rows.groupBy(named.alias("group")).agg(F.count("*").alias("count"), F.round(F.avg(value), digits).alias("mean"))
+    return rows.groupBy(named.alias("group")).agg(F.count("*").alias("count"), rounded_mean(value, digits).alias("mean"))
 
 
 def summary(rows: DataFrame, groups: list[str], value: str, digits: int = 3) -> DataFrame:
     """Overall and per-group means in one pass (grouping sets): (dimension, group, count, mean)."""
     named = rows.select(value, *[F.when(F.col(g).isNull() | (F.col(g) == ""), "unknown").otherwise(F.col(g)).alias(g) for g in groups])
     spread = named.select(value, F.explode(F.array(F.struct(F.lit("overall").alias("dimension"), F.lit("all").alias("group")), *[F.struct(F.lit(g).alias("dimension"), F.col(g).alias("group")) for g in groups])).alias("g"))
-    return spread.groupBy("g.dimension", "g.group").agg(F.count("*").alias("count"), F.round(F.avg(value), digits).alias("mean"))
+    return spread.groupBy("g.dimension", "g.group").agg(F.count("*").alias("count"), rounded_mean(value, digits).alias("mean"))
 
 
 def score_table(scores: DataFrame, metrics: list[str]) -> DataFrame:

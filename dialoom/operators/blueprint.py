@@ -51,9 +51,9 @@ def turn_time(start: Column, array_pos: Column, given: Column, step: float = 75.
 
 
 def without_non_emotions(terms: Column) -> Column:
-    """Terms that name an emotion, each once, in order."""
-    named = F.transform(terms, lambda x: F.replace(F.lower(F.trim(x)), F.lit(" "), F.lit("_")))
-    return F.array_distinct(F.filter(named, lambda x: (x != "") & ~x.isin(*rules.NON_EMOTION_TERMS)))
+    """Terms that name an emotion, trimmed, in order; blanks and known other terms are left out."""
+    named = F.transform(terms, lambda x: F.trim(x))
+    return F.filter(named, lambda x: x.isNotNull() & (x != "") & ~F.replace(F.lower(x), F.lit(" "), F.lit("_")).isin(*rules.NON_EMOTION_TERMS))
 
 
 def plan_violations(scripts: DataFrame, stages: DataFrame, events: DataFrame, totals: DataFrame) -> DataFrame:

@@ -73,7 +73,7 @@ def run_rows(run_items: DataFrame, items: DataFrame, traces: DataFrame, observat
 def metric_means(rows: DataFrame, digits: int = 3) -> DataFrame:
     """Mean of each metric over the rows that have it, and of the effective score."""
     long = rows.select(F.explode(F.map_concat(F.coalesce("scores", F.map_from_arrays(F.array(), F.array()).cast("map<string,double>")), F.create_map(F.lit("effective_score"), F.col("effective_score").cast("double")))).alias("metric", "value"))
-    return long.groupBy("metric").agg(F.round(F.avg("value"), digits).alias("mean"), F.count("value").alias("n")).where("n > 0 or metric = 'effective_score'")
+    return long.groupBy("metric").agg(analytics.rounded_mean("value", digits).alias("mean"), F.count("value").alias("n")).where("n > 0 or metric = 'effective_score'")
 
 
 def grouped_means(rows: DataFrame, groups: list[str]) -> DataFrame:

@@ -107,7 +107,7 @@ def run_rows(spark: SparkSession, d: str) -> DataFrame:
     return _rows(spark, d).drop("scores")
 
 
-@query(_RUN + """SELECT metric, round(avg(v), 3) AS mean, count(v) AS n FROM (SELECT 'exact_match' AS metric, exact_match AS v FROM run UNION ALL SELECT 'llm_judge_final', llm_judge_final FROM run
+@query(_RUN + """SELECT metric, CAST(round(CAST(avg(v) AS DECIMAL(28, 9)), 3) AS DOUBLE) AS mean, count(v) AS n FROM (SELECT 'exact_match' AS metric, exact_match AS v FROM run UNION ALL SELECT 'llm_judge_final', llm_judge_final FROM run
   UNION ALL SELECT 'judge_key_point_coverage', coverage FROM run UNION ALL SELECT 'effective_score', effective_score FROM run) GROUP BY ALL HAVING count(v) > 0 OR metric = 'effective_score'""")
 def run_metric_means(spark: SparkSession, d: str) -> DataFrame:
     return runs.metric_means(_rows(spark, d))
@@ -115,7 +115,7 @@ def run_metric_means(spark: SparkSession, d: str) -> DataFrame:
 
 @query(_RUN + """, g AS (SELECT 'overall' AS dimension, 'all' AS grp, effective_score AS v FROM run UNION ALL SELECT 'question_type', coalesce(nullif(question_type, ''), 'unknown'), effective_score FROM run
   UNION ALL SELECT 'memory_level', coalesce(nullif(memory_level, ''), 'unknown'), effective_score FROM run UNION ALL SELECT 'content_type', coalesce(nullif(content_type, ''), 'unknown'), effective_score FROM run)
-SELECT dimension, grp AS "group", count(*) AS count, round(avg(v), 3) AS mean FROM g GROUP BY ALL""")
+SELECT dimension, grp AS "group", count(*) AS count, CAST(round(CAST(avg(v) AS DECIMAL(28, 9)), 3) AS DOUBLE) AS mean FROM g GROUP BY ALL""")
 def run_group_means(spark: SparkSession, d: str) -> DataFrame:
     return runs.grouped_means(_rows(spark, d), ["question_type", "memory_level", "content_type"])
 

@@ -333,15 +333,15 @@ def curation_tags(spark: SparkSession, d: str) -> DataFrame:
 
 @query(W_Q + """, p AS (SELECT a.qa_key AS qa_key_a, b.qa_key AS qa_key_b, list_distinct([x FOR x IN a.evidence_turn_ids IF trim(x) <> '']) AS ea, list_distinct([x FOR x IN b.evidence_turn_ids IF trim(x) <> '']) AS eb
   FROM questions a JOIN questions b ON a.conversation_id = b.conversation_id AND a.anchor_dia_id = b.anchor_dia_id AND a.qa_key < b.qa_key)
-SELECT qa_key_a, qa_key_b, round(CASE WHEN len(ea) + len(eb) = 0 THEN 0 ELSE len(list_intersect(ea, eb)) / len(list_distinct(list_concat(ea, eb))) END, 6) AS overlap FROM p""")
+SELECT qa_key_a, qa_key_b, round(len(list_intersect(ea, eb)) / len(list_distinct(list_concat(ea, eb))), 6) AS overlap FROM p WHERE len(list_intersect(ea, eb)) > 0""")
 def evidence_overlap(spark: SparkSession, d: str) -> DataFrame:
-    """Jaccard overlap of the evidence of questions that share an anchor."""
+    """Jaccard overlap of the evidence of questions that share an anchor and an evidence id: postings of ids, no pairs without any."""
     mine = questions_of(spark, d).select("qa_key", "conversation_id", "anchor_dia_id", F.array_distinct(F.filter("evidence_turn_ids", lambda x: F.trim(x) != "")).alias("e"))
-    a, b = mine.alias("a"), mine.alias("b")
-    same = (F.col("a.conversation_id") == F.col("b.conversation_id")) & (F.col("a.anchor_dia_id") == F.col("b.anchor_dia_id")) & (F.col("a.qa_key") < F.col("b.qa_key"))
-    union = F.size(F.array_union("a.e", "b.e"))
-    overlap = F.when(union == 0, 0.0).otherwise(F.size(F.array_intersect("a.e", "b.e")) / union)
-    return a.join(b, same).select(F.col("a.qa_key").alias("qa_key_a"), F.col("b.qa_key").alias("qa_key_b"), F.round(overlap, 6).alias("overlap"))
+    long = mine.select("qa_key", "conversation_id", "anchor_dia_id", F.size("e").alias("n"), F.explode("e").alias("id"))
+    a, b = long.alias("a"), long.alias("b")
+    same = [F.col(f"a.{c}") == F.col(f"b.{c}") for c in ("conversation_id", "anchor_dia_id", "id")]
+    shared = a.join(b, [*same, F.col("a.qa_key") < F.col("b.qa_key")]).groupBy(F.col("a.qa_key").alias("qa_key_a"), F.col("b.qa_key").alias("qa_key_b")).agg(F.count("*").alias("k"), F.first("a.n").alias("m"), F.first("b.n").alias("n"))
+    return shared.select("qa_key_a", "qa_key_b", F.round(F.col("k") / (F.col("m") + F.col("n") - F.col("k")), 6).alias("overlap"))
 
 
 @query(W_F + r""" SELECT conversation_id, CAST(qa_key AS VARCHAR) AS row_key, rule FROM (SELECT conversation_id, qa_key, unnest([x FOR x IN [
@@ -557,12 +557,12 @@ def _runs(spark: SparkSession, d: str) -> DataFrame:
 _ITEMS = "r AS (SELECT event_type AS run, user_id AS item, round(avg(value), 6) AS score FROM events GROUP BY ALL)"
 
 
-@query("SELECT coalesce(nullif(event_type, ''), 'unknown') AS \"group\", count(*) AS count, round(avg(value), 3) AS mean FROM events GROUP BY ALL")
+@query("SELECT coalesce(nullif(event_type, ''), 'unknown') AS \"group\", count(*) AS count, CAST(round(CAST(avg(value) AS DECIMAL(28, 9)), 3) AS DOUBLE) AS mean FROM events GROUP BY ALL")
 def group_mean_scores(spark: SparkSession, d: str) -> DataFrame:
     return analytics.group_mean(_runs(spark, d), "run", "value")
 
 
-@query("SELECT 'overall' AS dimension, 'all' AS \"group\", count(*) AS count, round(avg(value), 3) AS mean FROM events UNION ALL SELECT 'run', coalesce(nullif(event_type, ''), 'unknown'), count(*), round(avg(value), 3) FROM events GROUP BY ALL UNION ALL SELECT 'decade', CAST(CAST(json_extract_string(props, '$.k') AS BIGINT) // 10 AS VARCHAR), count(*), round(avg(value), 3) FROM events GROUP BY ALL")
+@query("SELECT 'overall' AS dimension, 'all' AS \"group\", count(*) AS count, CAST(round(CAST(avg(value) AS DECIMAL(28, 9)), 3) AS DOUBLE) AS mean FROM events UNION ALL SELECT 'run', coalesce(nullif(event_type, ''), 'unknown'), count(*), CAST(round(CAST(avg(value) AS DECIMAL(28, 9)), 3) AS DOUBLE) FROM events GROUP BY ALL UNION ALL SELECT 'decade', CAST(CAST(json_extract_string(props, '$.k') AS BIGINT) // 10 AS VARCHAR), count(*), CAST(round(CAST(avg(value) AS DECIMAL(28, 9)), 3) AS DOUBLE) FROM events GROUP BY ALL")
 def score_summary(spark: SparkSession, d: str) -> DataFrame:
     rows = _runs(spark, d).withColumn("decade", F.floor(F.col("k") / 10).cast("string"))
     return analytics.summary(rows, ["run", "decade"], "value")

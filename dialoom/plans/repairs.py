@@ -6,8 +6,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from dialoom.functions import rules, text
-from dialoom.operators import repair, units
+from dialoom.operators import blueprint, repair, units
 from dialoom.operators import questions as q
+from dialoom.operators import turns as t
 from dialoom.plans.problems import _number
 from dialoom.plans.reference import _CONDITION, W_F, W_Q, W_T, _any, _level, features_of, placed_of, questions_of, turns_of
 from dialoom.session import table
@@ -154,6 +155,31 @@ def compatibility_forms(spark: SparkSession, d: str) -> DataFrame:
     return docs.select("doc_id", F.length("n").cast("bigint").alias("length"))
 
 
+@query(r"""SELECT qa_key, coalesce(nullif(regexp_replace(regexp_replace(lower(coalesce(content_type, '')), '[^a-z0-9]+', '_', 'g'), '^_+|_+$', '', 'g'), ''), 'event') AS event_type, regexp_replace(conversation_id || '/' || question_id, '[^\p{L}\p{N}_-]', '_', 'g') AS folder,
+  CASE WHEN length(f) > 40 THEN left(f, 37) || '...' ELSE f END AS short FROM (SELECT *, trim(regexp_replace(coalesce(question_text, ''), '[\s\p{Z}]+', ' ', 'g')) AS f FROM qa)""")
+def names_made(spark: SparkSession, d: str) -> DataFrame:
+    """Event types, folder names and short texts of questions."""
+    return table(spark, d, "qa").select("qa_key", text.event_slug(F.col("content_type")).alias("event_type"), text.safe_name(F.concat("conversation_id", F.lit("/"), "question_id")).alias("folder"), text.shortened(F.col("question_text"), 40).alias("short"))
+
+
+@query("""SELECT conversation_id, dia_id, array_to_string([x FOR x IN [trim(underlying_emotion), trim(secondary_emotion), trim(expression_style), 'People pleasing', trim(' ')] IF x IS NOT NULL AND x <> ''
+  AND replace(lower(x), ' ', '_') NOT IN ('politeness', 'self_minimization', 'validation', 'directness', 'humor', 'joking', 'withdrawal', 'people_pleasing')], ',') AS emotions FROM annotation""")
+def emotions_kept(spark: SparkSession, d: str) -> DataFrame:
+    """Terms of each annotation that may name an emotion."""
+    terms = F.array("underlying_emotion", "secondary_emotion", "expression_style", F.lit("People pleasing"), F.lit(" "))
+    return table(spark, d, "annotation").select("conversation_id", "dia_id", F.array_join(blueprint.without_non_emotions(terms), ",").alias("emotions"))
+
+
+@query(W_T + " SELECT conversation_id, session, dia_id, speaker, text, 'start ' || session AS session_date_time FROM turns")
+def documents_flattened(spark: SparkSession, d: str) -> DataFrame:
+    """Turns of nested documents, here one for each session, back as rows."""
+    turn = F.struct("session_pos", F.struct("speaker", "dia_id", "text").alias("t"))
+    each = placed_of(spark, d).groupBy("conversation_id", "session").agg(F.to_json(F.transform(F.array_sort(F.collect_list(turn)), lambda x: x["t"])).alias("turns"))
+    key = F.concat(F.lit('"session_'), "session")
+    value = F.concat(F.lit('{"conversation_id": "'), "conversation_id", F.lit('", '), key, F.lit('_date_time": "start '), "session", F.lit('", '), key, F.lit('": '), "turns", F.lit("}"))
+    return t.flattened(each.select(value.alias("value"))).select("conversation_id", "session", "dia_id", "speaker", "text", "session_date_time")
+
+
 # ---- contexts -----------------------------------------------------------------------------------
 
 
