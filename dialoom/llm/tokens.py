@@ -3,8 +3,8 @@
 For every prefix of a piece's bytes exactly one token can come last in its encoding: the token that
 ends there, follows a prefix whose own last token it may follow (the two bytes strings together
 encode to just these two tokens), and is its own encoding. Storing that token per prefix gives the
-encoding by walking back, makes appending exact without touching earlier prefixes, and lets an
-edited text be encoded again from the edit only. Candidates that end at a position come from an
+encoding by walking back, makes appending exact without touching earlier prefixes (``Growing``), and
+lets an edited text be encoded again from the edit only (``Codec.edit``). Candidates that end at a position come from an
 Aho-Corasick automaton over the vocabulary, so a piece of any length takes time linear in it.
 
 Texts are cut into pieces by the vocabulary's own pattern first; pieces repeat, so their ids are
@@ -178,10 +178,6 @@ class Codec:
             ids.extend(piece(part))
         return ids
 
-    def append(self, text: str, ids: list[int], more: str) -> list[int]:
-        """Ids of ``text + more``: pieces that cannot change keep their ids, the last ones are encoded again."""
-        return self.edit(text, ids, text + more)
-
     def edit(self, text: str, ids: list[int], new: str) -> list[int]:
         """Ids of ``new`` from those of ``text``: only the pieces between the common ends are encoded again."""
         old_parts, new_parts = self.pieces.findall(text), self.pieces.findall(new)
@@ -197,6 +193,42 @@ class Codec:
         return ids[:kept] + middle + (ids[len(ids) - end :] if end else [])
 
 
+class Growing:
+    """A text that grows at its end; what cannot change any more is neither split nor encoded again.
+
+    How far a piece of the pattern goes is settled by at most ``AHEAD`` characters behind it, so pieces that
+    end before that are final. The last piece keeps its table of prefixes and is extended in it.
+    """
+
+    AHEAD = 3
+
+    def __init__(self, codec: Codec) -> None:
+        self.codec, self.final, self.open = codec, [], ""
+        self.piece, self.table = "", PrefixTable(codec)
+
+    def append(self, more: str) -> None:
+        self.open += more
+        at = 0
+        for part in self.codec.pieces.findall(self.open):
+            if at + len(part) > len(self.open) - self.AHEAD:
+                break
+            self.final.extend(self._encoded(part))
+            at += len(part)
+        self.open = self.open[at:]
+
+    def _encoded(self, part: str) -> list[int]:
+        if not (self.piece and part.startswith(self.piece)):
+            self.piece, self.table = "", PrefixTable(self.codec)
+        self.table.append(part[len(self.piece) :].encode("utf-8", "surrogatepass"))
+        self.piece = part
+        return self.table.ids()
+
+    def ids(self) -> list[int]:
+        """Ids of the whole text so far."""
+        parts = self.codec.pieces.findall(self.open)
+        return [*self.final, *(i for p in parts[:-1] for i in self.codec.piece(p)), *(self._encoded(parts[-1]) if parts else [])]
+
+
 @lru_cache(maxsize=2)
 def codec(vocabulary: str, pattern: str) -> Codec:
     return Codec(vocabulary, pattern)
