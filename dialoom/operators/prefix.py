@@ -1,10 +1,9 @@
 """Running totals inside large groups, without a window over a whole group.
 
 A group is cut into blocks of ``BLOCK`` consecutive order values. Totals inside a block come from a
-window over (group, block), those of earlier blocks from the same done to the block totals, level by
-level. The last level has ``BLOCK`` to the power of ``LEVELS`` order values in a row, so a group that
-holds a third of all rows is many small windows. A join with a table of one row per group spreads hot
-groups over ``SALTS`` keys instead.
+window over (group, block), those of earlier blocks from a window over one row per block. A group of a
+billion rows is 250,000 small windows and one over as many rows. A join with a table of one row per
+group spreads hot groups over ``SALTS`` keys instead.
 """
 
 from __future__ import annotations
@@ -12,28 +11,25 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-BLOCK, LEVELS, SALTS = 512, 2, 32
+BLOCK, SALTS = 4096, 32
 
 
-def before(rows: DataFrame, keys: list[str], order: str, sums: dict[str, Column] | None = None, maxima: dict[str, Column] | None = None, level: int = LEVELS) -> DataFrame:
+def before(rows: DataFrame, keys: list[str], order: str, sums: dict[str, Column] | None = None, maxima: dict[str, Column] | None = None) -> DataFrame:
     """The rows with the sums (0 if none) and maxima (null if none) over all earlier rows of their group.
 
     ``order`` is a whole number that is unique in a group; ``maxima`` take structs too.
     """
     sums, maxima = sums or {}, maxima or {}
     values = {n: F.sum(c) for n, c in sums.items()} | {n: F.max(c) for n, c in maxima.items()}
-    if not level:
-        earlier = Window.partitionBy(*keys).orderBy(order).rowsBetween(Window.unboundedPreceding, -1)
-        return rows.select("*", *[(F.coalesce(v.over(earlier), F.lit(0)) if n in sums else v.over(earlier)).alias(n) for n, v in values.items()])
-    block = f"__block{level}"
-    marked = rows.withColumn(block, F.floor(F.col(order) / BLOCK))
-    earlier = Window.partitionBy(*keys, block).orderBy(order).rowsBetween(Window.unboundedPreceding, -1)
+    marked = rows.withColumn("__block", F.floor(F.col(order) / BLOCK))
+    earlier = Window.partitionBy(*keys, "__block").orderBy(order).rowsBetween(Window.unboundedPreceding, -1)
     inside = marked.select("*", *[v.over(earlier).alias(f"__{n}") for n, v in values.items()])
-    totals = marked.groupBy(*keys, block).agg(*[v.alias(f"__total_{n}") for n, v in values.items()])
-    blocks = before(totals, keys, block, {n: F.col(f"__total_{n}") for n in sums}, {n: F.col(f"__total_{n}") for n in maxima}, level - 1)
-    joined = inside.join(blocks.select(*keys, block, *values), [*keys, block])
-    both = [(F.coalesce(f"__{n}", F.lit(0)) + F.col(n)).alias(n) if n in sums else F.greatest(f"__{n}", n).alias(n) for n in values]
-    return joined.select(*rows.columns, *both)
+    # the totals of the blocks come from rows that lie together already
+    totals = inside.groupBy(*keys, "__block").agg(*[v.alias(f"__total_{n}") for n, v in values.items()])
+    blocks = Window.partitionBy(*keys).orderBy("__block").rowsBetween(Window.unboundedPreceding, -1)
+    known = totals.select(*keys, "__block", *[(F.sum if n in sums else F.max)(f"__total_{n}").over(blocks).alias(n) for n in values])
+    both = [(F.coalesce(f"__{n}", F.lit(0)) + F.coalesce(n, F.lit(0))).alias(n) if n in sums else F.greatest(f"__{n}", n).alias(n) for n in values]
+    return inside.join(known, [*keys, "__block"]).select(*rows.columns, *both)
 
 
 def salted_join(rows: DataFrame, small: DataFrame, keys: list[str], spread: Column, how: str = "inner", salts: int = SALTS) -> DataFrame:

@@ -64,39 +64,54 @@ def _with_all(queries: DataFrame, documents: DataFrame, hits: DataFrame, name: s
     return pairs.join(hits, ["query_id", "corpus", "doc"], "left").select("query_id", "corpus", "doc", F.coalesce(name, F.lit(0.0)).alias(name))
 
 
-def scores_upto(queries: DataFrame, turns: DataFrame) -> DataFrame:
-    """(query_id, pos, bm25, cosine) of the turns of a query's session up to its place that share a token or letter group with it.
+def _searchable(queries: DataFrame, turns: DataFrame, terms: str) -> tuple[DataFrame, DataFrame]:
+    """Queries and turns with one row per term: a hash leads the keys, it spreads and sorts better than names that begin alike; the names decide."""
+    group = ["conversation_id", "session"]
+    cut = tokens if terms == "tokens" else _gram_list
+    keyed = lambda rows, *keys: rows.select(*keys, F.explode("__terms").alias("term")).withColumn("h", F.xxhash64(*group, "term"))
+    asked, said = queries.withColumn("__terms", cut(F.col("text"))), turns.withColumn("__terms", cut(F.col("text")))
+    return keyed(asked, *group, "query_id", "upto"), keyed(said.withColumn("len", F.size("__terms")), *group, "pos", "len")
+
+
+def bm25_upto(queries: DataFrame, turns: DataFrame) -> DataFrame:
+    """(query_id, pos, bm25) of the turns of a query's session up to its place that share a token with it.
 
     ``turns`` (conversation_id, session, pos from 1, text), ``queries`` (query_id, conversation_id, session,
     upto, text). Every turn is cut up once, whoever searches it: the corpus of a query is the postings of
     its session up to its place, so document counts are the postings that a join finds, and lengths are
-    running totals. Tokens and letter groups go through the same join; turns that share nothing score 0
-    and do not come out.
+    running totals. Turns that share nothing score 0 and do not come out.
     """
     group = ["conversation_id", "session"]
-    sized = turns.withColumn("__t", tokens(F.col("text"))).withColumn("len", F.size("__t")).withColumn("__g", _gram_list(F.col("text")))
-    so_far = Window.partitionBy(*group).orderBy("pos").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    means = sized.select(*group, F.col("pos").alias("upto"), F.avg("len").over(so_far).alias("avg_len"))
-    asked = queries.withColumn("__t", tokens(F.col("text"))).withColumn("__g", _gram_list(F.col("text")))
-    # a hash leads the keys: it spreads and sorts better than names that begin alike; the names decide
-    keyed = lambda rows, terms, *keys: rows.select(*keys, F.explode(terms).alias("term")).withColumn("h", F.xxhash64(*group, "term"))
-
-    d = keyed(sized, "__t", *group, "pos", "len").groupBy("h", *group, "term", "pos", "len").agg(F.count("*").alias("n"))
-    q = keyed(asked, "__t", *group, "query_id", "upto").groupBy("h", *group, "term", "query_id", "upto").agg(F.count("*").alias("m"))
+    q, d = _searchable(queries, turns, "tokens")
+    q = q.groupBy("h", *group, "term", "query_id", "upto").agg(F.count("*").alias("m"))
+    d = d.groupBy("h", *group, "term", "pos", "len").agg(F.count("*").alias("n"))
     hits = q.join(d, ["h", *group, "term"]).where("pos <= upto")
     found = hits.groupBy("query_id", "term", "upto", "m", *group).agg(F.collect_list(F.struct("pos", "n", "len")).alias("p"))  # no more than a session's turns
+    so_far = Window.partitionBy(*group).orderBy("pos").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    means = turns.select(*group, F.col("pos").alias("upto"), F.avg(F.size(tokens(F.col("text")))).over(so_far).alias("avg_len"))
     each = found.join(means, [*group, "upto"]).select("query_id", "upto", "avg_len", "m", F.size("p").alias("df"), F.explode("p").alias("p")).select("*", "p.*")
     idf = F.log1p((F.col("upto") - F.col("df") + 0.5) / (F.col("df") + 0.5))
     norm = F.col("n") + K1 * (1 - B + B * F.col("len") / F.greatest(F.col("avg_len"), F.lit(1.0)))
-    bm25 = each.groupBy("query_id", "pos").agg(F.sum(F.col("m") * idf * F.col("n") * (K1 + 1) / F.greatest(norm, F.lit(1e-9))).alias("bm25"))
-
-    # the product of two counts is the number of pairs of occurrences, so occurrences are joined as they are
-    dg, qg = keyed(sized, "__g", *group, "pos"), keyed(asked, "__g", *group, "query_id", "upto")
-    dots = qg.join(dg.hint("shuffle_hash"), ["h", *group, "term"]).where("pos <= upto").groupBy("query_id", *group, "pos").agg(F.count("*").alias("dot"))
-    dn = sized.select(*group, "pos", F.sqrt(_equal_pairs(F.col("__g"))).alias("dn"))
-    qn = asked.select("query_id", F.sqrt(_equal_pairs(F.col("__g"))).alias("qn"))
-    cosine = dots.join(dn, [*group, "pos"]).join(qn, "query_id").select("query_id", "pos", (F.col("dot") / (F.col("dn") * F.col("qn"))).alias("cosine"))
-    return bm25.join(cosine, ["query_id", "pos"], "full").select("query_id", "pos", F.coalesce("bm25", F.lit(0.0)).alias("bm25"), F.coalesce("cosine", F.lit(0.0)).alias("cosine"))
+    return each.groupBy("query_id", "pos").agg(F.sum(F.col("m") * idf * F.col("n") * (K1 + 1) / F.greatest(norm, F.lit(1e-9))).alias("bm25"))
+
+
+def cosine_upto(queries: DataFrame, turns: DataFrame) -> DataFrame:
+    """(query_id, pos, cosine) of letter-group counts, for the same corpora.
+
+    The product of two counts is the number of pairs of occurrences, so occurrences are joined as they are.
+    """
+    group = ["conversation_id", "session"]
+    q, d = _searchable(queries, turns, "groups")
+    dots = q.join(d.drop("len").hint("shuffle_hash"), ["h", *group, "term"]).where("pos <= upto").groupBy("query_id", *group, "pos").agg(F.count("*").alias("dot"))
+    dn = turns.select(*group, "pos", F.sqrt(_equal_pairs(_gram_list(F.col("text")))).alias("dn"))
+    qn = queries.select("query_id", F.sqrt(_equal_pairs(_gram_list(F.col("text")))).alias("qn"))
+    return dots.join(dn, [*group, "pos"]).join(qn, "query_id").select("query_id", "pos", (F.col("dot") / (F.col("dn") * F.col("qn"))).alias("cosine"))
+
+
+def scores_upto(queries: DataFrame, turns: DataFrame) -> DataFrame:
+    """(query_id, pos, bm25, cosine) of the turns that have either score."""
+    both = bm25_upto(queries, turns).join(cosine_upto(queries, turns), ["query_id", "pos"], "full")
+    return both.select("query_id", "pos", F.coalesce("bm25", F.lit(0.0)).alias("bm25"), F.coalesce("cosine", F.lit(0.0)).alias("cosine"))
 
 
 def _gram_list(text: Column) -> Column:

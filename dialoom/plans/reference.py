@@ -445,19 +445,17 @@ def options_rendered(spark: SparkSession, d: str) -> DataFrame:
 # ---- retrieval ---------------------------------------------------------------------------------
 
 
-def _searched(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """Turns, queries with the place of their anchor, and the scores of what they share with their session so far."""
-    placed = placed_of(spark, d)
+def _searched(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
+    """Turns, and queries with the place of their anchor; both are read several times and written once."""
+    placed = checkpoint(placed_of(spark, d).drop("modality_available", "audio_id", "spoken_at"))
     base = q.anchored(questions_of(spark, d), placed).where("anchor_id is not null")
     spoken = F.concat_ws(" ", "question_text", "anchor_text", F.array_join("answer_options", " "))
     asked = checkpoint(base.select(F.col("qa_key").alias("query_id"), "conversation_id", "session", F.col("anchor_session_pos").alias("upto"), spoken.alias("text")))
-    turns = checkpoint(placed.select("conversation_id", "session", F.col("session_pos").alias("pos"), "turn", F.concat_ws(" ", "speaker", "text", "voice_style").alias("text")))
-    return turns, asked, retrieval.scores_upto(asked, turns.drop("turn"))
+    return placed.select("conversation_id", "session", F.col("session_pos").alias("pos"), "turn", F.concat_ws(" ", "speaker", "text", "voice_style").alias("text")), asked
 
 
-def _all_scores(spark: SparkSession, d: str, score: str) -> DataFrame:
+def _all_scores(turns: DataFrame, asked: DataFrame, found: DataFrame, score: str) -> DataFrame:
     """The score of every turn of a query's session up to its place, 0 where nothing is shared."""
-    turns, asked, found = _searched(spark, d)
     every = asked.select("query_id", "conversation_id", "session", "upto").join(turns.drop("text"), ["conversation_id", "session"]).where("pos <= upto")
     return every.join(found.select("query_id", "pos", score), ["query_id", "pos"], "left").select(F.col("query_id").alias("qa_key"), "turn", F.round(F.coalesce(score, F.lit(0.0)), 6).alias(score))
 
@@ -483,18 +481,20 @@ hyb AS (SELECT qa_key, doc, bm25, cosine, 0.5 * CASE WHEN bh - bl < 1e-9 THEN CA
 
 @query(_LOCAL + "SELECT qa_key, doc AS turn, round(bm25, 6) AS bm25 FROM ranked")
 def bm25_scores(spark: SparkSession, d: str) -> DataFrame:
-    return _all_scores(spark, d, "bm25")
+    turns, asked = _searched(spark, d)
+    return _all_scores(turns, asked, retrieval.bm25_upto(asked, turns), "bm25")
 
 
 @query(_LOCAL + "SELECT qa_key, doc AS turn, round(cosine, 6) AS cosine FROM ranked")
 def trigram_cosine(spark: SparkSession, d: str) -> DataFrame:
-    return _all_scores(spark, d, "cosine")
+    turns, asked = _searched(spark, d)
+    return _all_scores(turns, asked, retrieval.cosine_upto(asked, turns), "cosine")
 
 
 @query(_LOCAL + "SELECT qa_key, doc AS turn, rank, round(round(score, 9), 6) AS score FROM (SELECT *, row_number() OVER (PARTITION BY qa_key ORDER BY round(score, 9) DESC, doc) AS rank FROM hyb) WHERE rank <= 4")
 def hybrid_top(spark: SparkSession, d: str) -> DataFrame:
-    turns, asked, found = _searched(spark, d)
-    best = retrieval.top_upto(found, asked).join(asked.select("query_id", "conversation_id", "session"), "query_id").join(turns.drop("text"), ["conversation_id", "session", "pos"])
+    turns, asked = _searched(spark, d)
+    best = retrieval.top_upto(retrieval.scores_upto(asked, turns), asked).join(asked.select("query_id", "conversation_id", "session"), "query_id").join(turns.drop("text"), ["conversation_id", "session", "pos"])
     return best.select(F.col("query_id").alias("qa_key"), "turn", "rank", F.round("score", 6).alias("score"))
 
 
