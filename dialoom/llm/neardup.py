@@ -8,8 +8,8 @@ two signatures is the number of symbols in which they differ. Signatures are spl
 ``POSITIONS / WIDTH * (ERRORS + 1) - 1`` or less have a chunk with at most ``ERRORS`` differing
 symbols, and enumerating the places of those errors on both sides makes that an equality join of the
 symbols left: every pair under that distance is met. A bitmap of ``CELLS`` hash cells of the words
-travels with each key: every cell set on one side only is a word the other side lacks, which bounds
-the likeness from above, so the join drops distant pairs, and none else, before anything is shuffled
+travels with each key: a word in both sets sets a cell in both, unless it hides behind another word of
+its cell, which bounds the likeness from above, so the join drops distant pairs, and none else, before anything is shuffled
 again; what is left is verified on the word sets exactly. Pairs of likeness ``threshold`` whose
 signatures lie further apart are found as likely as one of their chunks agrees (README gives the
 figures).
@@ -92,9 +92,11 @@ def _sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             symbols, cells = signatures(flat, (offsets[:-1] - offsets[0]).astype(np.int64))
             keys = chunk_keys(symbols)
             each = np.arange(0, keys.size + 1, keys.shape[1], dtype=np.int32)
+            sizes = np.diff(offsets)
+            hidden = sizes - np.bitwise_count(cells.view(np.uint64)).sum(1, dtype=np.int64)  # words that share a cell with another
             yield pa.RecordBatch.from_arrays(
-                [part.column("rep"), pa.array(np.diff(offsets), pa.int32()), *[pa.array(np.ascontiguousarray(cells[:, i])) for i in range(longs)], pa.ListArray.from_arrays(each, pa.array(keys.ravel()))],
-                ["rep", "n", *[f"s{i}" for i in range(longs)], "keys"],
+                [part.column("rep"), pa.array(sizes, pa.int32()), pa.array(hidden, pa.int32()), *[pa.array(np.ascontiguousarray(cells[:, i])) for i in range(longs)], pa.ListArray.from_arrays(each, pa.array(keys.ravel()))],
+                ["rep", "n", "hidden", *[f"s{i}" for i in range(longs)], "keys"],
             )
 
 
@@ -120,21 +122,17 @@ def like_classes(sets: DataFrame, numerator: int = 3, denominator: int = 5) -> D
     longs = CELLS // 64
     kind = sets.schema["rep"].dataType.simpleString()
     cells = ", ".join(f"s{i} bigint" for i in range(longs))
-    signed = sets.select("rep", "words").mapInArrow(_sign, f"rep {kind}, n int, {cells}, keys array<bigint>")
-    keyed = signed.select("rep", "n", *[f"s{i}" for i in range(longs)], F.explode("keys").alias("key"))
+    signed = sets.select("rep", "words").mapInArrow(_sign, f"rep {kind}, n int, hidden int, {cells}, keys array<bigint>")
+    keyed = signed.select("rep", "n", "hidden", *[f"s{i}" for i in range(longs)], F.explode("keys").alias("key"))
     a, b = keyed.alias("a"), keyed.alias("b")
-    lacking = {"a": F.lit(0), "b": F.lit(0)}
+    # words in both sets are at most the cells in both and the words that hide behind another one
+    shared = F.least("a.hidden", "b.hidden")
     for i in range(longs):
-        differing = F.col(f"a.s{i}").bitwiseXOR(F.col(f"b.s{i}"))
-        for side in lacking:
-            lacking[side] = lacking[side] + F.bit_count(differing.bitwiseAND(F.col(f"{side}.s{i}")))
-    shared = F.least(F.col("a.n") - lacking["a"], F.col("b.n") - lacking["b"])  # at most
-    low, high = F.least("a.n", "b.n"), F.greatest("a.n", "b.n")
+        shared = shared + F.bit_count(F.col(f"a.s{i}").bitwiseAND(F.col(f"b.s{i}")))
     candidates = (
         a.join(b.hint("merge"), F.col("a.key") == F.col("b.key"))
         .where(F.col("a.rep") < F.col("b.rep"))
-        .where(low * denominator >= high * numerator)
-        .where(shared * denominator >= (F.col("a.n") + F.col("b.n") - shared) * numerator)
+        .where(shared * (numerator + denominator) >= (F.col("a.n") + F.col("b.n")) * numerator)
         .select(F.col("a.rep").alias("rep_a"), F.col("b.rep").alias("rep_b"))
         .distinct()
     )
