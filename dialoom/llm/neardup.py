@@ -102,7 +102,9 @@ def _sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def word_classes(rows: DataFrame, key: str, columns: Sequence[str]) -> DataFrame:
     """(id, class_a, class_b): rows of one word set share the two halves of its 128-bit key."""
-    keyed = rows.select(F.col(key).alias("id"), words(columns).alias("words")).where(F.size("words") > 0)
+    # asked of the text, not of the words: a filter on them would cut them out twice
+    some = rows.where(F.concat_ws(" ", *columns).rlike(r"[\p{L}\p{N}]"))
+    keyed = some.select(F.col(key).alias("id"), words(columns).alias("words"))
     return keyed.select(
         "id", F.xxhash64("words").alias("class_a"), F.xxhash64(F.lit(7), "words").alias("class_b"), "words"
     )
