@@ -33,7 +33,7 @@ from pyspark.sql import functions as F
 
 from dialoom.session import checkpoint
 
-POSITIONS, WIDTH, ERRORS, BITS, CELLS = 64, 4, 1, 16, 256
+POSITIONS, WIDTH, ERRORS, BITS, CELLS = 64, 4, 1, 16, 192
 
 
 def words(columns: Sequence[str]) -> Column:
