@@ -9,6 +9,7 @@ from dialoom.operators import blueprint as b
 from dialoom.operators import planning, quality
 from dialoom.operators import questions as q
 from dialoom.operators import turns as t
+from dialoom.plans import reference
 from dialoom.plans.problems import _number
 from dialoom.plans.reference import W_F, W_T, features_of, placed_of, turns_of
 from dialoom.session import table
@@ -170,7 +171,10 @@ def level_span_violations(spark: SparkSession, d: str) -> DataFrame:
     return q.level_spans(features_of(spark, d))
 
 
-@query()
+_RULES = {"annotation": "annotation_violations", "question": "question_violations", "unit": "unit_violations"}
+
+
+@query(f"SELECT entity, rule, n FROM ({reference.ORACLE_SQL['conversation_violation_counts']})" + "".join(f" UNION ALL SELECT '{e}', rule, count(*) FROM ({reference.ORACLE_SQL[name]}) GROUP BY ALL" for e, name in _RULES.items()))
 def scenario_violations(spark: SparkSession, d: str) -> DataFrame:
     """All rules over a scenario at once: violations per entity and rule."""
     placed = placed_of(spark, d)
