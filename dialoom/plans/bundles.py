@@ -11,8 +11,8 @@ from dialoom.operators import questions as q
 from dialoom.operators import turns as t
 from dialoom.plans import reference
 from dialoom.plans.problems import _number
-from dialoom.plans.reference import W_F, W_T, features_of, placed_of, turns_of
-from dialoom.session import table
+from dialoom.plans.reference import W_F, W_T, features_of, placed_of, questions_of, turns_of
+from dialoom.session import checkpoint, table
 
 QUERIES: dict = {}
 ORACLE_SQL: dict[str, str] = {}
@@ -177,10 +177,10 @@ _RULES = {"annotation": "annotation_violations", "question": "question_violation
 @query(f"SELECT entity, rule, n FROM ({reference.ORACLE_SQL['conversation_violation_counts']})" + "".join(f" UNION ALL SELECT '{e}', rule, count(*) FROM ({reference.ORACLE_SQL[name]}) GROUP BY ALL" for e, name in _RULES.items()))
 def scenario_violations(spark: SparkSession, d: str) -> DataFrame:
     """All rules over a scenario at once: violations per entity and rule."""
-    placed = placed_of(spark, d)
+    placed = checkpoint(placed_of(spark, d))  # every rule reads the turns
     every = [
         quality.conversation_violations(placed, table(spark, d, "conversation_head")), quality.annotation_violations(table(spark, d, "annotation").where("conversation_id is not null and dia_id is not null"), placed),
-        quality.question_violations(features_of(spark, d)), quality.unit_violations(table(spark, d, "all_units"), q.latest(table(spark, d, "qa")), placed),
+        quality.question_violations(q.features(questions_of(spark, d), placed)), quality.unit_violations(table(spark, d, "all_units"), q.latest(table(spark, d, "qa")), placed),
     ]
     return quality.counted(every)
 

@@ -11,7 +11,7 @@ from dialoom.operators import questions as q
 from dialoom.operators import turns as t
 from dialoom.plans.problems import _number
 from dialoom.plans.reference import _CONDITION, W_F, W_Q, W_T, _any, _level, features_of, placed_of, questions_of, turns_of
-from dialoom.session import table
+from dialoom.session import checkpoint, table
 
 QUERIES: dict = {}
 ORACLE_SQL: dict[str, str] = {}
@@ -86,7 +86,8 @@ voices AS (SELECT *, CASE WHEN first IS NULL OR speaker IS NULL THEN speaker WHE
 once AS (SELECT *, {_tidied(_worded('voice_style'))} AS o FROM voices)
 SELECT conversation_id, dia_id, name AS speaker, filled_index, CASE WHEN len({_LEAKS.format(v='o')}) > 0 THEN {_tidied('o')} ELSE o END AS voice_style FROM once""")
 def turns_repaired(spark: SparkSession, d: str) -> DataFrame:
-    return repair.turns_repaired(placed_of(spark, d), table(spark, d, "conversation_head")).select("conversation_id", "dia_id", "speaker", "filled_index", "voice_style")
+    placed = checkpoint(placed_of(spark, d))  # read for the speakers and for the indexes
+    return repair.turns_repaired(placed, table(spark, d, "conversation_head")).select("conversation_id", "dia_id", "speaker", "filled_index", "voice_style")
 
 
 _SHAPED = "CASE WHEN coalesce(audio_id, '') = '' THEN ['text', 'voice_style'] ELSE list_concat(given, [x FOR x IN ['text', 'voice_style', 'audio'] IF NOT coalesce(list_contains(given, x), false)]) END"
