@@ -47,7 +47,7 @@ INVISIBLE = r"[\\s\\p{Z}\\p{Cc}\\p{Cf}]"
 ALLOWED = "CASE WHEN {L} <= 2 THEN 0 WHEN {L} <= 3 THEN 1 WHEN {L} <= 7 THEN 2 WHEN {L} <= 9 THEN 3 WHEN {L} <= 24 THEN 4 ELSE 6 END"
 ALLOWED_DERIVED = "CASE WHEN {L} <= 4 THEN 0 WHEN {L} <= 7 THEN 1 WHEN {L} <= 12 THEN 2 ELSE 3 END"
 #: Letters to which words are cut, and the most edits any length allows.
-CUTS, CUT, MOST = (3, 4, 5), 5, 6
+CUTS, CUT, MOST, SPREAD = (3, 4, 5), 5, 6, 16
 
 #: What the plain form leaves out, in order: (pattern, replacement with $1 for its group).
 PLAIN_RULES = [
@@ -103,8 +103,9 @@ _UNIQUE = "SELECT field_name, min(canonical_value) AS canonical_value, form FROM
 def _replaced(source: str) -> str:
     """Common table ``twice``: sequences of ``source`` with none to two words replaced ({same} maps words to others)."""
     others = "flatten(transform(seq, w -> transform(coalesce({same}[w], array()), o -> transform(seq, v -> if(v = w, o, v)))))"
-    step = f"SELECT DISTINCT field_name, canonical_value, about, explode(concat(array(seq), {others})) AS seq"
-    return f"once AS ({step} FROM {source}), twice AS ({step} FROM once)"
+    step = f"SELECT field_name, canonical_value, about, explode(concat(array(seq), {others})) AS seq"
+    # few rows that become many: spread before, so that no task does it all
+    return f"once AS ({step} FROM (SELECT /*+ REPARTITION({SPREAD}) */ * FROM {source})), twice AS ({step} FROM once)"
 
 
 def _map(pairs: list[tuple[str, str]]) -> str:
@@ -192,13 +193,13 @@ def resolve_entries(spark: SparkSession, strange: DataFrame, canon: DataFrame, t
     forms = checkpoint(run(_FORMS, entries=strange.select("field_name", "entry").distinct()))
     same = _map(THESAURUS if thesaurus is None else thesaurus)
     plainly = run(f"SELECT DISTINCT field_name, canonical_value, array_join({_words('lower(canonical_value)')}, '') AS form FROM {{canon}}", canon=canon)
-    whole = forms.where("form <> ''").select("field_name", "form").distinct().repartition(parts, "field_name", "form")
+    whole = forms.where("form <> ''").select("field_name", "form").distinct().repartition(parts, "form")
     near = checkpoint(run(
         "SELECT field_name, form, min_by(best.canonical_value, struct(best.distance, derived, best.canonical_value)) AS canonical_value FROM (SELECT *, 0 AS derived FROM {a} UNION ALL SELECT *, 1 FROM {b}) GROUP BY field_name, form",
         a=run(_near(ALLOWED), accepted=plainly, forms=whole), b=run(_near(ALLOWED_DERIVED), accepted=run(_PARTS.replace("{same}", same), canon=canon), forms=whole),
     ))
     rest = checkpoint(run("SELECT f.* FROM {forms} f LEFT ANTI JOIN {near} n ON f.field_name = n.field_name AND f.form = n.form", forms=forms, near=near))
-    short = rest.where("short <> ''").selectExpr("field_name", "short AS form").distinct().repartition(parts, "field_name", "form")
+    short = rest.where("short <> ''").selectExpr("field_name", "short AS form").distinct().repartition(parts, "form")
     derived = run(_near(ALLOWED_DERIVED), accepted=run(_DERIVED.replace("{same}", same), canon=canon), forms=short)
     return run(
         """SELECT f.field_name, f.entry, n.canonical_value FROM {forms} f JOIN {near} n ON f.field_name = n.field_name AND f.form = n.form
