@@ -94,3 +94,17 @@ def test_scores_and_curation(features):
 def test_masking(features, placed):
     got = {(r.qa_key, r.dia_id): r.masked_voice for r in units.session_views(features.drop("session", "turn", "anchor_id", "anchor_text", "anchor_index", "anchor_pos", "anchor_session_pos", "sessions_before"), placed).collect()}
     assert got[(2, "D2:2")] == "unavailable" and got[(2, "D2:1")] == "unavailable" and got[(1, "D2:2")] is None
+
+
+def test_contexts_are_written_where_they_arise(spark, monkeypatch):
+    monkeypatch.setattr(turns, "BLOCK", 7)
+    monkeypatch.setattr(turns, "PART_ANCHORS", 4)
+    place = lambda c, i: (c, i // 3, i % 3 + 1, i % 3 + 1, i, f"D{i // 3}:{i % 3 + 1}")
+    placed = spark.createDataFrame([place(c, i) for c, n in (("a", 40), ("b", 3), ("c", 5)) for i in range(1, n + 1)], "conversation_id string, session long, turn int, session_pos long, history_pos long, dia_id string")
+    anchors = spark.createDataFrame([(i, "a", 1 + i * 5 % 40, f"f{i}") for i in range(30)] + [(90, "b", 1, "x"), (91, "b", 3, None)], "qa_key long, conversation_id string, history_pos long, fact string")
+    rows = turns.prefix_rows(anchors, placed, "qa_key", "fact")
+    asked = anchors.collect()
+    assert rows_of(rows, "qa_key", "history_pos", "fact") == sorted(((a[0], i, a[3]) for a in asked for i in range(1, a[2] + 1)), key=repr)
+    # the join that makes the context rows is the last one, and nothing is shuffled after it
+    top = rows._jdf.queryExecution().executedPlan().toString().split("Join")[:2]
+    assert "Exchange" not in top[0] and "__block" in top[1].split("\n")[0]
