@@ -108,3 +108,12 @@ def test_contexts_are_written_where_they_arise(spark, monkeypatch):
     # the join that makes the context rows is the last one, and nothing is shuffled after it
     top = rows._jdf.queryExecution().executedPlan().toString().split("Join")[:2]
     assert "Exchange" not in top[0] and "__block" in top[1].split("\n")[0]
+
+
+def test_candidates_are_written_where_they_arise(spark):
+    placed = spark.createDataFrame([("a", i // 3, i % 3 + 1, i % 3 + 1, i, f"D{i // 3}:{i % 3 + 1}") for i in range(1, 41)], "conversation_id string, session long, turn int, session_pos long, history_pos long, dia_id string")
+    asked = spark.createDataFrame([(i, "a", 1 + i * 5 % 40) for i in range(30)], "qa_key long, conversation_id string, history_pos long")
+    rows = turns.retrieval_candidates(asked, placed, "qa_key")
+    assert rows_of(rows, "qa_key", "history_pos") == sorted(((a[0], i) for a in asked.collect() for i in range(1, a[2])), key=repr)
+    top = rows._jdf.queryExecution().executedPlan().toString().split("Join")[:2]
+    assert "Exchange" not in top[0] and "__block" in top[1].split("\n")[0]
