@@ -117,3 +117,19 @@ def test_candidates_are_written_where_they_arise(spark):
     assert rows_of(rows, "qa_key", "history_pos") == sorted(((a[0], i) for a in asked.collect() for i in range(1, a[2])), key=repr)
     top = rows._jdf.queryExecution().executedPlan().toString().split("Join")[:2]
     assert "Exchange" not in top[0] and "__block" in top[1].split("\n")[0]
+
+
+def test_whole_units_cut_contexts_from_packed_turns(features, placed, spark):
+    asked = features.select("qa_key", "conversation_id", "question_id").distinct()
+    plain = features.select(*[c.split()[0] for c in QA.split(", ") if c.split()[0] != "ingested_at"])
+    notes = spark.createDataFrame([], "conversation_id string, dia_id string, underlying_emotion string, relation_state string, memory_dependency_level string")
+    built = units.units(plain, notes, placed, whole=True)
+    full = built.selectExpr("qa_key", "explode(full_history_context) as x").selectExpr("qa_key", "x.history_pos as pos", "x.dia_id as dia_id", "x.masked_voice as voice")
+    views = units.history_views(plain, placed).selectExpr("qa_key", "history_pos as pos", "dia_id", "masked_voice as voice")
+    assert rows_of(full, "qa_key", "pos", "dia_id", "voice") == rows_of(views, "qa_key", "pos", "dia_id", "voice") and asked.count()
+    items = built.selectExpr("qa_key", "posexplode_outer(retrieval_candidates) as (no, w)").selectExpr("qa_key", "no", "explode(w) as x").selectExpr("qa_key", "no", "x.item_no as item", "x.dia_id as dia_id")
+    kept = units.candidates(plain, placed).selectExpr("qa_key", "dense_rank() over (partition by qa_key order by session, window_no) - 1 as no", "item_no as item", "dia_id")
+    assert rows_of(items, "qa_key", "no", "item", "dia_id") == rows_of(kept, "qa_key", "no", "item", "dia_id")
+    # only the joins that lead to the packed turns are shuffled, no context row is
+    top = built._jdf.queryExecution().executedPlan().toString().split("Join")[:2]
+    assert "Exchange" not in top[0] and "__part" in top[1].split("\n")[0]
