@@ -10,11 +10,15 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_schema
+from pyspark.sql.types import DoubleType, IntegerType, LongType, StringType, StructType
 
 from dialoom.functions.text import squashed, tokens
-from dialoom.session import checkpoint
+from dialoom.operators import searching
+from dialoom.operators.searching import K1, B
+from dialoom.operators.turns import packed, parted
 
-K1, B = 1.2, 0.75
+PART_QUERIES = 64
 
 
 def _postings(rows: DataFrame, keys: list[str], terms: Column, name: str) -> DataFrame:
@@ -108,12 +112,6 @@ def cosine_upto(queries: DataFrame, turns: DataFrame) -> DataFrame:
     return dots.join(dn, [*group, "pos"]).join(qn, "query_id").select("query_id", "pos", (F.col("dot") / (F.col("dn") * F.col("qn"))).alias("cosine"))
 
 
-def scores_upto(queries: DataFrame, turns: DataFrame) -> DataFrame:
-    """(query_id, pos, bm25, cosine) of the turns that have either score."""
-    both = bm25_upto(queries, turns).join(cosine_upto(queries, turns), ["query_id", "pos"], "full")
-    return both.select("query_id", "pos", F.coalesce("bm25", F.lit(0.0)).alias("bm25"), F.coalesce("cosine", F.lit(0.0)).alias("cosine"))
-
-
 def _gram_list(text: Column) -> Column:
     """Letter groups of three, as often as they occur; a shorter text is its only group, an empty one has none."""
     flat = F.lower(squashed(F.coalesce(text, F.lit(""))))
@@ -137,25 +135,38 @@ def _equal_pairs(terms: Column) -> Column:
     return F.aggregate(F.sort_array(terms), start, step, lambda acc: acc["total"])
 
 
-def top_upto(scored: DataFrame, queries: DataFrame, k: int = 4, sparse: float = 0.5, dense: float = 0.5) -> DataFrame:
-    """(query_id, pos, score, rank): the first k turns by the hybrid of both scores, ties by place.
+def _flat(*parts: Column) -> Column:
+    return F.lower(squashed(F.concat_ws(" ", *parts)))
+
+
+def _searches(rows: DataFrame) -> DataFrame:
+    """Packed turns and queries as ``searching`` reads them: flattened texts, queries with the place of their anchor."""
+    names = ["session", "turn"]
+    told = rows.withColumn("places", F.transform("said", lambda x: F.struct(*[x[c].alias(c) for c in names])))
+    upto = lambda a: F.array_position("places", F.struct(*[a[c].alias(c) for c in names])).cast("int")
+    found = told.withColumn("named", F.filter(F.transform("named", lambda a: F.struct(a.alias("a"), upto(a).alias("upto"))), lambda x: x["upto"] > 0)).where(F.size("named") > 0)
+    spoken = lambda x: _flat(x["a"]["question_text"], F.get("said", x["upto"] - 1)["text"], x["a"]["options"])
+    queries = F.transform("named", lambda x: F.struct(x["a"]["query_id"].alias("query_id"), x["upto"].alias("upto"), spoken(x).alias("text")))
+    lines = F.transform("said", lambda x: F.struct(*[x[c].alias(c) for c in ("session", "turn", "dia_id")], _flat(x["speaker"], x["text"], x["voice_style"]).alias("text")))
+    long = lambda c: F.aggregate(c, F.lit(0), lambda n, x: n + F.length(x["text"]))
+    return found.select(lines.alias("turns"), queries.alias("asked")).withColumn("chars", long("turns") + long("asked"))
 
-    Turns without a score enter where they can count only: the first k places stand for all of them, and
-    a corpus with more turns than scores has 0 as its least score.
-    """
-    per = Window.partitionBy("query_id")
-    wanted = queries.select("query_id", F.explode(F.sequence(F.lit(1), F.least(F.lit(k), F.col("upto")))).alias("pos")).withColumn("bm25", F.lit(0.0)).withColumn("cosine", F.lit(0.0)).withColumn("__hit", F.lit(0))
-    hits = scored.withColumn("__hit", F.lit(1)).select("query_id", F.col("pos"), "bm25", "cosine", "__hit")
-    merged = hits.unionByName(wanted.withColumn("pos", F.col("pos").cast(scored.schema["pos"].dataType))).groupBy("query_id", "pos").agg(F.max("bm25").alias("bm25"), F.max("cosine").alias("cosine"), F.max("__hit").alias("__hit"))
-    sized = merged.join(queries.select("query_id", "upto"), "query_id").withColumn("__all", F.sum("__hit").over(per) == F.col("upto"))
 
-    def scaled(c: str) -> Column:
-        low = F.when(F.col("__all"), F.min(c).over(per)).otherwise(F.least(F.min(c).over(per), F.lit(0.0)))
-        high = F.max(c).over(per)
-        return F.when(high - low < 1e-9, F.when(high <= 0, 0.0).otherwise(1.0)).otherwise((F.col(c) - low) / (high - low))
+SAID = ("session", "turn", "dia_id", "speaker", "text", "voice_style")
+ASKED = ("query_id", "session", "turn", "question_text", "options")
 
-    ranked = sized.withColumn("score", F.round(sparse * scaled("bm25") + dense * scaled("cosine"), 9))
-    return top(ranked, k, "pos").select("query_id", "pos", "score", "rank")
+
+def local_top(turns: DataFrame, questions: DataFrame, k: int = 4) -> DataFrame:
+    """(query_id, turn, rank, score): the first ``k`` turns of the anchor's session up to the anchor, by the hybrid of both scores, ties by place.
+
+    ``turns`` have the columns ``SAID``, ``questions`` those of ``ASKED`` (session and turn of the anchor), both
+    with conversation_id. A session is packed with its turns and its queries, and searched in one row.
+    """
+    keys = ["conversation_id", "session"]
+    held = turns.groupBy(*keys).agg(F.sort_array(F.collect_list(F.struct(*SAID))).alias("said"))
+    asked = questions.groupBy(*keys).agg(F.collect_list(F.struct(*ASKED)).alias("named"))
+    schema = StructType().add("query_id", questions.schema["query_id"].dataType).add("turn", turns.schema["turn"].dataType).add("rank", IntegerType()).add("score", DoubleType())
+    return _searches(held.join(asked.hint("merge"), keys)).mapInArrow(searching.local_top(k, to_arrow_schema(schema)), schema)
 
 
 def min_max(value: Column, over: Window) -> Column:
@@ -177,31 +188,16 @@ def top(ranked: DataFrame, k: int, *ties: Column | str) -> DataFrame:
     return ranked.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
 
 
-def _rounded(ranked: DataFrame) -> DataFrame:
-    """Scores that differ by the order of additions only are ties."""
-    return ranked.withColumn("score", F.round("score", 9))
-
-
-def session_first(queries: DataFrame, turns: DataFrame, windows: DataFrame, sessions_kept: int = 2, windows_kept: int = 4) -> DataFrame:
-    """Turns chosen by session and then by window: (query_id, pos, dia_id), in history order.
+def session_first(turns: DataFrame, questions: DataFrame, sessions_kept: int = 2, windows_kept: int = 4, radius: int = 2) -> DataFrame:
+    """Turns chosen by session and then by window: (query_id, pos, dia_id).
 
-    ``turns`` (query corpus, session, pos, dia_id, text) are a query's history, ``windows`` (corpus,
-    window, session, pos) the members of its candidate windows with the session of their first turn.
-    Windows of other sessions count only where the chosen sessions have none.
+    Sessions of the whole history up to the anchor are ranked first; windows (a turn with ``radius`` turns
+    around it, none after the anchor) of other sessions count only where the chosen sessions have none.
+    Columns as in ``local_top``. A conversation is packed once and goes to every part of its queries; its
+    history is never multiplied by them.
     """
-    queries, turns, windows = checkpoint(queries), checkpoint(turns), checkpoint(windows)  # each is read several times below
-    line = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("pos", "text"))), lambda s: s["text"]), "\n")
-    session_docs = turns.groupBy("corpus", F.col("session").alias("doc")).agg(line.alias("text"))
-    best_sessions = top(_rounded(hybrid(queries, checkpoint(session_docs))), sessions_kept, "doc")
-    kept = checkpoint(best_sessions.select("query_id", "corpus", F.col("doc").alias("session"), F.lit(True).alias("__kept")))
-    members = windows.join(turns.select("corpus", "pos", "text", "dia_id"), ["corpus", "pos"])
-    flagged = queries.select("query_id", "corpus").join(windows.select("corpus", "window", "session").distinct(), "corpus").join(kept, ["query_id", "corpus", "session"], "left")
-    some = flagged.groupBy("query_id").agg(F.max(F.coalesce("__kept", F.lit(False))).alias("__some"))
-    allowed = flagged.join(some, "query_id").where("__kept or not __some").select("query_id", "corpus", "window")
-    window_docs = members.groupBy("corpus", F.col("window").alias("doc")).agg(line.alias("text"))
-    narrowed = allowed.select("query_id", F.col("query_id").cast("string").alias("own"), "corpus", F.col("window").alias("doc")).join(window_docs, ["corpus", "doc"])
-    own_queries = queries.select("query_id", F.col("query_id").cast("string").alias("corpus"), "text")
-    own_docs = checkpoint(narrowed.select(F.col("own").alias("corpus"), "doc", "text"))
-    best = top(_rounded(hybrid(own_queries, own_docs)), windows_kept, "doc").select("query_id", F.col("doc").alias("window"))
-    chosen = best.join(queries.select("query_id", "corpus"), "query_id").join(members.select("corpus", "window", "pos", "dia_id"), ["corpus", "window"])
-    return chosen.select("query_id", "pos", "dia_id").distinct()
+    wanted, parts = parted(questions, "query_id", PART_QUERIES)
+    asked = wanted.groupBy("conversation_id", "__part").agg(F.collect_list(F.struct(*ASKED)).alias("named"))
+    held = packed(turns, parts, F.struct(*SAID)).withColumnRenamed("__turns", "said")
+    schema = StructType().add("query_id", questions.schema["query_id"].dataType).add("pos", LongType()).add("dia_id", StringType())
+    return _searches(held.join(asked.hint("merge"), ["conversation_id", "__part"])).mapInArrow(searching.session_first(sessions_kept, windows_kept, radius, to_arrow_schema(schema)), schema)
