@@ -53,3 +53,19 @@ def test_scores_equal_brute_force(monkeypatch, limit):
 def test_local_search_shuffles_texts_only(spark):
     plan = reference.QUERIES["hybrid_top"](spark, SMALL)._jdf.queryExecution().executedPlan().toString()
     assert "Exchange" not in plan.split("MapInArrow")[0] and "term#" not in plan
+
+
+def test_windows_of_other_sessions_count_where_the_chosen_have_none():
+    schema = pa.schema([("query_id", pa.int64()), ("pos", pa.int64()), ("dia_id", pa.string())])
+    said = [(1, "red boat"), (1, "red lamp"), (1, "grey lamp"), (2, "green cat sleeps"), (3, "green cat"), (3, "green cat wakes")]
+    turns = [{"session": s, "turn": i, "dia_id": f"D{i}", "text": x} for i, (s, x) in enumerate(said, 1)]
+    batch = pa.RecordBatch.from_pylist([{"turns": turns, "asked": [{"query_id": 7, "upto": 5, "text": "green cat"}, {"query_id": 8, "upto": 3, "text": "grey"}], "chars": 90}])
+    out = [r for b in searching.session_first(2, 1, 2, schema)(iter([batch])) for r in b.to_pylist()]
+    # no window begins in sessions 2 and 3 before the fifth turn: of all five the one with the shortest rest is best; never a later turn
+    assert [r["pos"] for r in out if r["query_id"] == 7] == [3, 4, 5] and {r["pos"] for r in out if r["query_id"] == 8} == {1, 2, 3}
+
+
+@needs_data
+def test_whole_history_is_searched_without_copies_of_it(spark):
+    plan = reference.QUERIES["session_first_context"](spark, SMALL)._jdf.queryExecution().executedPlan().toString()
+    assert "Exchange" not in plan.split("MapInArrow")[0] and "text" not in plan.split("MapInArrow")[0]
