@@ -2,6 +2,7 @@ import random
 import re
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from conftest import SMALL, rows_of, same_as_sql
 
@@ -104,6 +105,55 @@ def test_signatures_agree_as_often_as_the_sets_are_alike():
     assert np.mean(met) > 0.99 and np.mean(apart) < 0.01
 
 
+def looked_at(monkeypatch, sets, limit=(3, 5)):
+    """Pairs that may be alike by the kernel alone, and how many were looked at."""
+    at, seen, order = neardup._Bucket.all_pairs, [0], np.zeros(neardup.ORDER, np.int64)
+    flat = np.concatenate(sets)
+    with np.errstate(over="ignore"):
+        np.add.at(order, (neardup._mix(flat.view(np.uint64)) & np.uint64(neardup.ORDER - 1)).astype(np.int64), 1)
+
+    def counted(self, level, row, pos, many, first):
+        seen[0] += int(many.sum())
+        at(self, level, row, pos, many, first)
+
+    monkeypatch.setattr(neardup._Bucket, "all_pairs", counted)
+    batch = pa.RecordBatch.from_arrays([pa.array(np.arange(len(sets))), pa.array([x.tolist() for x in sets], pa.list_(pa.int64()))], ["rep", "words"])
+    entries = pa.Table.from_batches(neardup._entries(order, limit)(iter([batch]))).sort_by("key").to_batches(max_chunksize=500)
+    met = {(r["rep_a"], r["rep_b"]) for b in neardup._meet(limit)(iter(entries)) for r in b.to_pylist()}
+    monkeypatch.setattr(neardup._Bucket, "all_pairs", at)
+    return met, seen[0]
+
+
+@pytest.mark.parametrize("limit", [(3, 5), (4, 5), (1, 3)])
+def test_no_pair_is_missed_whatever_its_size(monkeypatch, limit):
+    """Sets of one to four hundred words, with groups cut as often as can be and held in small parts."""
+    for name, value in (("SMALL", 0), ("BUCKETS", 700), ("ENTRIES", 200), ("PAIRS", 50), ("LONG", 60)):
+        monkeypatch.setattr(neardup, name, value)
+    rng = np.random.default_rng(4)
+    pool = rng.integers(-(2**62), 2**62, 500)
+    sets = [np.unique(rng.choice(pool[:14], n)) for n in rng.integers(1, 9, 250)]
+    for n in (8, 30, 50, 90, 400):
+        base = rng.choice(pool, n, False)
+        for _ in range(25):
+            kept = base[rng.random(n) < rng.uniform(0.6, 1)]
+            sets.append(np.unique(np.concatenate([kept, rng.choice(pool, rng.integers(1, 2 + n // 4))])))
+    sets = [np.array(x) for x in {tuple(x) for x in sets}]
+    whole = [set(x) for x in sets]
+    true = {(i, j) for i in range(len(sets)) for j in range(i + 1, len(sets)) if limit[1] * len(whole[i] & whole[j]) >= limit[0] * len(whole[i] | whole[j])}
+    met, _ = looked_at(monkeypatch, sets, limit)
+    assert len(true) > 50 and true <= met
+
+
+def test_rows_of_one_template_do_not_meet_because_of_it(monkeypatch):
+    """Half of the words are those of a template: of all pairs less than a tenth is looked at."""
+    rng = np.random.default_rng(5)
+    pool = rng.integers(-(2**62), 2**62, 3000)
+    sets = [np.sort(np.concatenate([pool[:25], rng.choice(pool[25:], 25, False)])) for _ in range(3000)]
+    sets += [np.sort(np.concatenate([x[:-4], pool[-4:]])) for x in sets[:50]]
+    met, seen = looked_at(monkeypatch, sets)
+    assert {(i, 3000 + i) for i in range(50)} <= met and seen < 3050 * 3049 / 2 / 10
+
+
 def test_values_and_unmatched(spark):
     canon = spark.createDataFrame([("question_type", "judgment", ""), ("question_type", "retrieval", ""), ("content_type", "instant_emotion", ""), ("reasoning_structure", "multi-hop", ""), ("reasoning_structure", "single-hop", "")], "field_name string, canonical_value string, description string")
     rows = [(1, "MULTI－HOP ", "judgemnt", "ínstant_еmotion"), (2, "multi-hop", None, " "), (3, "2+ hops", "judgm.", "Inst. emotion"), (4, "snigle-hop", "weather", "type: instant_emotion"), (5, "l" * 9000, "retrieval (checked)", "???"), (5, "mluti hop", "Judgement", "instant_emotion - v2")]
