@@ -119,6 +119,16 @@ def test_candidates_are_written_where_they_arise(spark):
     assert "Exchange" not in top[0] and "__block" in top[1].split("\n")[0]
 
 
+def test_files_of_contexts_keep_recurring_anchors_as_repeats(spark, tmp_path):
+    n = 400
+    placed = spark.range(1, n + 1).selectExpr("'a' as conversation_id", "id div 9 as session", "int(id % 9 + 1) as turn", "id % 9 + 1 as session_pos", "id as history_pos", "concat('D', id div 9, ':', id % 9 + 1) as dia_id")
+    asked = spark.range(3001).selectExpr("id * 7919 as qa_key", "'a' as conversation_id", f"bigint({n} - id % 5) as history_pos")
+    rows = turns.retrieval_candidates(asked, placed, "qa_key").select("qa_key", "session", "window_no", "item_no", "dia_id")
+    rows.write.parquet(str(tmp_path / "rows"))
+    assert spark.read.parquet(str(tmp_path / "rows")).distinct().count() == sum(n - i % 5 - 1 for i in range(3001))
+    assert sum(p.stat().st_size for p in (tmp_path / "rows").glob("*.parquet")) < 3001 * n / 2
+
+
 def test_whole_units_cut_contexts_from_packed_turns(features, placed, spark):
     asked = features.select("qa_key", "conversation_id", "question_id").distinct()
     plain = features.select(*[c.split()[0] for c in QA.split(", ") if c.split()[0] != "ingested_at"])
