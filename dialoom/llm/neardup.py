@@ -4,8 +4,8 @@ A row is its set of words. Identical sets are one class first, so a group of cop
 The words of a set are put in one order, rare ones first. Two sets of likeness ``limit`` or more miss
 few words of each other, so their first word in common is among the first few of both (``_cut``): a
 set is sent under each of those, and every pair meets under its first word in common. Nothing is left
-to chance. The words of a template are frequent and come late, so rows of one template do not meet
-because of it. A bucket is not looked at pair by pair: it is cut into bands of sizes, since the sizes
+to chance. The words of a common template are frequent and come late, so its rows do not meet because
+of it; those of a rare template do. A bucket is not looked at pair by pair: it is cut into bands of sizes, since the sizes
 of both sides say how many words may be missing, and a large group is cut again by the second, third
 and fourth word in common, as long as that leaves it fewer pairs. Words are told by 16 bits here, which
 can only let more pairs through. A bitmap of ``CELLS`` hash cells of all words travels with each entry:
