@@ -15,10 +15,11 @@ from pyspark.sql.types import DoubleType, IntegerType, LongType, StringType, Str
 
 from dialoom.functions.text import squashed, tokens
 from dialoom.operators import searching
+from dialoom.operators.prefix import salted_join
 from dialoom.operators.searching import K1, B
-from dialoom.operators.turns import packed, parted
+from dialoom.operators.turns import parted
 
-PART_QUERIES = 64
+PART_QUERIES = 4096
 
 
 def _postings(rows: DataFrame, keys: list[str], terms: Column, name: str) -> DataFrame:
@@ -193,11 +194,19 @@ def session_first(turns: DataFrame, questions: DataFrame, sessions_kept: int = 2
 
     Sessions of the whole history up to the anchor are ranked first; windows (a turn with ``radius`` turns
     around it, none after the anchor) of other sessions count only where the chosen sessions have none.
-    Columns as in ``local_top``. A conversation is packed once and goes to every part of its queries; its
-    history is never multiplied by them.
+    Columns as in ``local_top``. Turns and questions of a conversation come to Python as rows in order, once
+    for each part of its questions; no row and no task of the engine holds a conversation, and its history is
+    never multiplied by questions.
     """
     wanted, parts = parted(questions, "query_id", PART_QUERIES)
-    asked = wanted.groupBy("conversation_id", "__part").agg(F.collect_list(F.struct(*ASKED)).alias("named"))
-    held = packed(turns, parts, F.struct(*SAID)).withColumnRenamed("__turns", "said")
-    schema = StructType().add("query_id", questions.schema["query_id"].dataType).add("pos", LongType()).add("dia_id", StringType())
-    return _searches(held.join(asked.hint("merge"), ["conversation_id", "__part"])).mapInArrow(searching.session_first(sessions_kept, windows_kept, radius, to_arrow_schema(schema)), schema)
+    flat = lambda c: _flat(F.col(c))
+    columns = lambda is_query, *rest: ["conversation_id", "__part", "session", "turn", F.lit(is_query).alias("__is_query"), *[c.alias(n) for c, n in zip(rest, ("query_id", "dia_id", "head", "body", "tail"), strict=True)]]
+    kind = questions.schema["query_id"].dataType
+    heard = salted_join(turns.select("conversation_id", *SAID), parts, ["conversation_id"], F.struct("session", "turn"))
+    heard = heard.withColumn("__part", F.explode(F.sequence(F.lit(0), F.col("__parts") - 1)))
+    said = heard.select(*columns(False, F.lit(None).cast(kind), F.col("dia_id"), flat("speaker"), flat("text"), flat("voice_style")))
+    asked = wanted.select(*columns(True, F.col("query_id"), F.lit(None).cast("string"), flat("question_text"), F.lit(None).cast("string"), flat("options")))
+    keys = ["conversation_id", "__part"]
+    rows = said.union(asked).repartition(*keys).sortWithinPartitions(*keys, "session", "turn", "__is_query")
+    schema = StructType().add("query_id", kind).add("pos", LongType()).add("dia_id", StringType())
+    return rows.mapInArrow(searching.sorted_session_first(sessions_kept, windows_kept, radius, to_arrow_schema(schema)), schema)

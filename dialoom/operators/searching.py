@@ -10,12 +10,16 @@ from __future__ import annotations
 
 import re
 from collections.abc import Callable, Iterator, Sequence
+from itertools import islice
 
 import numpy as np
 import pyarrow as pa
 
 K1, B = 1.2, 0.75
 CHARS, HITS = 1_000_000, 2_000_000
+#: A conversation of more sessions is searched by postings. Queries at a time there, and else; sessions, windows and rows at a time.
+LONG, MANY, FEW, DOCS, WINDOWS, ROWS = 256, 256, 32, 256, 4096, 20_000
+TABLE = 1 << 21  # letter groups that are numbered by a table, else by sorting
 _TOKEN = re.compile("[a-z0-9]+")
 
 
@@ -183,43 +187,288 @@ def local_top(k: int, schema: pa.Schema) -> Callable[[Iterator[pa.RecordBatch]],
     return run
 
 
+class _History:
+    """The turns of a conversation and its queries, cut up once: a document is a range of turns.
+
+    Turns are one text with a blank between them, so the letter groups and words of a document are
+    those of a range of places. Counts are dense, for some documents at a time; their products are exact.
+    """
+
+    def __init__(self, lines: Sequence[str], queries: Sequence[str]):
+        n = np.array([len(x) for x in lines], np.int64)
+        self.begin = np.cumsum(n + (n > 0)) - n - (n > 0)
+        self.end = self.begin + np.where(n > 0, n, -1)
+        texts = [" ".join(x for x in lines if x), *queries]
+        sizes = np.array([len(x) for x in texts], np.int64)
+        self.asked_end = np.cumsum(sizes)[1:]
+        self.asked_begin = self.asked_end - sizes[1:]
+        self.short = {x: i for i, x in enumerate(dict.fromkeys(x for x in queries if 0 < len(x) < 3))}
+        self.text, self.queries = texts[0], queries
+        self._cut("".join(texts))
+        known: dict[str, int] = {}
+        each = [_TOKEN.findall(x) for x in lines]
+        self.words = np.array([known.setdefault(w, len(known)) for x in each for w in x], np.int64)
+        self.at = np.concatenate([[0], np.cumsum([len(x) for x in each])]).astype(np.int64)
+        self.n_words = max(len(known), 1)
+        both = [(i * self.n_words + known[w]) for i, x in enumerate(queries) for w in _TOKEN.findall(x) if w in known]
+        key, self.times = np.unique(np.array(both, np.int64), return_counts=True)
+        self.asker, self.term = key // self.n_words, key % self.n_words
+
+    def _cut(self, text: str) -> None:
+        codes = np.frombuffer((text + "  ").encode("utf-32-le"), np.uint32)
+        index = np.zeros(int(codes.max()) + 1, np.int64)
+        index[codes] = 1
+        index = np.cumsum(index) * index
+        base = int(index.max()) + 1
+
+        def slices() -> Iterator[tuple[int, np.ndarray]]:
+            for i in range(0, len(codes) - 2, CHARS):
+                x = index[codes[i : i + CHARS + 2]]
+                yield i, x[:-2] + base * (x[1:-1] + base * x[2:])
+
+        self.groups = np.empty(max(len(codes) - 2, 0), np.int32)
+        if base**3 <= TABLE:
+            place = np.zeros(base**3, np.int32)
+            for _, x in slices():
+                place[x] = 1
+            place = np.cumsum(place, dtype=np.int32) - 1
+            width = int(place[-1]) + 1
+            for i, x in slices():
+                self.groups[i : i + len(x)] = place[x]
+        else:
+            kinds = np.unique(np.concatenate([np.empty(0, np.int64), *[np.unique(x) for _, x in slices()]]))
+            width = len(kinds)
+            for i, x in slices():
+                self.groups[i : i + len(x)] = np.searchsorted(kinds, x)
+        self.n_groups, self.width = width, width + len(self.short) + 1  # texts of less than three characters are their only group
+
+    def fits(self, longest: int) -> None:
+        """Whole numbers are exact below 2**24 in single precision."""
+        most = max(longest, int((self.asked_end - self.asked_begin).max(initial=0)))
+        self.kind = np.float32 if most * most < 1 << 24 else np.float64
+
+    def _bags(self, begin: np.ndarray, end: np.ndarray) -> np.ndarray:
+        bag = _counted(self.groups, begin, end - 2, self.width)
+        for i in np.flatnonzero((end - begin == 1) | (end - begin == 2)).tolist():
+            if begin[i] >= len(self.text):
+                x = self.queries[int(np.searchsorted(self.asked_begin, begin[i], "right")) - 1]
+            else:
+                x = self.text[begin[i] : end[i]]
+            bag[i, self.n_groups + self.short.get(x, len(self.short))] += 1
+        return bag.astype(self.kind)
+
+    def asked(self, a: int, b: int) -> np.ndarray:
+        return self._bags(self.asked_begin[a:b], self.asked_end[a:b])
+
+    def groups_of(self, low: np.ndarray, high: np.ndarray) -> np.ndarray:
+        """Counts of the letter groups of the documents of turns ``low`` to before ``high``."""
+        return self._bags(self.begin[low], self.end[high - 1])
+
+    def words_of(self, low: np.ndarray, high: np.ndarray) -> np.ndarray:
+        return _counted(self.words, self.at[low], self.at[high], self.n_words)
+
+    def length(self, low: np.ndarray, high: np.ndarray) -> np.ndarray:
+        return (self.at[high] - self.at[low]).astype(float)
+
+    def terms(self, a: int, b: int) -> slice:
+        return slice(int(np.searchsorted(self.asker, a)), int(np.searchsorted(self.asker, b)))
+
+    def top(self, a: int, asked: np.ndarray, low: np.ndarray, high: np.ndarray, held: np.ndarray, k: int) -> np.ndarray:
+        """For the queries from ``a``: the first ``k`` documents of those that each holds (-1: no more)."""
+        bags, terms = self.groups_of(low, high), self.terms(a, a + len(asked))
+        query, term, times = self.asker[terms] - a, self.term[terms], self.times[terms]
+        n_docs, length = held.sum(1), self.length(low, high)
+        mean = np.maximum((held @ length) / np.maximum(n_docs, 1), 1.0)
+        n = self.words_of(low, high).T[term].astype(float)
+        worth = times * _rare(n_docs[query], ((n > 0) & held[query]).sum(1))
+        norm = n + (K1 * (1 - B + B * length / mean[:, None]))[query]
+        bm25 = np.zeros(held.shape)
+        if len(query):
+            first = np.flatnonzero(np.diff(query, prepend=-1))
+            bm25[query[first]] = np.add.reduceat(worth[:, None] * n * (K1 + 1) / np.maximum(norm, 1e-9), first)
+        return _first(bm25, _cosine(asked @ bags.T, _squares(asked)[:, None], _squares(bags)), held, k)
+
+
+def _counted(values: np.ndarray, begin: np.ndarray, end: np.ndarray, width: int) -> np.ndarray:
+    """Counts of the values of each range of places, a row for each."""
+    n = np.maximum(end - begin, 0)
+    at = np.arange(n.sum()) + np.repeat(begin - np.cumsum(n) + n, n)
+    return np.bincount(np.repeat(np.arange(len(n)) * width, n) + values[at], minlength=len(n) * width).reshape(len(n), width)
+
+
+def _rare(n_docs: np.ndarray, df: np.ndarray) -> np.ndarray:
+    return np.log1p((n_docs - df + 0.5) / (df + 0.5))
+
+
+def _squares(bags: np.ndarray) -> np.ndarray:
+    return np.einsum("ij,ij->i", bags, bags).astype(float)
+
+
+def _cosine(dots: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    size = np.sqrt(a) * np.sqrt(b)
+    return np.divide(dots, size, out=np.zeros(size.shape), where=size > 0)
+
+
+def _first(bm25: np.ndarray, cosine: np.ndarray, held: np.ndarray, k: int) -> np.ndarray:
+    """Columns of the first ``k`` by the mean of both scores scaled to 0..1 in a row, ties by column; as ``best``."""
+    score = np.zeros(held.shape)
+    for x in (bm25, cosine):
+        low, high = (f(np.where(held, x, empty), 1, keepdims=True) for f, empty in ((np.min, np.inf), (np.max, -np.inf)))
+        flat = high - low < 1e-9
+        score += 0.5 * np.where(flat, high > 0, (x - low) / np.where(flat, 1.0, high - low))
+    score = np.where(held, np.floor(score * 1e9 + 0.5) / 1e9, -np.inf)
+    out, rows = np.full((len(score), k), -1), np.arange(len(score))
+    for i in range(min(k, score.shape[1])):
+        at = score.argmax(1)
+        out[:, i] = np.where(score[rows, at] > -np.inf, at, -1)
+        score[rows, at] = -np.inf
+    return out
+
+
+def _sessions(h: _History, starts: np.ndarray, upto: np.ndarray, whole: np.ndarray, kept: int, a: int, asked: np.ndarray) -> np.ndarray:
+    """The best sessions of some queries; of its own session a query knows the turns up to its place."""
+    n = int(whole.max())
+    ends, of = np.unique(upto, return_inverse=True)
+    low = np.concatenate([starts[:n], starts[np.searchsorted(starts, ends) - 1]])
+    held = np.concatenate([np.arange(n) < whole[:, None], np.arange(len(ends)) == of[:, None]], 1)
+    best = h.top(a, asked, low, np.concatenate([starts[1 : n + 1], ends]), held, kept)
+    return np.where(best >= n, whole[:, None], best)
+
+
+class _Postings:
+    """Words and squares of the sessions of a long conversation."""
+
+    def __init__(self, h: _History, starts: np.ndarray, last: int):
+        self.n, self.low, self.high = last, starts[:last], starts[1 : last + 1]
+        self.length = h.length(self.low, self.high)
+        doc = np.repeat(np.arange(last), self.length.astype(np.int64))
+        self.key, self.count = np.unique(h.words[: len(doc)] * max(last, 1) + doc, return_counts=True)
+        self.doc = self.key % max(last, 1)
+        self.squares = np.concatenate([np.zeros(0), *[_squares(h.groups_of(self.low[i : i + DOCS], self.high[i : i + DOCS])) for i in range(0, last, DOCS)]])
+        self.total = np.concatenate([[0.0], np.cumsum(self.length)])
+
+    def top(self, h: _History, starts: np.ndarray, upto: np.ndarray, whole: np.ndarray, kept: int, a: int, asked: np.ndarray) -> np.ndarray:
+        """As ``_sessions``: products block by block of sessions, words by their postings up to the place of a query."""
+        dots = np.empty((len(asked), int(whole.max()) + 1), h.kind)
+        for i in range(0, dots.shape[1] - 1, DOCS):
+            j = min(i + DOCS, dots.shape[1] - 1)
+            dots[:, i:j] = asked @ h.groups_of(self.low[i:j], self.high[i:j]).T
+        own = h.groups_of(starts[whole], upto)
+        dots[np.arange(len(asked)), whole] = np.einsum("ij,ij->i", asked, own)
+        mine, squares = _squares(own), _squares(asked)
+        heard, said = h.words_of(starts[whole], upto), h.length(starts[whole], upto)
+        out = np.empty((len(asked), kept), np.int64)
+        for j, n in enumerate(whole.tolist()):
+            terms = h.terms(a + j, a + j + 1)
+            term, times, local = h.term[terms], h.times[terms], heard[j, h.term[terms]]
+            low, high = np.searchsorted(self.key, term * max(self.n, 1)), np.searchsorted(self.key, term * max(self.n, 1) + n)
+            worth = times * _rare(n + 1, high - low + (local > 0)) * (K1 + 1)
+            base = K1 * (1 - B + B * np.append(self.length[:n], said[j]) / max((self.total[n] + said[j]) / (n + 1), 1.0))
+            at = np.arange((high - low).sum()) + np.repeat(low - np.cumsum(high - low) + high - low, high - low)
+            doc, count = self.doc[at], self.count[at]
+            bm25 = np.bincount(doc, np.repeat(worth, high - low) * count / np.maximum(count + base[doc], 1e-9), n + 1)
+            bm25[n] = (worth * local / np.maximum(local + base[n], 1e-9)).sum()
+            cosine = _cosine(dots[j, : n + 1], squares[j], np.append(self.squares[:n], mine[j]))
+            out[j] = _first(bm25[None], cosine[None], np.ones((1, n + 1), bool), kept)
+        return out
+
+
+def _context(said: list[tuple[int, str, str]], asked: list[tuple], sessions_kept: int, windows_kept: int, radius: int) -> Iterator[tuple[object, int, str]]:
+    """(query_id, pos, dia_id) of a conversation's turns (session, dia_id, text) for its queries (query_id, upto, text)."""
+    asked = sorted(asked, key=lambda x: x[1])
+    lines, texts = [x[2] for x in said], [x[2] for x in asked]
+    h = _History(lines, texts)
+    session = [x[0] for x in said]
+    starts = np.array([i for i in range(len(said)) if not i or session[i] != session[i - 1]] + [len(said)], np.int64)
+    upto = np.array([x[1] for x in asked], np.int64)
+    whole = np.searchsorted(starts, upto) - 1  # sessions before the query's own
+    frame = min(2 * radius, len(said) - 1)
+    h.fits(int(max((h.end[starts[1:] - 1] - h.begin[starts[:-1]]).max(), (h.end[frame:] - h.begin[: len(said) - frame]).max())))
+    long = len(starts) > LONG
+    far = _Postings(h, starts, int(whole.max())) if long else None
+    for a in range(0, len(asked), MANY if long else FEW):
+        b = min(a + (MANY if long else FEW), len(asked))
+        bags = h.asked(a, b)
+        best = (far.top if far else _sessions)(h, starts, upto[a:b], whole[a:b], sessions_kept, a, bags)
+        for c in range(a, b, FEW):
+            yield from _windows(h, lines, said, asked[c : min(c + FEW, b)], c, bags[c - a : c - a + FEW], starts, whole[c:b], best[c - a : c - a + FEW].tolist(), windows_kept, radius)
+
+
+def _windows(h: _History, lines: list[str], said: list, asked: list, a: int, bags: np.ndarray, starts: np.ndarray, whole: np.ndarray, sessions: list, kept: int, radius: int) -> Iterator[tuple[object, int, str]]:
+    """The best windows around a turn, of those that begin in a chosen session, or of all if none does."""
+    chosen = []
+    for j, (_, upto, _) in enumerate(asked):
+        centers: set[int] = set()
+        for s in sessions[j]:
+            if s >= 0:
+                begin, end = int(starts[s]), upto if s == whole[j] else int(starts[s + 1])
+                centers.update(range(begin + radius if begin else 0, min(end + radius, upto)))
+        chosen.append(sorted(centers) or list(range(upto)))
+    span = lambda c, upto: (max(c - radius, 0), min(c + radius + 1, upto))
+    found: list[list[int]] = [[] for _ in asked]
+    small = [j for j, c in enumerate(chosen) if len(c) <= WINDOWS]
+    docs = {x: i for i, x in enumerate(sorted({(c, span(c, asked[j][1])[1]) for j in small for c in chosen[j]}))}
+    if docs:
+        held = np.zeros((len(asked), len(docs)), bool)
+        for j in small:
+            held[j, [docs[c, span(c, asked[j][1])[1]] for c in chosen[j]]] = True
+        center = [c for c, _ in docs]
+        low, high = np.array([max(c - radius, 0) for c in center], np.int64), np.array([x for _, x in docs], np.int64)
+        for j, row in enumerate(h.top(a, bags, low, high, held, kept).tolist()):
+            found[j] = [center[i] for i in row if i >= 0]
+    for j in set(range(len(asked))) - set(small):  # too many for dense counts
+        texts = [" ".join(x for x in lines[slice(*span(c, asked[j][1]))] if x) for c in chosen[j]]
+        n = len(texts)
+        _, at, _, _ = best(*scores([asked[j][2]], texts, np.zeros(n, np.int64), np.arange(n) + 1, [(np.zeros(1, np.int64), np.array([n]))]), kept)
+        found[j] = [chosen[j][i] for i in at.tolist()]
+    for (query, upto, _), centers in zip(asked, found, strict=True):
+        for p in sorted({p for c in centers for p in range(*span(c, upto))}):
+            yield query, p + 1, said[p][1]
+
+
+def _written(rows: Iterator[tuple], schema: pa.Schema) -> Iterator[pa.RecordBatch]:
+    while some := list(islice(rows, ROWS)):
+        yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*some, strict=True), schema.types, strict=True)], schema=schema)
+
+
 def session_first(sessions_kept: int, windows_kept: int, radius: int, schema: pa.Schema) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
     """Rows (turns: a conversation in order with session, dia_id and text; asked: query_id, upto and text) to (query_id, pos, dia_id).
 
     The best sessions of the history up to the place of a query come first, then the best windows around
     a turn, of those that begin in a chosen session, or of all if none does.
     """
-    join = lambda texts: " ".join(x for x in texts if x)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for rows in _parts(batches, "chars"):
-            docs, group, pos, starts = [], [], [], []
-            for i, r in enumerate(rows):
-                said = r["turns"]
-                begins = [j for j in range(len(said)) if not j or said[j]["session"] != said[j - 1]["session"]]
-                starts.append(begins)
-                for p, (a, b) in enumerate(zip(begins, [*begins[1:], len(said)], strict=True), 1):
-                    docs.append(join(t["text"] for t in said[a:b])), group.append(i), pos.append(p)
-            asked = [(i, a) for i, r in enumerate(rows) for a in r["asked"]]
-            whole = [int(np.searchsorted(starts[i], a["upto"])) - 1 for i, a in asked]  # sessions before the query's own
-            for j, (i, a) in enumerate(asked):  # of its own session a query knows the turns up to its place
-                docs.append(join(t["text"] for t in rows[i]["turns"][starts[i][whole[j]] : a["upto"]])), group.append(len(rows) + j), pos.append(1)
-            texts, of, own = [a["text"] for _, a in asked], np.array([i for i, _ in asked], np.int64), np.arange(len(asked)) + len(rows)
-            pairs = scores(texts, docs, np.array(group, np.int64), np.array(pos, np.int64), [(of, np.array(whole, np.int64)), (own, np.ones(len(asked), np.int64))])
-            query, at, _, _ = best(*pairs, sessions_kept)
-            centers: list[set[int]] = [set() for _ in asked]
-            for j, s in zip(query.tolist(), at.tolist(), strict=True):
-                i, a = asked[j]
-                begin, end = starts[i][s], a["upto"] if s == whole[j] else starts[i][s + 1]
-                centers[j].update(range(begin + radius if begin else 0, min(end + radius, a["upto"])))
-            chosen = [sorted(c) or list(range(asked[j][1]["upto"])) for j, c in enumerate(centers)]
-            span = lambda j, c: range(max(c - radius, 0), min(c + radius + 1, asked[j][1]["upto"]))
-            windows = [join(rows[asked[j][0]]["turns"][p]["text"] for p in span(j, c)) for j, cs in enumerate(chosen) for c in cs]
-            many = np.array([len(c) for c in chosen], np.int64)
-            place = np.arange(many.sum()) - np.repeat(np.cumsum(many) - many, many) + 1
-            query, at, _, _ = best(*scores(texts, windows, np.repeat(np.arange(len(asked)), many), place, [(np.arange(len(asked)), many)]), windows_kept)
-            out = sorted({(j, p) for j, c in zip(query.tolist(), at.tolist(), strict=True) for p in span(j, chosen[j][c])})
-            said = [rows[asked[j][0]]["turns"][p]["dia_id"] for j, p in out]
-            yield pa.RecordBatch.from_pydict({"query_id": [asked[j][1]["query_id"] for j, _ in out], "pos": [p + 1 for _, p in out], "dia_id": said}, schema=schema)
+        packed = (r for batch in batches for r in batch.to_pylist())
+        each = (([(t["session"], t["dia_id"], t["text"]) for t in r["turns"]], [(x["query_id"], x["upto"], x["text"]) for x in r["asked"]]) for r in packed)
+        yield from _written((x for said, asked in each if asked for x in _context(said, asked, sessions_kept, windows_kept, radius)), schema)
+
+    return run
+
+
+def sorted_session_first(sessions_kept: int, windows_kept: int, radius: int, schema: pa.Schema) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """As ``session_first``, of rows in order of conversation, part, session, turn: a turn (query_id null; dia_id, and
+    speaker, text and voice as ``head``, ``body``, ``tail``), then the queries that it anchors (question, null and options)."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        def conversations() -> Iterator[tuple[list, list]]:
+            said: list[tuple[int, str, str]] = []
+            asked: list[tuple] = []
+            now = last = body = None
+            for batch in batches:
+                for conversation, part, session, turn, is_query, query, dia, head, text, tail in zip(*[c.to_pylist() for c in batch.columns], strict=True):
+                    if (conversation, part) != now:
+                        if asked:
+                            yield said, asked
+                        now, said, asked, last = (conversation, part), [], [], None
+                    if not is_query:
+                        said.append((session, dia, " ".join(x for x in (head, text, tail) if x)))
+                        last, body = (session, turn), text
+                    elif last == (session, turn):  # else there is no such turn
+                        asked.append((query, len(said), " ".join(x for x in (head, body, tail) if x)))
+            if asked:
+                yield said, asked
+
+        yield from _written((x for said, asked in conversations() for x in _context(said, asked, sessions_kept, windows_kept, radius)), schema)
 
     return run

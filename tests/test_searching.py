@@ -69,3 +69,50 @@ def test_windows_of_other_sessions_count_where_the_chosen_have_none():
 def test_whole_history_is_searched_without_copies_of_it(spark):
     plan = reference.QUERIES["session_first_context"](spark, SMALL)._jdf.queryExecution().executedPlan().toString()
     assert "Exchange" not in plan.split("MapInArrow")[0] and "text" not in plan.split("MapInArrow")[0]
+
+
+@needs_data
+def test_every_question_with_an_anchor_has_a_context(spark, duck):
+    asked = {r.qa_key for r in reference.QUERIES["session_first_context"](spark, SMALL).select("qa_key").collect()}
+    assert asked == {r[0] for r in duck.sql(reference.W_Q + "SELECT qa_key FROM anchored WHERE anchor_id IS NOT NULL").fetchall()}
+    assert any(k % 100 for k in asked)
+
+
+def first_by_brute_force(said, upto, query):
+    """Places of the context of a query: two sessions, then four windows of two turns around a turn."""
+    history = said[:upto]
+    join = lambda lines: " ".join(x for x in lines if x)
+
+    def top(docs, k):
+        if not docs:
+            return []
+        total = [0.0] * len(docs)
+        for x in brute(query, docs):
+            low, high = min(x), max(x)
+            total = [t + 0.5 * ((v - low) / (high - low) if high - low >= 1e-9 else float(high > 0)) for t, v in zip(total, x, strict=True)]
+        return sorted(range(len(docs)), key=lambda i: (-math.floor(total[i] * 1e9 + 0.5), i))[:k]
+
+    sessions = sorted({s for s, _, _ in history})
+    best = {sessions[i] for i in top([join(x for s, _, x in history if s == n) for n in sessions], 2)}
+    centers = [c for c in range(upto) if history[max(c - 2, 0)][0] in best] or list(range(upto))
+    chosen = [centers[i] for i in top([join(x for _, _, x in history[max(c - 2, 0) : c + 3]) for c in centers], 4)]
+    return sorted({p + 1 for c in chosen for p in range(max(c - 2, 0), min(c + 3, upto))})
+
+
+@pytest.mark.parametrize(("long", "windows", "chars", "table"), [(256, 4096, 1_000_000, 1 << 21), (0, 4096, 50, 1 << 21), (0, 2, 50, 0)])
+def test_session_first_equals_brute_force(monkeypatch, long, windows, chars, table):
+    for name, value in (("LONG", long), ("WINDOWS", windows), ("CHARS", chars), ("TABLE", table), ("DOCS", 3), ("MANY", 5), ("FEW", 2)):
+        monkeypatch.setattr(searching, name, value)
+    schema = pa.schema([("query_id", pa.int64()), ("pos", pa.int64()), ("dia_id", pa.string())])
+    draw = random.Random(2)
+    text = lambda n: " ".join(draw.choice(["aa", "b", "cat", "élan", "the", "x1", "river", "𝒜𝒜", "河", "boat", "grey"]) for _ in range(n))
+    for _ in range(20):
+        said, session = [], 1
+        for i in range(draw.randint(1, 60)):
+            session += draw.random() < 0.3
+            said.append((session, f"D{i}", text(draw.randint(0, 5))))
+        asked = [(q, draw.randint(1, len(said)), text(draw.randint(0, 5))) for q in range(12)]
+        packed = {"turns": [{"session": s, "turn": i, "dia_id": d, "text": x} for i, (s, d, x) in enumerate(said)], "asked": [{"query_id": q, "upto": u, "text": x} for q, u, x in asked], "chars": 1}
+        got = [r for b in searching.session_first(2, 4, 2, schema)(iter([pa.RecordBatch.from_pylist([packed])])) for r in b.to_pylist()]
+        for q, upto, query in asked:
+            assert [r["pos"] for r in got if r["query_id"] == q] == first_by_brute_force(said, upto, query)
