@@ -17,8 +17,8 @@ import pyarrow as pa
 
 K1, B = 1.2, 0.75
 CHARS, HITS = 1_000_000, 2_000_000
-#: A conversation of more sessions is searched by postings. Queries at a time there, and else; sessions, windows and rows at a time.
-LONG, MANY, FEW, DOCS, WINDOWS, ROWS = 256, 256, 32, 256, 4096, 20_000
+#: A conversation of more sessions is searched by postings. Queries at a time there, in its windows, and else; sessions, windows, rows, scores and turns at a time.
+LONG, MANY, NEAR, FEW, DOCS, WINDOWS, ROWS, CELLS, LINES = 256, 1024, 8, 32, 256, 4096, 20_000, 16_000_000, 10_000
 TABLE = 1 << 21  # letter groups that are numbered by a table, else by sorting
 _TOKEN = re.compile("[a-z0-9]+")
 
@@ -203,43 +203,52 @@ class _History:
         self.asked_end = np.cumsum(sizes)[1:]
         self.asked_begin = self.asked_end - sizes[1:]
         self.short = {x: i for i, x in enumerate(dict.fromkeys(x for x in queries if 0 < len(x) < 3))}
-        self.text, self.queries = texts[0], queries
-        self._cut("".join(texts))
+        self.text = "".join(texts)
+        del texts
+        self._cut()
         known: dict[str, int] = {}
-        each = [_TOKEN.findall(x) for x in lines]
-        self.words = np.array([known.setdefault(w, len(known)) for x in each for w in x], np.int64)
-        self.at = np.concatenate([[0], np.cumsum([len(x) for x in each])]).astype(np.int64)
+        many, parts = [], [np.zeros(0, np.int32)]
+        for i in range(0, len(lines), LINES):
+            each = [_TOKEN.findall(x) for x in lines[i : i + LINES]]
+            many.extend(len(x) for x in each)
+            parts.append(np.array([known.setdefault(w, len(known)) for x in each for w in x], np.int32))
+        self.words = np.concatenate(parts)
+        self.at = np.concatenate([[0], np.cumsum(many)]).astype(np.int64)
         self.n_words = max(len(known), 1)
         both = [(i * self.n_words + known[w]) for i, x in enumerate(queries) for w in _TOKEN.findall(x) if w in known]
         key, self.times = np.unique(np.array(both, np.int64), return_counts=True)
         self.asker, self.term = key // self.n_words, key % self.n_words
 
-    def _cut(self, text: str) -> None:
-        codes = np.frombuffer((text + "  ").encode("utf-32-le"), np.uint32)
-        index = np.zeros(int(codes.max()) + 1, np.int64)
-        index[codes] = 1
-        index = np.cumsum(index) * index
+    def _cut(self) -> None:
+        """Number the letter group at every place of the text, a slice at a time."""
+        codes = lambda i: np.frombuffer(self.text[i : i + CHARS + 2].ljust(min(len(self.text) - i, CHARS) + 2).encode("utf-32-le"), np.uint32)
+        places = range(0, len(self.text), CHARS)
+        there = np.zeros(max([32, *[int(codes(i).max()) for i in places]]) + 1, bool)
+        there[32] = True
+        for i in places:
+            there[codes(i)] = True
+        index = np.cumsum(there) * there
         base = int(index.max()) + 1
 
         def slices() -> Iterator[tuple[int, np.ndarray]]:
-            for i in range(0, len(codes) - 2, CHARS):
-                x = index[codes[i : i + CHARS + 2]]
+            for i in places:
+                x = index[codes(i)]
                 yield i, x[:-2] + base * (x[1:-1] + base * x[2:])
 
-        self.groups = np.empty(max(len(codes) - 2, 0), np.int32)
         if base**3 <= TABLE:
-            place = np.zeros(base**3, np.int32)
+            table = np.zeros(base**3, bool)
             for _, x in slices():
-                place[x] = 1
-            place = np.cumsum(place, dtype=np.int32) - 1
-            width = int(place[-1]) + 1
-            for i, x in slices():
-                self.groups[i : i + len(x)] = place[x]
+                table[x] = True
+            kinds, number = np.flatnonzero(table), np.empty(base**3, np.int32)
+            number[kinds] = np.arange(len(kinds))
         else:
-            kinds = np.unique(np.concatenate([np.empty(0, np.int64), *[np.unique(x) for _, x in slices()]]))
-            width = len(kinds)
-            for i, x in slices():
-                self.groups[i : i + len(x)] = np.searchsorted(kinds, x)
+            kinds = np.zeros(0, np.int64)
+            for _, x in slices():
+                kinds = np.union1d(kinds, x)
+        width = len(kinds)
+        self.groups = np.empty(len(self.text), np.uint16 if width < 1 << 16 else np.int32)
+        for i, x in slices():
+            self.groups[i : i + len(x)] = number[x] if base**3 <= TABLE else np.searchsorted(kinds, x)
         self.n_groups, self.width = width, width + len(self.short) + 1  # texts of less than three characters are their only group
 
     def fits(self, longest: int) -> None:
@@ -250,11 +259,7 @@ class _History:
     def _bags(self, begin: np.ndarray, end: np.ndarray) -> np.ndarray:
         bag = _counted(self.groups, begin, end - 2, self.width)
         for i in np.flatnonzero((end - begin == 1) | (end - begin == 2)).tolist():
-            if begin[i] >= len(self.text):
-                x = self.queries[int(np.searchsorted(self.asked_begin, begin[i], "right")) - 1]
-            else:
-                x = self.text[begin[i] : end[i]]
-            bag[i, self.n_groups + self.short.get(x, len(self.short))] += 1
+            bag[i, self.n_groups + self.short.get(self.text[begin[i] : end[i]], len(self.short))] += 1
         return bag.astype(self.kind)
 
     def asked(self, a: int, b: int) -> np.ndarray:
@@ -342,8 +347,8 @@ class _Postings:
         self.n, self.low, self.high = last, starts[:last], starts[1 : last + 1]
         self.length = h.length(self.low, self.high)
         doc = np.repeat(np.arange(last), self.length.astype(np.int64))
-        self.key, self.count = np.unique(h.words[: len(doc)] * max(last, 1) + doc, return_counts=True)
-        self.doc = self.key % max(last, 1)
+        self.key, count = np.unique(h.words[: len(doc)] * max(last, 1) + doc, return_counts=True)
+        self.doc, self.count = self.key % max(last, 1), count.astype(float)
         self.squares = np.concatenate([np.zeros(0), *[_squares(h.groups_of(self.low[i : i + DOCS], self.high[i : i + DOCS])) for i in range(0, last, DOCS)]])
         self.total = np.concatenate([[0.0], np.cumsum(self.length)])
 
@@ -351,8 +356,8 @@ class _Postings:
         """As ``_sessions``: products block by block of sessions, words by their postings up to the place of a query."""
         dots = np.empty((len(asked), int(whole.max()) + 1), h.kind)
         for i in range(0, dots.shape[1] - 1, DOCS):
-            j = min(i + DOCS, dots.shape[1] - 1)
-            dots[:, i:j] = asked @ h.groups_of(self.low[i:j], self.high[i:j]).T
+            j, know = min(i + DOCS, dots.shape[1] - 1), int(np.searchsorted(whole, i, "right"))  # earlier queries end before these sessions
+            dots[know:, i:j] = asked[know:] @ h.groups_of(self.low[i:j], self.high[i:j]).T
         own = h.groups_of(starts[whole], upto)
         dots[np.arange(len(asked)), whole] = np.einsum("ij,ij->i", asked, own)
         mine, squares = _squares(own), _squares(asked)
@@ -364,9 +369,10 @@ class _Postings:
             low, high = np.searchsorted(self.key, term * max(self.n, 1)), np.searchsorted(self.key, term * max(self.n, 1) + n)
             worth = times * _rare(n + 1, high - low + (local > 0)) * (K1 + 1)
             base = K1 * (1 - B + B * np.append(self.length[:n], said[j]) / max((self.total[n] + said[j]) / (n + 1), 1.0))
-            at = np.arange((high - low).sum()) + np.repeat(low - np.cumsum(high - low) + high - low, high - low)
-            doc, count = self.doc[at], self.count[at]
-            bm25 = np.bincount(doc, np.repeat(worth, high - low) * count / np.maximum(count + base[doc], 1e-9), n + 1)
+            bm25 = np.zeros(n + 1)
+            for x, i, k in zip(worth.tolist(), low.tolist(), high.tolist(), strict=True):  # a session is once among the postings of a word
+                doc, count = self.doc[i:k], self.count[i:k]
+                bm25[doc] += x * count / (count + base[doc])
             bm25[n] = (worth * local / np.maximum(local + base[n], 1e-9)).sum()
             cosine = _cosine(dots[j, : n + 1], squares[j], np.append(self.squares[:n], mine[j]))
             out[j] = _first(bm25[None], cosine[None], np.ones((1, n + 1), bool), kept)
@@ -386,12 +392,14 @@ def _context(said: list[tuple[int, str, str]], asked: list[tuple], sessions_kept
     h.fits(int(max((h.end[starts[1:] - 1] - h.begin[starts[:-1]]).max(), (h.end[frame:] - h.begin[: len(said) - frame]).max())))
     long = len(starts) > LONG
     far = _Postings(h, starts, int(whole.max())) if long else None
-    for a in range(0, len(asked), MANY if long else FEW):
-        b = min(a + (MANY if long else FEW), len(asked))
+    many = min(MANY, CELLS // len(starts) + 1) if long else FEW
+    for a in range(0, len(asked), many):
+        b = min(a + many, len(asked))
         bags = h.asked(a, b)
         best = (far.top if far else _sessions)(h, starts, upto[a:b], whole[a:b], sessions_kept, a, bags)
-        for c in range(a, b, FEW):
-            yield from _windows(h, lines, said, asked[c : min(c + FEW, b)], c, bags[c - a : c - a + FEW], starts, whole[c:b], best[c - a : c - a + FEW].tolist(), windows_kept, radius)
+        step = NEAR if long else FEW
+        for c in range(a, b, step):
+            yield from _windows(h, lines, said, asked[c : min(c + step, b)], c, bags[c - a : c - a + step], starts, whole[c:b], best[c - a : c - a + step].tolist(), windows_kept, radius)
 
 
 def _windows(h: _History, lines: list[str], said: list, asked: list, a: int, bags: np.ndarray, starts: np.ndarray, whole: np.ndarray, sessions: list, kept: int, radius: int) -> Iterator[tuple[object, int, str]]:
