@@ -143,3 +143,11 @@ def test_whole_units_cut_contexts_from_packed_turns(features, placed, spark):
     # only the joins that lead to the packed turns are shuffled, no context row is
     top = built._jdf.queryExecution().executedPlan().toString().split("Join")[:2]
     assert "Exchange" not in top[0] and "__part" in top[1].split("\n")[0]
+
+
+def test_tiles_of_contexts_are_spread_whatever_their_bytes(spark):
+    placed = spark.range(1, 2001).selectExpr("'a' as conversation_id", "id div 9 as session", "int(id % 9 + 1) as turn", "id % 9 + 1 as session_pos", "id as history_pos", "concat('D', id) as dia_id")
+    asked = spark.range(1, 2001).selectExpr("id as qa_key", "'a' as conversation_id", "id as history_pos")
+    rows = turns.prefix_rows(asked, placed, "qa_key")
+    plan = rows._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("REPARTITION_BY_NUM") == 2 and rows.count() == 2000 * 2001 // 2
