@@ -17,8 +17,8 @@ import pyarrow as pa
 
 K1, B = 1.2, 0.75
 CHARS, HITS = 1_000_000, 2_000_000
-#: A conversation of more sessions is searched by postings. Queries at a time there, in its windows, and else; sessions, windows, rows, scores and turns at a time.
-LONG, MANY, NEAR, FEW, DOCS, WINDOWS, ROWS, CELLS, LINES = 256, 1024, 8, 32, 256, 4096, 20_000, 16_000_000, 10_000
+#: A conversation of more sessions is searched by postings. Queries at a time there, in its windows, and else; sessions, windows, rows, scores, turns and places of letters at a time.
+LONG, MANY, NEAR, FEW, DOCS, WINDOWS, ROWS, CELLS, LINES, PLACES = 256, 1024, 8, 32, 256, 4096, 20_000, 16_000_000, 10_000, 2_000_000
 TABLE = 1 << 21  # letter groups that are numbered by a table, else by sorting
 _TOKEN = re.compile("[a-z0-9]+")
 
@@ -297,6 +297,12 @@ class _History:
 def _counted(values: np.ndarray, begin: np.ndarray, end: np.ndarray, width: int) -> np.ndarray:
     """Counts of the values of each range of places, a row for each."""
     n = np.maximum(end - begin, 0)
+    if n.sum() > PLACES:  # long sessions: slice by slice
+        out = np.zeros((len(n), width), np.int64)
+        for i, (b, e) in enumerate(zip(begin.tolist(), end.tolist(), strict=True)):
+            for x in range(b, e, PLACES):
+                out[i] += np.bincount(values[x : min(x + PLACES, e)], minlength=width)
+        return out
     at = np.arange(n.sum()) + np.repeat(begin - np.cumsum(n) + n, n)
     return np.bincount(np.repeat(np.arange(len(n)) * width, n) + values[at], minlength=len(n) * width).reshape(len(n), width)
 

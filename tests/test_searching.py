@@ -99,9 +99,9 @@ def first_by_brute_force(said, upto, query):
     return sorted({p + 1 for c in chosen for p in range(max(c - 2, 0), min(c + 3, upto))})
 
 
-@pytest.mark.parametrize(("long", "windows", "chars", "table"), [(256, 4096, 1_000_000, 1 << 21), (0, 4096, 50, 1 << 21), (0, 2, 50, 0)])
-def test_session_first_equals_brute_force(monkeypatch, long, windows, chars, table):
-    for name, value in (("LONG", long), ("WINDOWS", windows), ("CHARS", chars), ("TABLE", table), ("DOCS", 3), ("MANY", 5), ("NEAR", 2), ("FEW", 2), ("LINES", 7)):
+@pytest.mark.parametrize(("long", "windows", "chars", "table", "places"), [(256, 4096, 1_000_000, 1 << 21, 2_000_000), (0, 4096, 50, 1 << 21, 7), (0, 2, 50, 0, 2_000_000)])
+def test_session_first_equals_brute_force(monkeypatch, long, windows, chars, table, places):
+    for name, value in (("LONG", long), ("WINDOWS", windows), ("CHARS", chars), ("TABLE", table), ("PLACES", places), ("DOCS", 3), ("MANY", 5), ("NEAR", 2), ("FEW", 2), ("LINES", 7)):
         monkeypatch.setattr(searching, name, value)
     schema = pa.schema([("query_id", pa.int64()), ("pos", pa.int64()), ("dia_id", pa.string())])
     draw = random.Random(2)
